@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, langid, quality, secrets, sharding
+from brindle.llm import bpe, jaccard, langid, quality, secrets, sharding
 from brindle.llm.common import table
 
 
@@ -28,5 +28,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_secret_scans, op4_byte_bpe, op5_language_id, op7_sharding)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_secret_scans, op4_byte_bpe, op5_language_id, op7_sharding, op10_ngram_jaccard_join)}
 ORACLE_SQL = {"op3_secret_scans": secrets.ORACLE}

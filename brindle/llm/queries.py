@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, jaccard, langid, quality, secrets, sharding
+from brindle.llm import bpe, jaccard, langid, mixing, quality, secrets, sharding, syncmers
 from brindle.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), max_repetition=4.0)
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -28,9 +32,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_secret_scans, op4_byte_bpe, op5_language_id, op7_sharding, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_secret_scans, op4_byte_bpe, op5_language_id, op7_sharding, op9_document_fingerprints, op10_ngram_jaccard_join)}
 ORACLE_SQL = {"op3_secret_scans": secrets.ORACLE}

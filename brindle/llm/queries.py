@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, jaccard, langid, mixing, permutations, quality, secrets, sharding, syncmers
+from brindle.llm import bpe, jaccard, langid, mixing, permutations, quality, secrets, sharding, suffixes, syncmers
 from brindle.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup(table(spark, sf_dir, "documents")))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_secret_scans, op4_byte_bpe, op5_language_id, op6_nearest_neighbours, op7_sharding, op9_document_fingerprints, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_secret_scans, op4_byte_bpe, op5_language_id, op6_nearest_neighbours, op7_sharding, op8_suffix_dedup, op9_document_fingerprints, op10_ngram_jaccard_join)}
 ORACLE_SQL = {"op3_secret_scans": secrets.ORACLE}

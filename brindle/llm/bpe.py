@@ -221,9 +221,9 @@ def groups(texts: list[str], most: int = CHARS) -> Iterator[list[str]]:
         yield part
 
 
-def tokenise(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every row."""
-    return _mapped(docs, path, pattern, "doc_id {id}, n_tokens bigint, ids array<int>", lambda bpe, ids: {"n_tokens": len(ids), "ids": ids.tolist()})
+def tokenise(docs: DataFrame, path: str | None = None, pattern: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``carry``, ``n_tokens`` and ``ids`` of every row."""
+    return _mapped(docs, path, pattern, "n_tokens bigint, ids array<int>", lambda bpe, ids: {"n_tokens": len(ids), "ids": ids}, carry)
 
 
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -232,22 +232,23 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def one(bpe: ByteBPE, ids: np.ndarray) -> dict:
         return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(bpe.decimal.join(ids)[1:]).hexdigest(), "decoded_sha256": hashlib.sha256(bpe.decode(ids)).hexdigest()}
 
-    return _mapped(docs, path, pattern, "doc_id {id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", one)
+    return _mapped(docs, path, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", one, ())
 
 
-def _mapped(docs: DataFrame, path: str | None, pattern: str | None, schema: str, one) -> DataFrame:
+def _mapped(docs: DataFrame, path: str | None, pattern: str | None, schema: str, one, carry: tuple[str, ...]) -> DataFrame:
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     bounded_batches(docs.sparkSession)
-    slim = docs.select("doc_id", whole("text").alias("text"))
-    names = [x.split()[0] for x in schema.split(", ")][1:]
+    kept = ["doc_id", *carry]
+    slim = docs.select(*kept, whole("text").alias("text"))
+    names = [x.split()[0] for x in schema.split(", ")]
     types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            rows = [one(bpe, ids) for part in groups(batch.column(1).to_pylist()) for ids in bpe.encode(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[n] for r in rows], types.get(n, pa.string())) for n in names]], ["doc_id", *names])
+            rows = [one(bpe, ids) for part in groups(batch.columns[-1].to_pylist()) for ids in bpe.encode(part)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array([r[n] for r in rows], types.get(n, pa.string())) for n in names]], [*kept, *names])
 
-    return slim.mapInArrow(run, schema.format(id=slim.schema["doc_id"].dataType.simpleString()))
+    return slim.mapInArrow(run, ", ".join([*[f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in kept], schema]))

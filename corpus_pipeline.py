@@ -1,8 +1,61 @@
-"""The pipeline over documents."""
+"""The corpus pipeline: documents of good quality, one of each group of near duplicates, without
+secrets, in a mixture of sources, as tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), where docs is what the stage before kept, and works on all of
+it. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from brindle.llm import bpe, jaccard, mixing, quality, secrets
+from brindle.llm.common import scratch, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (op1) rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the Jaccard join (op10; five words, 0.8) the smallest id stays."""
+    return jaccard.one_of_each(docs, words=5, percent=80)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets that the blob ledger's scan (op3) finds are replaced by a mark; every document stays.
+    ``n_chars`` stays what it was in ``documents``."""
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture (op2) with the smallest budget that holds every document, small sources up to 1.5 times."""
+    return mixing.mix(docs, max_repetition=1.5)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, source, n_tokens, ids`` of every row of the mixture (op4)."""
+    return bpe.tokenise(docs, carry=("source",))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_near_duplicates),
+    ("secrets", without_secrets),
+    ("mixing", mixed),
+    ("tokens", tokenised),
+]
+
+#: Learnt weights, hashes and a tokenizer can't be said in SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1 +1,244 @@
-QUERIES = {}
+"""The registered queries: each operator over whole tables of the test data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
+from brindle.functions.text import extract_terms
+from brindle.functions.vectors import hash_embedding, norm
+from brindle.operators import answer, chunking, evaluate, fusion, graph, terms, vector
+from brindle.plans import hybrid as plan
+from brindle.sources.index import build_index, replaced
+
+#: The batch of queries that the search queries ask, in order of their ids.
+ASKED = ("the heble of ndat reti", "token secret key", "eaanon erre ndha onin", "de la queoi", "zzzz unknown", "und der die")
+CFG = RetrievalConfig(chunking="fixed", expansion="ranked")
+RAW = RetrievalConfig(chunking="fixed", expansion="ranked", alpha=1.0, beta=1.0, normalise=False)
+#: Relevant chunks of the evaluation's samples (of queries q1, q3 and q4).
+RELEVANT = {"q1": ("0#0", "2#0", "5#1"), "q3": ("12#0", "40#1"), "q4": ("3#0", "7#0", "9#0", "3#1")}
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_index(_docs(spark, sf_dir), CFG)
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(ASKED, 1)], "query_id string, query string")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings table as chunks; the label stands in for the document."""
+    v = F.col("embedding").cast("array<double>")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("string").alias("doc_id"), F.col("vec_id").cast("string").alias("chunk_id"), v.alias("embedding"), norm(v, 64).alias("norm"))
+
+
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id").isin(0, 7, 42)).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def extract_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _docs(spark, sf_dir).select("doc_id", extract_terms(F.col("text")).alias("t"))
+    return found.select("doc_id", F.size("t").cast("bigint").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+def term_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.document_frequency(_index(spark, sf_dir))
+
+
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(_docs(spark, sf_dir), CFG).select("chunk_id", "text", "position", "parent_id", "length")
+
+
+def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(_docs(spark, sf_dir)).select("chunk_id", "text", "position", "parent_id", "length")
+
+
+def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunking.chunk_quality(chunking.chunk_documents(_docs(spark, sf_dir), CFG))
+    return rows.withColumn("first_lengths", F.array_join(F.col("first_lengths").cast("array<string>"), ",")).withColumn("avg_length", F.round("avg_length", 6))
+
+
+def ingest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.ingest_result(chunking.chunk_documents(_docs(spark, sf_dir), CFG))
+
+
+def hash_embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(hash_embedding(F.col("text"))).alias("i", "value")).select("doc_id", "i", F.round("value", 6).alias("value"))
+
+
+def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.similarities(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 64).withColumn("score", F.round("score", 6))
+
+
+def _vector_topk(spark: SparkSession, sf_dir: str, k: int, options: SearchOptions = SearchOptions()) -> DataFrame:
+    return vector.search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k, options, 64).withColumn("score", F.round("score", 6))
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_topk(spark, sf_dir, 10)
+
+
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_topk(spark, sf_dir, 10, SearchOptions(filter_doc_id="3"))
+
+
+def vector_topk_minscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_topk(spark, sf_dir, 50, SearchOptions(min_score=0.2))
+
+
+def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges, told by their source: how many, their weight, the heaviest."""
+    edges = terms.cooccurrence(_index(spark, sf_dir))
+    return edges.groupBy("source").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    index = _index(spark, sf_dir)
+    asked = graph.query_terms(_asked(spark))
+    return index, asked, terms.neighbours(index, asked)
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir)[2]
+
+
+def direct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked, _ = _near(spark, sf_dir)
+    found = graph.hits(index, asked, spark.createDataFrame([], "query_id string, query_term string, expanded_term string, weight double"))
+    return found.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hits"), F.array_join(F.array_sort(F.collect_set("term")), " ").alias("terms"))
+
+
+def expand_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, asked, near = _near(spark, sf_dir)
+    return graph.expand_ranked(asked, near, CFG)
+
+
+def expand_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, asked, near = _near(spark, sf_dir)
+    return graph.expand_greedy(asked, near, CFG)
+
+
+def expanded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked, near = _near(spark, sf_dir)
+    found = graph.hits(index, asked, graph.expand_ranked(asked, near, CFG)).where(~F.col("direct"))
+    return found.select("query_id", "chunk_id", "item.query_term", "item.expanded_term", "item.weight", (F.col("item.weight") * CFG.expanded_hit_weight).alias("contribution"))
+
+
+def _graph_topk(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig, k: int = 10) -> DataFrame:
+    rows = graph.search(_index(spark, sf_dir), _asked(spark), k, cfg)
+    return rows.select("query_id", "doc_id", "chunk_id", "direct_hit_count", "expanded_hit_count", "expanded_score", "expansion_capped", "score")
+
+
+def graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph_topk(spark, sf_dir, CFG)
+
+
+def graph_topk_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph_topk(spark, sf_dir, RetrievalConfig(chunking="fixed", expansion="ranked", expansion_score_cap=0.5))
+
+
+def graph_topk_nocap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph_topk(spark, sf_dir, RetrievalConfig(chunking="fixed", expansion="ranked", expansion_score_cap=None))
+
+
+def graph_topk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph_topk(spark, sf_dir, RetrievalConfig(chunking="fixed", expansion="greedy"))
+
+
+def graph_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph.explained(_index(spark, sf_dir), _asked(spark), 10, CFG).select("query_id", F.array_join("direct_terms", " ").alias("direct_terms"), F.size("expanded_terms").alias("expanded_terms"), F.explode_outer("chunks").alias("c"))
+    return rows.select("query_id", "direct_terms", "expanded_terms", "c.chunk_id", F.array_join("c.direct_terms", " ").alias("chunk_terms"), F.array_join(F.transform("c.expanded_hits", lambda x: x["expanded_term"]), " ").alias("chunk_expanded"), "c.direct_score", "c.capped_expanded_score", "c.score")
+
+
+def _fused(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig) -> DataFrame:
+    return plan.retrieve(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), cfg)[2]
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 6) for c, t in rows.dtypes if t == "double"})
+
+
+def fuse_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_fused(spark, sf_dir, RAW))
+
+
+def fuse_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_fused(spark, sf_dir, CFG))
+
+
+def postprocess_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    final = fusion.postprocess(_fused(spark, sf_dir, RAW), 4, 1.0)
+    return _rounded(final.select("query_id", "rank", "doc_id", "chunk_id", "source", "score"))
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    final = plan.hybrid(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG)
+    return _rounded(final.select("query_id", "rank", "doc_id", "chunk_id", "source", "score", "text"))
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fusion.citations(plan.hybrid(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG, QueryOptions(min_score=0.2), text=False)))
+
+
+def ranking_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    final = plan.hybrid(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG, text=False)
+    return _rounded(fusion.ranking_preview(final).withColumn("matched_by", F.array_join("matched_by", ",")))
+
+
+def retrieval_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = plan.retrieval_debug(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG)
+    return rows.select("query_id", "summary.mode", "summary.vector_count", "summary.graph_count", "summary.fused_count", "summary.final_count", "summary.postprocess_removed_count", "scoring_overview.has_expansion_capped_result")
+
+
+def simple_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = plan.checked_queries(_asked(spark))
+    return answer.listing(plan.hybrid(_index(spark, sf_dir), asked, CFG), asked)
+
+
+def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = plan.checked_queries(_asked(spark))
+    return answer.prompts(plan.hybrid(_index(spark, sf_dir), asked, CFG), asked)
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = spark.createDataFrame([(q, ASKED[int(q[1:]) - 1], list(ids)) for q, ids in RELEVANT.items()], "query_id string, query string, relevant_chunk_ids array<string>")
+    return plan.evaluate_dataset(_index(spark, sf_dir), samples, ["hybrid", "vector", "graph"], 5, CFG)
+
+
+def eval_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    join = lambda c: F.array_join(c, " ").alias(c)
+    return _rounded(_evaluated(spark, sf_dir).select("mode", "query", "recall_at_k", "mrr", join("false_negatives"), join("false_positives")))
+
+
+def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.summary(_evaluated(spark, sf_dir), 5))
+
+
+def fusion_weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = spark.createDataFrame([(1.0, 0.0), (0.7, 0.3), (0.5, 0.5), (0.0, 1.0)], "alpha double, beta double")
+    return _rounded(fusion.weight_sweep(_fused(spark, sf_dir, CFG), weights, 3).select("alpha", "beta", "query_id", "rank", "chunk_id", "score"))
+
+
+def replace_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id ends in 7 gets its text's upper case in place of its chunks."""
+    docs = _docs(spark, sf_dir)
+    batch = docs.where(F.col("doc_id").endswith("7")).withColumn("text", F.upper(F.left("text", F.lit(500))))
+    rows = replaced(build_index(docs, CFG), build_index(batch, CFG))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("chars"), F.sum(F.size("terms")).alias("terms"))
+
+
+QUERIES = {
+    f.__name__.removesuffix("_query"): f
+    for f in (
+        extract_terms_query, term_doc_freq, chunk_fixed, chunk_recursive, chunk_quality, ingest_result, hash_embedding_query, cosine_scores, vector_topk,
+        vector_topk_filtered, vector_topk_minscore, cooccurrence_edges, neighbours, direct_hits, expand_ranked, expand_greedy, expanded_hits, graph_topk,
+        graph_topk_capped, graph_topk_nocap, graph_topk_greedy, graph_explain, fuse_raw, fuse_minmax, postprocess_topk, hybrid_search, citations,
+        ranking_preview, retrieval_debug, simple_answer, rag_prompt, eval_case, eval_recall_mrr, fusion_weight_sweep, replace_docs,
+    )
+}

@@ -197,7 +197,7 @@ SELECT query_id, {_q(PROMPT[0])} || query || {_q(PROMPT[1])} || coalesce(b, '')
     "eval_case": f"WITH {_EVAL} SELECT mode, query, round(recall, 6) AS recall_at_k, round(mrr, 6) AS mrr, array_to_string(list_filter(relevant, lambda x: NOT list_contains(got, x)), ' ') AS false_negatives, array_to_string(list_filter(got, lambda x: NOT list_contains(relevant, x)), ' ') AS false_positives FROM measured",
     "eval_recall_mrr": f"WITH {_EVAL} SELECT mode, 5 AS k, count(*)::INT AS sample_count, round(avg(recall), 6) AS avg_recall_at_k, round(avg(mrr), 6) AS avg_mrr FROM measured GROUP BY mode",
     "fusion_weight_sweep": f"WITH {_NORMAL}, w(alpha, beta) AS (VALUES (1.0::DOUBLE, 0.0::DOUBLE), (0.7, 0.3), (0.5, 0.5), (0.0, 1.0)), x AS (SELECT alpha, beta, query_id, chunk_id, doc_id, alpha * vector_score + beta * graph_score AS s FROM fused, w), r AS (SELECT *, row_number() OVER (PARTITION BY alpha, beta, query_id ORDER BY s DESC, chunk_id, doc_id)::INT AS rank FROM x) SELECT alpha, beta, query_id, rank, chunk_id, round(s, 6) AS score FROM r WHERE rank <= 3",
-    "replace_docs": f"""WITH {_DOCS}, put AS (SELECT docs.doc_id, CASE WHEN docs.doc_id LIKE '%7' THEN {_strip("upper(left(o.text, 500))")} ELSE t END AS t FROM docs JOIN documents o ON o.doc_id::VARCHAR = docs.doc_id),
+    "replace_docs": f"""WITH {_DOCS}, put AS (SELECT docs.doc_id, CASE WHEN docs.doc_id LIKE '%7' THEN {_strip("left(o.text, 500)")} ELSE t END AS t FROM docs JOIN documents o ON o.doc_id::VARCHAR = docs.doc_id),
  chunks AS (SELECT doc_id || '#' || (s // 350) AS chunk_id, doc_id, substr(t, s + 1, 400) AS text FROM put, unnest(range(0, length(t), 350)) AS u(s)), {_index()},
  n AS (SELECT doc_id, count(*) AS terms FROM posted GROUP BY doc_id)
 SELECT c.doc_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, coalesce(any_value(terms), 0) AS terms FROM chunks c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id""",

@@ -226,9 +226,9 @@ def fusion_weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replace_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document whose id ends in 7 gets its text's upper case in place of its chunks."""
+    """Every document whose id ends in 7 is ingested again with a shorter text."""
     docs = _docs(spark, sf_dir)
-    batch = docs.where(F.col("doc_id").endswith("7")).withColumn("text", F.upper(F.left("text", F.lit(500))))
+    batch = docs.where(F.col("doc_id").endswith("7")).withColumn("text", F.left("text", F.lit(500)))
     rows = replaced(build_index(docs, CFG), build_index(batch, CFG))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("chars"), F.sum(F.size("terms")).alias("terms"))
 

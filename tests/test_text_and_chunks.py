@@ -1,0 +1,128 @@
+"""Terms, chunkers, embeddings, against fixed cases and plain restatements."""
+
+from __future__ import annotations
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
+from brindle.errors import ValidationError
+from brindle.functions.text import extract_terms, normalise_terms, snippet, strip
+from brindle.functions.vectors import cosine, fake_embedding, hash_embedding, model_embedding
+from brindle.operators.chunking import chunk_documents, chunk_quality, ingest_result
+
+
+def one(spark, value, expr, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(expr(F.col("x")).alias("y")).first()[0]
+
+
+@pytest.mark.parametrize(
+    "text, terms",
+    [
+        ("FastAPI is a modern web framework for building APIs with Python", ["fastapi", "modern", "web", "framework", "building", "apis", "python"]),
+        ("", []), (None, []), ("流星街 graph_DB", ["graph_db"]), ("a an I x1 x1 The", ["x1"]),
+    ],
+)
+def test_terms(spark, text, terms):
+    assert one(spark, text, extract_terms) == terms
+
+
+def test_supplied_terms(spark):
+    assert one(spark, [" Python! ", "python", None, "...", "(Rag)"], normalise_terms, "array<string>") == ["python", "rag"]
+
+
+def test_strip_takes_unicode_space(spark):
+    assert one(spark, " 　\n\x1c a b  \x85\n", strip) == "a b"
+
+
+def test_snippet(spark):
+    assert one(spark, "a\nb" + "c" * 200, snippet) == ("a b" + "c" * 200)[:160] + "..."
+
+
+def chunks(spark, text, size, overlap, kind):
+    cfg = RetrievalConfig(chunking=kind, chunk_size=size, chunk_overlap=overlap)
+    rows = chunk_documents(spark.createDataFrame([("doc1", text)], "doc_id string, text string"), cfg).orderBy("position").collect()
+    assert [r.chunk_id for r in rows] == [f"doc1#{i}" for i in range(len(rows))]
+    assert all(r.length == len(r.text) and r.parent_id == "doc1" for r in rows)
+    return [r.text for r in rows]
+
+
+@pytest.mark.parametrize(
+    "kind, size, overlap, text, expected",
+    [
+        ("fixed", 50, 10, "hello world", ["hello world"]),
+        ("fixed", 10, 2, "abcdefghijklmnopqrstuvwxyz", ["abcdefghij", "ijklmnopqr", "qrstuvwxyz", "yz"]),
+        ("fixed", 10, 2, "", []), ("recursive", 10, 2, "", []), ("recursive", 10, 2, None, []),
+        ("recursive", 10, 0, "A\n\nB\n\nC", ["A\n\nB\n\nC"]),
+        ("recursive", 5, 0, "abcdefghijklmno", ["abcde", "fghij", "klmno"]),
+        ("recursive", 20, 0, "This is a long sentence. This is another long sentence.", ["This is a long ", "sentence.This is ", "another long ", "sentence."]),
+        ("recursive", 5, 0, "a\n\n\n\nbbbbbbbb", ["a\n\n", "bbbbb", "bbb"]),
+        ("recursive", 4, 0, "......", []),
+    ],
+)
+def test_chunkers(spark, kind, size, overlap, text, expected):
+    assert chunks(spark, text, size, overlap, kind) == expected
+
+
+def plain_recursive(text, size, seps=("\n\n", "\n", "。", "！", "？", ".", "!", "?", " ")):
+    def cut(t, k):
+        if len(t) <= size:
+            return [t]
+        if k == len(seps):
+            return [t[i : i + size] for i in range(0, len(t), size)]
+        found = t.split(seps[k])
+        kept = [p + (seps[k] if i < len(found) - 1 else "") for i, p in enumerate(found) if p]
+        return [x for p in kept for x in cut(p, k + 1)]
+
+    out, now = [], ""
+    for p in cut(text, 0) if text else []:
+        if len(now) + len(p) <= size:
+            now += p
+        else:
+            out, now = out + ([now] if now else []), p
+    return out + ([now] if now else [])
+
+
+def test_recursive_against_recursion(spark):
+    texts = ["one two three. four! five? six。seven\n\neight nine ten eleven", "x" * 50 + ". " + "y z " * 20, "a.b.c.d.e.f" * 9, "\n\n\nq\n\n w" + "e " * 40]
+    for t in texts:
+        for size in (3, 7, 20):
+            assert chunks(spark, t, size, 0, "recursive") == plain_recursive(t.strip(), size)
+
+
+def test_quality_and_result(spark):
+    rows = chunk_documents(spark.createDataFrame([("d", "x" * 1000), ("e", "")], "doc_id string, text string"), RetrievalConfig(chunking="fixed", chunk_size=80, chunk_overlap=0))
+    q = chunk_quality(rows).collect()
+    assert [(r.doc_id, r.chunk_count, r.min_length, r.max_length, len(r.first_lengths)) for r in q] == [("d", 13, 40, 80, 10)]
+    assert ingest_result(rows).collect()[0].chunks == 13
+
+
+def test_embeddings(spark):
+    got = one(spark, "hello", hash_embedding)
+    assert got == [b / 255 for b in hashlib.sha256(b"hello").digest()]
+    assert [round(x, 6) for x in got[:4]] == [0.172549, 0.94902, 0.301961, 0.729412]
+    assert len(one(spark, "hello", lambda c: hash_embedding(c, 40))) == 40
+    assert one(spark, "hello", lambda c: fake_embedding(c, 4)) == [999.0, 1.0, 1.0, 1.0]
+    assert one(spark, "abc", model_embedding(lambda: lambda texts: [[float(len(t)), 4.0] for t in texts], normalise=True)) == [0.6, 0.8]
+
+
+@pytest.mark.parametrize("a, b, expected", [([1.0, 0.0], [0.8, 0.2], 0.970143), ([0.0, 0.0], [1.0, 0.0], 0.0), ([1.0], [1.0, 0.0], None)])
+def test_cosine(spark, a, b, expected):
+    got = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(cosine(F.col("a"), F.col("b"))).first()[0]
+    assert got is None if expected is None else round(got, 6) == expected
+
+
+def test_settings_and_options():
+    for bad in ({"chunk_size": 0}, {"chunk_overlap": 400}, {"chunk_overlap": -1}, {"expanded_hit_weight": 2.0}, {"direct_hit_weight": 0.0}, {"expansion_score_cap": -1.0}, {"chunking": "x"}, {"max_expanded_terms": 0}):
+        with pytest.raises(ValidationError):
+            RetrievalConfig(**bad)
+    assert RetrievalConfig(chunking=" Fixed ").chunking == "fixed"
+    for bad in ({"top_k": 0}, {"min_score": -0.1}, {"enable_vector": False, "enable_graph": False}):
+        with pytest.raises(ValidationError):
+            QueryOptions.merged(**bad)
+    assert QueryOptions.merged(QueryOptions(top_k=5), top_k=2).top_k == 2
+    assert QueryOptions().ks(RetrievalConfig(vector_top_k=3, graph_top_k=4)) == (3, 4, 3)
+    assert SearchOptions.merged(SearchOptions(min_score=1.1), min_score=0.0).min_score == 0.0
+    assert "min(" in RetrievalConfig().formula and "min(" not in RetrievalConfig(expansion_score_cap=None).formula

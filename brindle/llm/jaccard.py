@@ -3,11 +3,12 @@
 Documents become sets of hashed word shingles. Equal sets are one class from the start; the join is
 over classes.
 
-1. Each class posts its L smallest hashes, L = m + l, where m is how many shingles a partner may lack
-   and l = m/3 + 1: two linked sets then share at least l of their posts.
-2. As they share l posts, each may drop the l - 1 posts with the longest lists. What is shared by many
-   (common lines, passages) leaves the lists this way, and no link is lost.
-3. Classes that share a list still are a candidate block (components over stars of lists). Whole sets
+1. Sets of like size have at most d shingles that only one of two linked sets has. So a set is cut, by
+   hash, into d + 3 parts: two linked sets have parts that are equal as a whole, and of these one that
+   isn't empty, unless a set has three empty parts (then it posts that it has). A class posts the hash
+   of each part. Common lines and passages don't make whole parts equal.
+2. Classes that post the same part are chained in order of their ids (a lag, with no pairs).
+3. Chained classes are a candidate block (components over the chains). Whole sets
    are fetched for candidates only, each to its block; a block over ``BLOCK`` shingles is cut by size
    and every pair of cuts whose sizes allow a link is compared.
 4. In a block an index over rare shingles is read in order of size: list entries whose size or
@@ -96,17 +97,40 @@ def lacking(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def spare(n: int, percent: int) -> int:
-    return lacking(n, percent) // 3 + 1
-
-
-def posts(n: int, percent: int) -> int:
-    return min(n, lacking(n, percent) + spare(n, percent))
-
-
-def kept_posts(n: int, percent: int) -> int:
-    """Posts left when the longest lists are dropped; the partner may be as small as percent of n."""
-    return min(n, posts(n, percent) - spare(-(-percent * n // 100), percent) + 1) if n else 0
+def size_class(n: int) -> tuple[int, int]:
+    """First size of the class of ``n``, and of the class after it; classes grow by half."""
+    low = 1
+    while (high := max(low + 1, -(-3 * low // 2))) <= n:
+        low = high
+    return low, high
+
+
+def parts(s: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the parts of a set: for its own class of sizes, and for the next if it has partners there."""
+    n = len(s)
+    if not n:
+        return s
+    u = s.view(np.uint64)
+    low, high = size_class(n)
+    found = []
+    with np.errstate(over="ignore"):
+        spread = _mix(u)
+        for first in (low, high):
+            if first == high and high * percent > 100 * n:
+                continue
+            most = size_class(first)[1] - 1
+            unlike = 2 * most * (100 - percent) // (100 + percent)
+            if not unlike:
+                continue  # linked sets are equal, and one class already
+            k = unlike + 3
+            at = ((u >> np.uint64(17)) % np.uint64(k)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            filled, begin = np.unique(at[order], return_index=True)
+            sums = np.add.reduceat(spread[order], begin)
+            found.append(_mix(sums + _mix(filled.astype(np.uint64) + np.uint64(first << 20))))
+            if k - len(filled) >= 3:
+                found.append(_mix(np.array([first << 20 | 0xFFFFF], np.uint64)))
+    return np.concatenate(found).view(np.int64) if found else s[:0]
 
 
 class Block:
@@ -199,7 +223,7 @@ class Block:
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, set_key (128 bits), posts of every row; one pass over the texts."""
+    """doc_id, n, set_key (128 bits) and parts of every row; one pass over the texts."""
     slim = docs.select("doc_id", whole("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,32 +231,24 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([s[: posts(len(s), percent)] for s in sets], pa.list_(pa.int64())), pa.array([kept_posts(len(s), percent) for s in sets], pa.int32()),
-            ], ["doc_id", "n", "set_key", "posts", "keep"])
+                pa.array([parts(s, percent) for s in sets], pa.list_(pa.int64())),
+            ], ["doc_id", "n", "set_key", "parts"])
 
-    return slim.mapInArrow(run, "doc_id bigint, n bigint, set_key binary, posts array<bigint>, keep int")
+    return slim.mapInArrow(run, "doc_id bigint, n bigint, set_key binary, parts array<bigint>")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """``rep, n, block``: classes that share a list with another after dropping the longest lists."""
-    posted = classes.select("rep", "keep", F.explode("posts").alias("token"))
-    lengths = posted.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    common = posted.join(lengths, "token")
-    # a list of one can't be shared: such posts only use up places, so their number is enough
-    own = classes.select("rep", F.size("posts").alias("posted"))
-    nth = F.row_number().over(Window.partitionBy("rep").orderBy("length", "token"))
-    inside = common.withColumn("nth", nth).join(common.groupBy("rep").agg(F.count(F.lit(1)).alias("shared")), "rep").join(own, "rep")
-    kept = settle(inside.where(F.col("nth") + F.col("posted") - F.col("shared") <= F.col("keep")).select("token", "rep"))
-    stars = kept.groupBy("token").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("length")).where("length > 1")
-    edges = kept.join(stars, "token").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    """``rep, block``: classes that post a part that another posts."""
+    posted = classes.select("rep", F.explode("parts").alias("part"))
+    chained = posted.withColumn("before", F.lag("rep").over(Window.partitionBy("part").orderBy("rep")))
+    edges = chained.where("before is not null").select(F.col("rep").alias("a"), F.col("before").alias("b"))
     return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("block"))
 
 
 def _cuts(members: DataFrame) -> DataFrame:
-    """``rep, block, cut, pair``: pairs of cuts of a block that a set takes part in."""
+    """``rep, block, n, cut``: blocks cut by size into pieces of about BLOCK shingles."""
     run = Window.partitionBy("block").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, 0)
-    cut = settle(members.withColumn("cut", F.floor((F.sum("n").over(run) - F.col("n")) / F.lit(BLOCK)).cast("int")))
-    return cut
+    return settle(members.withColumn("cut", F.floor((F.sum("n").over(run) - F.col("n")) / F.lit(BLOCK)).cast("int")))
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -282,7 +298,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = settle(_sets(docs, words, percent))
     filled = sets.where("n > 0")
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("posts").alias("posts"), F.first("keep").alias("keep"))
+    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     classes = settle(classes.where("rep is not null"))
     found = components(links(docs, classes, words, percent))
     label = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))

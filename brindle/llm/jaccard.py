@@ -201,15 +201,16 @@ class Block:
             if self.across:
                 j = j[self.side[j] != self.side[i]]
             j = j[root[j] != root[i]]
-            near, seen = None, {}
+            near = None
             while len(j):
                 k = int(j[0])
                 need = int(self.needed(i, j[:1])[0])
-                if near is not None and k in known.get(near[0], {}) and known[near[0]][k] + near[1] < need:
+                if near is not None and known[near[0]].get(k, n) + near[1] < need:
                     self.derived += 1  # the similar set's overlap, and what it lacks of this set, rule k out
                     j = j[1:]
                     continue
-                o = seen[k] = self.overlap(i, k)
+                o = self.overlap(i, k)
+                known.setdefault(i, {})[k] = known.setdefault(k, {})[i] = o
                 if o >= need:
                     out.append((self.ids[k], self.ids[i]))
                     root[root == root[k]] = root[i]
@@ -218,7 +219,6 @@ class Block:
                     j = j[root[j] != root[i]]
                 else:
                     j = j[1:]
-            known[i] = seen
         return out
 
 

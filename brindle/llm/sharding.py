@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 
 from brindle.llm.common import settle, whole
 
-#: Cells of the ring, and rows that a part of a cell has at most on average.
-CELLS, PART_ROWS = 1 << 16, 100_000
+#: Cells of the ring; a cell with more than 1 / PARTS of all rows is split to that share by the id's hash.
+CELLS, PARTS = 1 << 16, 2048
 
 
 @dataclass(frozen=True)
@@ -99,8 +99,8 @@ def shard(docs: DataFrame, shards: int = 40, replicas: int = 64, slack: float =
             begin = c
     arcs = _rows(spark, runs, "low int, high int, arc int").select(F.explode(F.sequence("low", "high")).alias("cell"), "arc")
 
-    cells = slim.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    parts = cells.join(F.broadcast(arcs), "cell").select("cell", "arc", (F.floor(F.col("rows") / PART_ROWS) + 1).cast("int").alias("parts"))  # at most CELLS rows
+    cells, total = slim.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")), slim.count()
+    parts = cells.join(F.broadcast(arcs), "cell").select("cell", "arc", (F.floor(F.col("rows") * PARTS / max(total, 1)) + 1).cast("int").alias("parts"))  # at most CELLS rows
     placed = slim.join(F.broadcast(parts), "cell").withColumn("part", F.pmod("mix", "parts").cast("int"))
     counts = placed.groupBy("arc", "cell", "part").agg(F.count(F.lit(1)).alias("rows"))
     wrap = F.when((F.col("arc") == 0) & (F.col("cell") > ends[0] if ends else F.lit(False)), -CELLS).otherwise(0) + F.col("cell")

@@ -43,6 +43,14 @@ def fake_embedding(text: Column, dim: int = 32) -> Column:
     return F.concat(F.array(F.lit(999.0)), F.array_repeat(F.lit(1.0), dim - 1))
 
 
+def to_json(embedding: Column) -> Column:
+    return F.to_json(embedding)
+
+
+def from_json(text: Column) -> Column:
+    return F.from_json(text, "array<double>")
+
+
 def model_embedding(load: Callable[[], Callable[[list[str]], list[list[float]]]], normalise: bool = False) -> Callable[[Column], Column]:
     """An embedder from a model: ``load`` is called once in each worker, batches come through Arrow."""
 

@@ -57,3 +57,12 @@ def ranked_lists(final: DataFrame, samples: DataFrame, mode: str) -> DataFrame:
     lists = final.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
     joined = samples.join(lists, "query_id", "left")
     return joined.select(F.lit(mode).alias("mode"), "query", F.coalesce("ids", F.array().cast("array<string>")).alias("retrieved_chunk_ids"), "relevant_chunk_ids")
+
+
+def case_report(rows: DataFrame) -> str:
+    """A block of lines for each sample of ``evaluated``; for people, over a bounded set of samples."""
+    out = []
+    for r in rows.orderBy("mode", "query").toLocalIterator():
+        ranks = ", ".join(f"{k}: {'not found' if v is None else v}" for k, v in r["relevant_ranks"].items())
+        out += [f"[{r['mode']}] {r['query']}", f"  recall {r['recall_at_k']:.4f}, mrr {r['mrr']:.4f}", f"  retrieved: {', '.join(r['retrieved_chunk_ids'])}", f"  ranks of relevant: {ranks}", f"  missed: {', '.join(r['false_negatives']) or '-'}; wrong: {', '.join(r['false_positives']) or '-'}"]
+    return "\n".join(out)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +9,10 @@ from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
 from brindle.errors import QueryExecutionError, ValidationError
 from brindle.functions.text import strip
 from brindle.functions.vectors import hash_embedding
+from brindle.observe import Trace
 from brindle.operators import evaluate, fusion, graph, vector
 from brindle.sources.index import Embedder
 
-log = logging.getLogger("brindle")
 #: Queries of a batch; what is broadcast grows with the batch, so its size is checked.
 MOST_QUERIES = 10_000
 
@@ -30,13 +28,13 @@ def checked_queries(queries: DataFrame) -> DataFrame:
     return rows
 
 
-def _stage(name: str, make):
+def _stage(name: str, make, trace: Trace | None = None):
     try:
         return make()
     except ValidationError:
         raise
     except Exception as e:
-        log.warning("query_failed stage=%s %s", name, e)
+        (trace or Trace()).event("query_failed", stage=name, error=str(e))
         raise QueryExecutionError(name, str(e), e) from e
 
 
@@ -59,10 +57,17 @@ def with_text(rows: DataFrame, index: DataFrame) -> DataFrame:
     return index.select("doc_id", "chunk_id", "text").join(F.broadcast(rows), ["doc_id", "chunk_id"])
 
 
-def hybrid(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, text: bool = True) -> DataFrame:
-    """The final chunks of each query with ``rank``, all scores and (``text``) their text."""
-    _, _, fused = retrieve(index, queries, cfg, options, embed)
-    final = _stage("postprocess", lambda: fusion.postprocess(fused, options.ks(cfg)[2], options.min_score))
+def hybrid(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, text: bool = True, trace: Trace | None = None) -> DataFrame:
+    """The final chunks of each query with ``rank``, all scores and (``text``) their text. Events tell of
+    the plan; nothing has run yet when the last one is told."""
+    trace = trace or Trace()
+    trace.event("query_start", top_k=options.top_k, min_score=options.min_score, enable_vector=options.enable_vector, enable_graph=options.enable_graph)
+    found, linked, fused = retrieve(index, queries, cfg, options, embed)
+    for name, rows in (("vector_retrieved", found), ("graph_retrieved", linked)):
+        if rows is not None:
+            trace.event(name)
+    final = _stage("postprocess", lambda: fusion.postprocess(fused, options.ks(cfg)[2], options.min_score), trace)
+    trace.event("query_done")
     return with_text(final, index) if text else final
 
 

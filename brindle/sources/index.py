@@ -13,6 +13,7 @@ from brindle.config import RetrievalConfig
 from brindle.errors import NotFoundError, ValidationError
 from brindle.functions.text import extract_terms, strip
 from brindle.functions.vectors import hash_embedding, norm
+from brindle.observe import Trace
 from brindle.operators.chunking import chunk_documents
 from brindle.schemas import INDEX
 
@@ -43,8 +44,8 @@ def replaced(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class IndexStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, trace: Trace | None = None):
+        self.spark, self.path, self.trace = spark, path.rstrip("/"), trace or Trace()
         self._path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._files = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -62,7 +63,9 @@ class IndexStore:
 
     def write(self, rows: DataFrame) -> int:
         version = (self.versions() or [0])[-1] + 1
+        self.trace.event("ingest_start", version=version)
         rows.select(*[x.split()[0] for x in INDEX.split(", ")]).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "position").write.parquet(f"{self.path}/v{version}")
+        self.trace.event("ingest_done", version=version)
         return version
 
     def upsert(self, batch: DataFrame) -> int:

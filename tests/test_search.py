@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
 from brindle.errors import QueryExecutionError, ValidationError
 from brindle.functions.vectors import norm
+from brindle.observe import RecordedTrace, Trace, set_up_logging
 from brindle.operators import answer, evaluate, fusion, graph, terms, vector
 from brindle.plans import hybrid
 
@@ -198,6 +199,7 @@ def test_measures(spark):
     row = measured(spark, ["c2", "c3", "c1"], ["c1"], 2)
     assert row.recall_at_k == 0.0 and round(row.mrr, 4) == 0.3333
     row = measured(spark, ["c1", "c3"], ["c1", "c2"], 2)
+    assert "ranks of relevant: c1: 1, c2: not found" in evaluate.case_report(evaluate.evaluated(spark.createDataFrame([("m", "q", ["c1", "c3"], ["c1", "c2"])], "mode string, query string, retrieved_chunk_ids array<string>, relevant_chunk_ids array<string>"), 2))
     assert row.relevant_ranks == {"c1": 1, "c2": None} and row.false_negatives == ["c2"] and row.false_positives == ["c3"]
     assert measured(spark, ["c1", "c3", "c1"], ["c1"], 3).relevant_ranks == {"c1": 3}
     assert measured(spark, ["x", "x"], ["y", "y"], 3).false_positives == ["x", "x"]
@@ -241,5 +243,17 @@ def test_bad_queries(spark):
 
 def test_modes_need_only_their_side(spark):
     c = chunk_rows(spark, CASES[0][0])  # no embeddings
-    rows = hybrid.hybrid(c, asked(spark, "python"), GREEDY, QueryOptions(enable_vector=False)).orderBy("rank").collect()
+    trace = RecordedTrace()
+    rows = hybrid.hybrid(c, asked(spark, "python"), GREEDY, QueryOptions(enable_vector=False), trace=trace).orderBy("rank").collect()
+    assert [e for e, _ in trace.events] == ["query_start", "graph_retrieved", "query_done"]
     assert [(r.chunk_id, r.source, r.text) for r in rows] == [("c1", "graph", "python fastapi tutorial"), ("c2", "graph", "fastapi backend service")]
+
+
+def test_trace(tmp_path, monkeypatch):
+    import logging
+
+    monkeypatch.setattr(logging.getLogger("brindle"), "handlers", [])
+    set_up_logging(str(tmp_path / "log"))
+    trace = Trace("t1", lambda: "now").bind(doc_id="d")
+    trace.event("ingest_start", n=1)
+    assert '{"event": "ingest_start", "trace_id": "t1", "doc_id": "d", "n": 1}' in (tmp_path / "log").read_text() and trace.started_at == "now"

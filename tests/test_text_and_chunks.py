@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
 from brindle.errors import ValidationError
 from brindle.functions.text import extract_terms, normalise_terms, snippet, strip
-from brindle.functions.vectors import cosine, fake_embedding, hash_embedding, model_embedding
+from brindle.functions.vectors import cosine, fake_embedding, from_json, hash_embedding, model_embedding, to_json
 from brindle.operators.chunking import chunk_documents, chunk_quality, ingest_result
 
 
@@ -108,6 +108,10 @@ def test_embeddings(spark):
     assert one(spark, "abc", model_embedding(lambda: lambda texts: [[float(len(t)), 4.0] for t in texts], normalise=True)) == [0.6, 0.8]
 
 
+def test_embedding_as_json(spark):
+    assert one(spark, [0.1, 1 / 3], lambda c: from_json(to_json(c)), "array<double>") == [0.1, 1 / 3]
+
+
 @pytest.mark.parametrize("a, b, expected", [([1.0, 0.0], [0.8, 0.2], 0.970143), ([0.0, 0.0], [1.0, 0.0], 0.0), ([1.0], [1.0, 0.0], None)])
 def test_cosine(spark, a, b, expected):
     got = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(cosine(F.col("a"), F.col("b"))).first()[0]

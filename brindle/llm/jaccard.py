@@ -4,13 +4,17 @@ Documents become sets of hashed word shingles. Equal sets are one class from the
 over classes.
 
 1. Sets of like size have at most d shingles that only one of two linked sets has. So a set is cut, by
-   hash, into d + 3 parts: two linked sets have parts that are equal as a whole, and of these one that
-   isn't empty, unless a set has three empty parts (then it posts that it has). A class posts the hash
-   of each part. Common lines and passages don't make whole parts equal.
-2. Classes that post the same part are chained in order of their ids (a lag, with no pairs).
-3. Chained classes are a candidate block (components over the chains). Whole sets
-   are fetched for candidates only, each to its block; a block over ``BLOCK`` shingles is cut by size
-   and every pair of cuts whose sizes allow a link is compared.
+   hash, into d + r parts (r = d / 4 + 6): two linked sets have r parts or more that are equal as a whole.
+   A class posts the hash of each part that isn't empty (and, if r or more are, that it has so many).
+2. With e empty parts r - e are shared and posted, so a class may drop the r - e - 1 of its posts with the
+   longest lists, and linked sets still share one. Parts made of common lines or passages alone leave
+   the lists so.
+3. Classes that post the same part are paired if they are ``FEW`` at most, else chained in order (lags of one
+   window). A pair stays if the two sets' sketches allow a link: a sketch has a bit for the parity of
+   each of 64, 128, ... hash buckets, so that sketches never differ more than sets do. What stays makes
+   candidate blocks (components over pairs and chains). Whole texts are fetched for candidates only, each
+   to its block; a block over ``BLOCK`` shingles is cut by size and every pair of cuts whose sizes allow a
+   link is compared.
 4. In a block an index over rare shingles is read in order of size: list entries whose size or
    position rules a link out are skipped as blocks of the list. Sets already connected aren't compared
    again, and what a similar set's comparisons have shown bounds the next set's overlaps without
@@ -41,6 +45,8 @@ from brindle.llm.components import components
 
 #: Shingles of the sets that are compared together, on either side.
 BLOCK = 2_000_000
+#: Classes with the same part that are paired; more are chained.
+FEW = 6
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BASE, -1, 1 << 64))
@@ -105,14 +111,19 @@ def size_class(n: int) -> tuple[int, int]:
     return low, high
 
 
-def parts(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a set: for its own class of sizes, and for the next if it has partners there."""
-    n = len(s)
+def shared_parts(unlike: int) -> int:
+    """How many parts linked sets have in common, at least: a quarter of what may be unlike, and a few."""
+    return unlike // 4 + 6
+
+
+def parts(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """For the set's own class of sizes, and for the next if it has partners there: how many posts may be
+    dropped, and the hashes of the parts."""
+    n, found = len(s), []
     if not n:
-        return s
+        return found
     u = s.view(np.uint64)
     low, high = size_class(n)
-    found = []
     with np.errstate(over="ignore"):
         spread = _mix(u)
         for first in (low, high):
@@ -122,15 +133,38 @@ def parts(s: np.ndarray, percent: int) -> np.ndarray:
             unlike = 2 * most * (100 - percent) // (100 + percent)
             if not unlike:
                 continue  # linked sets are equal, and one class already
-            k = unlike + 3
+            shared = shared_parts(unlike)
+            k = unlike + shared
             at = ((u >> np.uint64(17)) % np.uint64(k)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             filled, begin = np.unique(at[order], return_index=True)
-            sums = np.add.reduceat(spread[order], begin)
-            found.append(_mix(sums + _mix(filled.astype(np.uint64) + np.uint64(first << 20))))
-            if k - len(filled) >= 3:
-                found.append(_mix(np.array([first << 20 | 0xFFFFF], np.uint64)))
-    return np.concatenate(found).view(np.int64) if found else s[:0]
+            hashes = _mix(np.add.reduceat(spread[order], begin) + _mix(filled.astype(np.uint64) + np.uint64(first << 20)))
+            empty = k - len(filled)
+            if empty >= shared:
+                hashes = np.append(hashes, _mix(np.array([first << 20 | 0xFFFFF], np.uint64)))
+            found.append((max(0, shared - 1 - empty), hashes.view(np.int64)))
+    return found
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of hash buckets, as many (a power of two, 64 at least) as the set has shingles, or more."""
+    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+    at = (_mix_of(s) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1).tobytes()
+
+
+def _mix_of(s: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(s.view(np.uint64))
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded: at most as the sets do."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(folded ^ x).sum())
 
 
 class Block:
@@ -222,27 +256,67 @@ class Block:
         return out
 
 
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, set_key (128 bits) and parts of every row; one pass over the texts."""
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, class (64 bits of the set's hash) and sketch of every row; one pass over the texts."""
     slim = docs.select("doc_id", whole("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([parts(s, percent) for s in sets], pa.list_(pa.int64())),
-            ], ["doc_id", "n", "set_key", "parts"])
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()),
+            ], ["doc_id", "n", "class", "sketch"])
 
-    return slim.mapInArrow(run, "doc_id bigint, n bigint, set_key binary, parts array<bigint>")
+    return slim.mapInArrow(run, "doc_id bigint, n bigint, class bigint, sketch binary")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """``rep, block``: classes that post a part that another posts."""
-    posted = classes.select("rep", F.explode("parts").alias("part"))
-    chained = posted.withColumn("before", F.lag("rep").over(Window.partitionBy("part").orderBy("rep")))
-    edges = chained.where("before is not null").select(F.col("rep").alias("a"), F.col("before").alias("b"))
-    return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("block"))
+def _class(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _posts(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``part, class, drop, scheme``; a batch posts equal sets once."""
+    slim = docs.select(whole("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            once = {_class(s): s for s in shingle_sets(batch.column(0).to_pylist(), words)}
+            rows = [(h, c, drop, i) for c, s in once.items() for i, (drop, h) in enumerate(parts(s, percent))]
+            if rows:
+                size = [len(r[0]) for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows])), *[pa.array(np.repeat([r[k] for r in rows], size), t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()))]], ["part", "class", "drop", "scheme"])
+
+    return slim.mapInArrow(run, "part bigint, class bigint, drop int, scheme int")
+
+
+def _alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, and their n and sketch) whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [apart(p, q) * (100 + percent) <= (i + j) * (100 - percent) for i, j, p, q in zip(n, m, x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def candidates(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """``class, block``: classes that post a part that another posts, and may be linked."""
+    posted = _posts(docs, words, percent).repartition("part").groupBy("part", "class").agg(F.min("drop").alias("drop"), F.min("scheme").alias("scheme"))
+    listed = posted.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("size > 1")
+    longest = F.row_number().over(Window.partitionBy("class", "scheme").orderBy(F.desc("size"), "part"))
+    kept = listed.withColumn("nth", longest).where("nth > drop")
+    order = Window.partitionBy("part").orderBy("class")
+    lags = F.array(*[F.lag("class", k).over(order) for k in range(1, FEW)])
+    many = F.count(F.lit(1)).over(Window.partitionBy("part")) > FEW
+    near = kept.select("class", lags.alias("before"), many.alias("many"))
+    before = F.array_compact(F.when(F.col("many"), F.slice("before", 1, 1)).otherwise(F.col("before")))
+    edges = settle(near.select(F.col("class").alias("a"), "many", F.explode(before).alias("b")).distinct())
+    side = classes.select("class", "n", "sketch")
+    pairs = edges.where(~F.col("many")).select("a", "b").join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    linked = _alike(pairs, percent).unionByName(edges.where("many").select("a", "b"))
+    return components(linked).select(F.col("node").alias("class"), F.col("component").alias("block"))
 
 
 def _cuts(members: DataFrame) -> DataFrame:
@@ -253,39 +327,31 @@ def _cuts(members: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b``: links between classes that span all of their components."""
-    members = candidates(classes).join(classes.select("rep", "n"), "rep")
+    members = candidates(docs, classes, words, percent).join(classes.select("class", "rep", "n"), "class").drop("class")
     cut = _cuts(members)
     edges = cut.groupBy("block", "cut").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = edges.select(F.col("block"), F.col("cut").alias("cut2"), F.col("least").alias("least2"))
     pairs = edges.join(other, "block").where((F.col("cut") <= F.col("cut2")) & (F.col("least2") * percent <= F.col("most") * 100))
     ends = pairs.select("block", F.explode(F.array_distinct(F.array("cut", "cut2"))).alias("cut"), F.struct(F.col("cut").alias("x"), F.col("cut2").alias("y")).alias("pair"))
     plan = cut.join(ends, ["block", "cut"]).groupBy("rep", "block", "cut").agg(F.collect_list("pair").alias("pairs"))
-    # only now whole texts: of candidates alone
+    # only now whole texts, of candidates alone; a text is shorter than its set of hashes
     texts = docs.select(F.col("doc_id").alias("rep"), whole("text").alias("text")).join(plan, "rep").dropDuplicates(["rep"])
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            sets = shingle_sets(batch.column(names.index("text")).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(x)) for x in ("rep", "block", "cut", "pairs")], pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "block", "cut", "pairs", "members"])
-
-    whole_sets = texts.mapInArrow(fetch, "rep bigint, block bigint, cut int, pairs array<struct<x:int,y:int>>, members binary")
-    spread = whole_sets.select("rep", "block", "cut", "members", F.explode("pairs").alias("pair")).select("rep", "block", "cut", "members", "pair.x", "pair.y")
+    spread = texts.select("rep", "block", "cut", "text", F.explode("pairs").alias("pair")).select("rep", "block", "cut", "text", "pair.x", "pair.y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ended(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
             side = [r[1] for r in rows] if key[1] != key[2] else None
-            found = Block([r[0] for r in rows], [np.frombuffer(r[2], np.int64) for r in rows], percent, side).links()
+            found = Block([r[0] for r in rows], shingle_sets([r[2] for r in rows], words), percent, side).links()
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
         key, rows = None, []
         for batch in batches:
-            for rep, block, cut, members, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+            for rep, block, cut, text, x, y in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != (block, x, y):
                     if rows:
                         yield ended(key, rows)
                     key, rows = (block, x, y), []
-                rows.append((rep, cut, members))
+                rows.append((rep, cut, text))
         if rows:
             yield ended(key, rows)
 
@@ -296,13 +362,12 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = settle(_sets(docs, words, percent))
-    filled = sets.where("n > 0")
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"))
-    classes = settle(classes.where("rep is not null"))
-    found = components(links(docs, classes, words, percent))
-    label = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return sets.select("doc_id", "n", "set_key").join(label, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    sets = settle(_sets(docs, words))
+    filled = sets.where("n > 0 and doc_id is not null").groupBy("class")
+    classes = settle(filled.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    found = components(links(docs.where("doc_id is not null"), classes, words, percent))
+    label = classes.select("class", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
+    return sets.select("doc_id", "n", "class").join(label, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

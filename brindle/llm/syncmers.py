@@ -3,8 +3,9 @@
 A k-mer of the text is an anchor when the smallest (by hash) of its inner s-mers is its first or its
 last one. That depends on the k-mer alone, so the same passage has the same anchors in any text, and
 anchors are at most k - s apart. A fingerprint lists, for each anchor, its 32-bit hash and its distance
-from the one before. Likeness is positional: the share (Dice) of anchors that two fingerprints match
-on their best diagonal, that is at one distance between the texts.
+from the one before. Likeness is positional: the share (Dice) of anchors on the longest chain that two
+fingerprints have in the same order, at whatever distance between the texts; each anchor counts once,
+and repeats of a passage count as often as both have them in order.
 
 The next document is found without a global sort: ids are cut into ranges, and the first row of each
 range is copied to the range before it (the very first to the last).
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ from brindle.llm.common import bounded_batches, whole
 K, S = 24, 8
 #: Ranges of ids, at most.
 RANGES = 256
+#: Pairs of equal anchors, for each anchor, that are chained one by one; texts with more repeats take rows of bits.
+FEW = 8
 LAST = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15
@@ -72,19 +76,48 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(32)).astype(np.uint32), at
 
 
+def chain(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest chain of equal hashes in the same order in both: exact, with all repeats."""
+    a, b = a[np.isin(a, b)], b[np.isin(b, a)]
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    head = int(unlike[0]) if len(unlike) else n
+    a, b, n = a[head:], b[head:], n - head
+    unlike = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])
+    tail = n - 1 - int(unlike[-1]) if len(unlike) else n
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not len(a) or not len(b):
+        return head + tail
+    names, x = np.unique(a, return_inverse=True)
+    order = np.argsort(x, kind="stable")
+    begin = np.searchsorted(x[order], np.arange(len(names) + 1))
+    y = np.searchsorted(names, b)
+    known = (y < len(names)) & (names[np.minimum(y, len(names) - 1)] == b)
+    y = y[known]
+    if (begin[y + 1] - begin[y]).sum() <= FEW * (len(a) + len(b)):
+        # few pairs: the least end of a chain of each length
+        ends: list[int] = []
+        where = order.tolist()
+        for k in y.tolist():
+            for at in reversed(where[begin[k] : begin[k + 1]]):
+                i = bisect_left(ends, at)
+                ends[i : i + 1] = [at]
+        return head + tail + len(ends)
+    # many repeats: a row of the table of chains is a number, a bit for each of a's anchors
+    full = (1 << len(a)) - 1
+    row = full
+    for k in y.tolist():
+        bits = np.zeros(len(a), np.uint8)
+        bits[order[begin[k] : begin[k + 1]]] = 1
+        hit = row & int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        row = ((row + hit) | (row - hit)) & full
+    return head + tail + len(a) - row.bit_count()
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    if len(a[0]) == len(b[0]) and (a[0] == b[0]).all() and (a[1] == b[1]).all():
-        return 1.0
-    # each hash by its first place in either; a text's repeats of a passage are one passage
-    ha, ia = np.unique(a[0], return_index=True)
-    hb, ib = np.unique(b[0], return_index=True)
-    _, x, y = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(x):
-        return 0.0
-    _, n = np.unique(a[1][ia[x]] - b[1][ib[y]], return_counts=True)
-    return float(2 * n.max() / (len(ha) + len(hb)))
+    return float(2 * chain(a[0], b[0]) / (len(a[0]) + len(b[0])))
 
 
 def packed(found: tuple[np.ndarray, np.ndarray]) -> str:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,36 @@ def test_anchors_are_closed_syncmers():
     assert len(syncmers.anchors("short")[0]) == 1 and len(syncmers.anchors("")[0]) == 0
 
 
+def plain_chain(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(row[j], before[j + 1]))
+    return row[-1]
+
+
+def test_chain_like_a_table():
+    rng = random.Random(8)
+    for _ in range(300):
+        names = rng.choice([2, 5, 100])
+        a, b = ([rng.randrange(names) for _ in range(rng.randint(0, 70))] for _ in range(2))
+        if rng.random() < 0.3:
+            b = a[: rng.randint(0, 70)] + b[:5] + a[rng.randint(0, 70) :]
+        assert syncmers.chain(np.array(a, np.uint32), np.array(b, np.uint32)) == plain_chain(a, b)
+
+
+def test_likeness_over_shifts():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    middle = words[:200] + ["inserted"] + words[200:]
+    spread = [w for i, x in enumerate(words) for w in ([x, "inserted"] if i % 80 == 40 else [x])]
+    found = [syncmers.likeness(syncmers.anchors(" ".join(words)), syncmers.anchors(" ".join(w))) for w in (middle, spread, words[::-1])]
+    assert found[0] > 0.95 and found[1] > 0.85 and found[2] < 0.1
+    twice = syncmers.anchors(" ".join(words * 2))
+    assert syncmers.likeness(twice, syncmers.anchors(" ".join(middle + words))) > 0.95 > 0.75 > syncmers.likeness(twice, syncmers.anchors(" ".join(words)))
+
+
 def test_fingerprints(spark):
     rng = random.Random(7)
     texts = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(1, 700))) for _ in range(60)] + ODD

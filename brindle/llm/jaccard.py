@@ -16,9 +16,11 @@ over classes.
    to its block; a block over ``BLOCK`` shingles is cut by size and every pair of cuts whose sizes allow a
    link is compared.
 4. In a block an index over rare shingles is read in order of size: list entries whose size or
-   position rules a link out are skipped as blocks of the list. Sets already connected aren't compared
-   again, and what a similar set's comparisons have shown bounds the next set's overlaps without
-   comparing. Links kept span the components.
+   position rules a link out are skipped as blocks of the list. What a similar set's comparisons have
+   shown bounds the next set's overlaps: links are found or ruled out so, and only pairs between the
+   bounds are compared. ``counted`` and ``pairs`` find every link; a task counts the links of each of its
+   sets and hands on a forest of them. ``join`` and ``one_of_each`` give components alone, and don't compare
+   sets already connected.
 
 Links are exact: 100 * intersection >= percent * union, on 64-bit shingle hashes.
 
@@ -47,6 +49,8 @@ from brindle.llm.components import components
 BLOCK = 2_000_000
 #: Classes with the same part that are paired; more are chained.
 FEW = 6
+#: Sets of a block whose overlaps with all others are kept, to bound those of similar sets.
+LEADERS = 8
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BASE, -1, 1 << 64))
@@ -168,7 +172,7 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 class Block:
-    """Compares the sets of a block; ``links`` are a forest over its components."""
+    """Compares the sets of a block; ``every`` gives all links, ``links`` a forest over its components."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int, side: list[int] | None = None):
         order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
@@ -187,6 +191,7 @@ class Block:
         rank[np.lexsort((names, count))] = np.arange(len(names))
         self.single = int((count == 1).sum())
         ranks, out, begin = rank[at], [], 0
+        self.ranks, self.begin = ranks, np.concatenate([np.zeros(1, np.int64), np.cumsum(self.size)])
         for n in self.size:
             r = ranks[begin : begin + n]
             out.append(np.sort(r)[: lacking(n, self.percent) + 1])
@@ -256,6 +261,84 @@ class Block:
         return out
 
 
+    def overlaps(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Overlaps of set ``i`` with each of ``j``."""
+        if not len(j):
+            return np.zeros(0, np.int64)
+        self.compared += len(j)
+        self.mark[self.ranks[self.begin[i] : self.begin[i + 1]]] = True
+        ends = np.cumsum(self.size[j])
+        starts = ends - self.size[j]
+        at = np.repeat(self.begin[j] - starts, self.size[j]) + np.arange(ends[-1])
+        found = np.add.reduceat(self.mark[self.ranks[at]], starts, dtype=np.int64)
+        self.mark[self.ranks[self.begin[i] : self.begin[i + 1]]] = False
+        return found
+
+    def every(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Every link, once: places of a set and of those before it, in order of size, that it is linked to."""
+        prefixes = self._prefixes()
+        self.mark = np.zeros(int(self.ranks.max()) + 1 if len(self.ranks) else 0, bool)
+        length = np.array([len(p) for p in prefixes], np.int64)
+        token, owner = np.concatenate(prefixes), np.repeat(np.arange(len(prefixes)), length)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
+        order = np.lexsort((owner, token))
+        spot = np.empty(len(order), np.int64)  # of a post, in the lists
+        spot[order] = np.arange(len(order))
+        top = np.searchsorted(token[order], token)  # where its list begins
+        shared, owners, places = token >= self.single, owner[order], place[order]
+        last, leaders = np.cumsum(length), {}
+        for i, n in enumerate(self.size):
+            mine = slice(last[i] - length[i], last[i])
+            use = shared[mine] & (spot[mine] > top[mine])
+            low, many = top[mine][use], (spot[mine] - top[mine])[use]
+            if not len(many):
+                continue
+            ends = np.cumsum(many)
+            at = np.repeat(low - ends + many, many) + np.arange(ends[-1])
+            j, p = owners[at], np.repeat(place[mine][use], many)
+            first = np.searchsorted(self.size, -(-self.percent * n // 100))
+            room = 1 + np.minimum(n - p - 1, self.size[j] - places[at] - 1)
+            j = np.unique(j[(j >= first) & (room >= self.needed(i, j))])
+            if self.across:
+                j = j[self.side[j] != self.side[i]]
+            if not len(j):
+                continue
+            need, low, high = self.needed(i, j), np.zeros(len(j), np.int64), np.minimum(n, self.size[j])
+            led = j[np.isin(j, list(leaders))]
+            for k, o in zip(led.tolist(), self.overlaps(i, led).tolist()):
+                with_k = leaders[k]
+                with_k[i] = o
+                known = with_k[j] >= 0
+                low = np.where(known, np.maximum(low, with_k[j] - (self.size[k] - o)), low)
+                high = np.where(known, np.minimum(high, with_k[j] + (n - o)), high)
+                low[j == k] = high[j == k] = o
+            open_ = (low < need) & (high >= need)
+            self.derived += int((~open_).sum()) - len(led)
+            low[open_] = high[open_] = self.overlaps(i, j[open_])
+            if 2 * open_.sum() > len(j):
+                if len(leaders) == LEADERS:
+                    del leaders[next(iter(leaders))]
+                leaders[i] = np.full(len(self.size), -1, np.int64)
+                leaders[i][i] = n
+                exact = low == high
+                leaders[i][j[exact]] = low[exact]
+            if len(found := j[low >= need]):
+                yield i, found
+
+    def counts(self, copies: dict[int, int]) -> tuple[list[int], list[tuple[int, int]]]:
+        """For each set how many rows every link of it leads to, with ``copies`` of each id's set; and a forest."""
+        weight = np.array([copies[x] for x in self.ids], np.int64)
+        found, root, forest = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids)), []
+        for i, j in self.every():
+            found[i] += weight[j].sum()
+            found[j] += weight[i]
+            for r, k in zip(*np.unique(root[j], return_index=True)):
+                if r != root[i]:
+                    forest.append((self.ids[j[k]], self.ids[i]))
+                    root[root == r] = root[i]
+        return found.tolist(), forest
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, class (64 bits of the set's hash) and sketch of every row; one pass over the texts."""
     slim = docs.select("doc_id", whole("text").alias("text"))
@@ -325,49 +408,89 @@ def _cuts(members: DataFrame) -> DataFrame:
     return settle(members.withColumn("cut", F.floor((F.sum("n").over(run) - F.col("n")) / F.lit(BLOCK)).cast("int")))
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b``: links between classes that span all of their components."""
-    members = candidates(docs, classes, words, percent).join(classes.select("class", "rep", "n"), "class").drop("class")
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, what: str = "forest") -> DataFrame:
+    """``a, b, n``: links between classes. ``forest``: some, that span all of their components; ``pairs``: all;
+    ``counts``: such a forest of all, and rows without b, to how many rows (n) links of a lead in a task."""
+    members = candidates(docs, classes, words, percent).join(classes.select("class", "rep", "n", "copies"), "class").drop("class")
     cut = _cuts(members)
     edges = cut.groupBy("block", "cut").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = edges.select(F.col("block"), F.col("cut").alias("cut2"), F.col("least").alias("least2"))
     pairs = edges.join(other, "block").where((F.col("cut") <= F.col("cut2")) & (F.col("least2") * percent <= F.col("most") * 100))
     ends = pairs.select("block", F.explode(F.array_distinct(F.array("cut", "cut2"))).alias("cut"), F.struct(F.col("cut").alias("x"), F.col("cut2").alias("y")).alias("pair"))
-    plan = cut.join(ends, ["block", "cut"]).groupBy("rep", "block", "cut").agg(F.collect_list("pair").alias("pairs"))
+    plan = cut.join(ends, ["block", "cut"]).groupBy("rep", "block", "cut", "copies").agg(F.collect_list("pair").alias("pairs"))
     # only now whole texts, of candidates alone; a text is shorter than its set of hashes
     texts = docs.select(F.col("doc_id").alias("rep"), whole("text").alias("text")).join(plan, "rep").dropDuplicates(["rep"])
-    spread = texts.select("rep", "block", "cut", "text", F.explode("pairs").alias("pair")).select("rep", "block", "cut", "text", "pair.x", "pair.y")
+    spread = texts.select("rep", "block", "cut", "copies", "text", F.explode("pairs").alias("pair")).select("rep", "block", "cut", "copies", "text", "pair.x", "pair.y")
+    types = [pa.int64()] * 3
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ended(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
             side = [r[1] for r in rows] if key[1] != key[2] else None
-            found = Block([r[0] for r in rows], shingle_sets([r[2] for r in rows], words), percent, side).links()
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            block = Block([r[0] for r in rows], shingle_sets([r[2] for r in rows], words), percent, side)
+            if what == "pairs":
+                found = [(block.ids[k], block.ids[i], None) for i, j in block.every() for k in j.tolist()]
+            elif what == "counts":
+                many, forest = block.counts({r[0]: r[3] for r in rows})
+                found = [(a, None, n) for a, n in zip(block.ids, many) if n] + [(a, b, None) for a, b in forest]
+            else:
+                found = [(a, b, None) for a, b in block.links()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], ["a", "b", "n"])
 
         key, rows = None, []
         for batch in batches:
-            for rep, block, cut, text, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+            for rep, block, cut, copies, text, x, y in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != (block, x, y):
                     if rows:
                         yield ended(key, rows)
                     key, rows = (block, x, y), []
-                rows.append((rep, cut, text))
+                rows.append((rep, cut, text, copies))
         if rows:
             yield ended(key, rows)
 
-    return spread.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    return spread.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y").mapInArrow(compare, "a bigint, b bigint, n bigint")
+
+
+def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows; the classes of those with an id."""
+    sets = settle(_sets(docs, words))
+    filled = sets.where("n > 0 and doc_id is not null").groupBy("class")
+    return sets, settle(filled.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
+
+
+def _labelled(sets: DataFrame, classes: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row, and ``more`` columns of its class."""
+    found = components(edges)
+    label = classes.select("class", "rep", *more).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"), *more)
+    return sets.select("doc_id", "n", "class").join(label, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+    """``doc_id, n_shingles, component_id`` of every row: components alone, from links that span them."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = settle(_sets(docs, words))
-    filled = sets.where("n > 0 and doc_id is not null").groupBy("class")
-    classes = settle(filled.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    found = components(links(docs.where("doc_id is not null"), classes, words, percent))
-    label = classes.select("class", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    return sets.select("doc_id", "n", "class").join(label, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    sets, classes = _classes(docs, words)
+    return _labelled(sets, classes, links(docs.where("doc_id is not null"), classes, words, percent).select("a", "b"))
+
+
+def counted(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``join``'s columns and ``n_links``: how many other rows with an id are linked to the row, copies too."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sets, classes = _classes(docs, words)
+    found = settle(links(docs.where("doc_id is not null"), classes, words, percent, "counts"))
+    many = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
+    classes = classes.join(many, "rep", "left").withColumn("reached", F.col("copies") + F.coalesce("linked", F.lit(0)))
+    rows = _labelled(sets, classes, found.where("b is not null").select("a", "b"), "reached")
+    itself = F.col("doc_id").isNotNull().cast("bigint")
+    return rows.select("doc_id", "n_shingles", "component_id", F.when(F.col("n_shingles") > 0, F.coalesce(F.col("reached") - itself, F.lit(0))).otherwise(0).cast("bigint").alias("n_links"))
+
+
+def pairs(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``a, b``: every link between unlike sets, by the smallest ids of their classes, a < b."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    found = links(docs, _classes(docs, words)[1], words, percent, "pairs")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

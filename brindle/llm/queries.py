@@ -45,7 +45,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return jaccard.counted(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_secret_scans, op4_byte_bpe, op5_language_id, op6_nearest_neighbours, op7_sharding, op8_suffix_dedup, op9_document_fingerprints, op10_ngram_jaccard_join)}

@@ -224,6 +224,54 @@ def test_blocks_skip(spark):
     assert len(block.links()) == 199 and block.compared == 199  # not the 19,900 pairs
 
 
+def plain_links(texts, k, percent):
+    """Every pair of linked texts, copies too."""
+    sets = []
+    for t in texts:
+        w = [x for x in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    return [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and 100 * len(a & b) >= percent * len(a | b)], sets
+
+
+@pytest.mark.parametrize("k, percent, block", [(3, 90, 10**6), (5, 80, 10**6), (2, 80, 60)])
+def test_every_link(spark, monkeypatch, k, percent, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(10 + k)
+    base = " ".join(rng.choice([f"w{i}" for i in range(50)]) for _ in range(60))
+    texts = near_copies(rng, [f"w{i}" for i in range(50)], 30, 20) + [None, "", "A b", "a B"] + [f"{base} end{i % 25}" for i in range(30)]
+    want, sets = plain_links(texts, k, percent)
+    counts = collections.Counter(x for pair in want for x in pair)
+    rows = {r.doc_id: r for r in jaccard.counted(docs(spark, texts), k, percent).collect()}
+    assert {i: r.n_links for i, r in rows.items()} == {i: counts[i] for i in range(len(texts))}
+    assert {i: (r.n_shingles, r.component_id) for i, r in rows.items()} == plain_join(texts, k, percent)
+    first = {frozenset(x): i for i, x in reversed(list(enumerate(sets)))}
+    got = [tuple(r) for r in jaccard.pairs(docs(spark, texts), k, percent).collect()]
+    assert sorted(got) == sorted({tuple(sorted((first[frozenset(sets[a])], first[frozenset(sets[b])]))) for a, b in want if sets[a] != sets[b]})
+
+
+def test_links_of_odd_rows(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, base), (3, base), (None, base), (None, None), (8, base + " thirteen"), (9, "other")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard.counted(d, 3, 80)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted((str(r.doc_id), r.n_links) for r in got.collect()) == [("3", 2), ("3", 2), ("8", 2), ("9", 0), ("None", 0), ("None", 3)]
+    assert jaccard.counted(d.where("false")).count() == 0 and jaccard.pairs(d.where("false")).count() == 0
+
+
+def test_block_gives_every_link():
+    base = list(range(400))
+    sets = [np.array(sorted({*base[:-1], 1000 + i}), np.int64) for i in range(200)]
+    block = jaccard.Block(list(range(200)), sets, 90)
+    assert sum(len(j) for _, j in block.every()) == 19_900 and block.compared < 1000 < block.derived
+    rng = np.random.default_rng(4)
+    for percent in (50, 70, 80, 90):
+        sets = [np.unique(rng.choice(40 + 10 * (i % 3), rng.integers(20, 40))) for i in range(150)]
+        block = jaccard.Block(list(range(150)), sets, percent)
+        got = sorted(tuple(sorted((block.ids[i], block.ids[k]))) for i, j in block.every() for k in j.tolist())
+        assert got == [(a, b) for a in range(150) for b in range(a + 1, 150) if 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= percent * (len(sets[a]) + len(sets[b]) - o)]
+
+
 def test_similar_sets_bound_each_other():
     # two clusters that share 85 of 100, and small sets that make what they don't share common
     rng = np.random.default_rng(3)

@@ -121,18 +121,20 @@ def shared_parts(unlike: int) -> int:
 
 
 def parts(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """For the set's own class of sizes, and for the next if it has partners there: how many posts may be
-    dropped, and the hashes of the parts."""
+    """For the set's own class of sizes, and for each later one in which it has partners: how many posts
+    may be dropped, and the hashes of the parts."""
     n, found = len(s), []
     if not n:
         return found
     u = s.view(np.uint64)
-    low, high = size_class(n)
+    first, after = size_class(n)
+    firsts = [first]
+    while after * percent <= 100 * n:
+        firsts.append(after)
+        after = size_class(after)[1]
     with np.errstate(over="ignore"):
         spread = _mix(u)
-        for first in (low, high):
-            if first == high and high * percent > 100 * n:
-                continue
+        for first in firsts:
             most = size_class(first)[1] - 1
             unlike = 2 * most * (100 - percent) // (100 + percent)
             if not unlike:
@@ -450,6 +452,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, what: s
     return spread.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y").mapInArrow(compare, "a bigint, b bigint, n bigint")
 
 
+def _checked(percent: int) -> None:
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+
+
 def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows; the classes of those with an id."""
     sets = settle(_sets(docs, words))
@@ -466,6 +473,7 @@ def _labelled(sets: DataFrame, classes: DataFrame, edges: DataFrame, *more: str)
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: components alone, from links that span them."""
+    _checked(percent)
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets, classes = _classes(docs, words)
@@ -474,6 +482,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 def counted(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``join``'s columns and ``n_links``: how many other rows with an id are linked to the row, copies too."""
+    _checked(percent)
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets, classes = _classes(docs, words)
@@ -487,6 +496,7 @@ def counted(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 def pairs(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``a, b``: every link between unlike sets, by the smallest ids of their classes, a < b."""
+    _checked(percent)
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     found = links(docs, _classes(docs, words)[1], words, percent, "pairs")

@@ -249,6 +249,23 @@ def test_every_link(spark, monkeypatch, k, percent, block):
     assert sorted(got) == sorted({tuple(sorted((first[frozenset(sets[a])], first[frozenset(sets[b])]))) for a, b in want if sets[a] != sets[b]})
 
 
+def test_links_two_size_classes_apart(spark):
+    # a class lies between those of 209 and 315 shingles
+    assert jaccard.size_class(209) == (140, 210) and jaccard.size_class(210)[1] == 315
+    words = [f"w{i}" for i in range(315)]
+    texts = [" ".join(words[:209]), " ".join(words), "x y"]
+    for percent, want in ((66, [1, 1, 0]), (67, [0, 0, 0])):
+        rows = sorted(tuple(r) for r in jaccard.counted(docs(spark, texts), 1, percent).collect())
+        assert [r[3] for r in rows] == want and [r[2] for r in rows] == [0, 1 - want[0], 2]
+    rng = random.Random(12)
+    long = [" ".join(rng.sample(words, n)) for n in (30, 40, 60, 90, 120, 160, 200, 240, 265) for _ in range(3)]
+    got = {r.doc_id: r.n_links for r in jaccard.counted(docs(spark, long), 1, 30).collect()}
+    counts = collections.Counter(x for pair in plain_links(long, 1, 30)[0] for x in pair)
+    assert got == {i: counts[i] for i in range(len(long))}
+    with pytest.raises(ValueError):
+        jaccard.join(docs(spark, texts), 1, 0)
+
+
 def test_links_of_odd_rows(spark):
     base = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(3, base), (3, base), (None, base), (None, None), (8, base + " thirteen"), (9, "other")]

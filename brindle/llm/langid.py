@@ -6,7 +6,8 @@ their mean is the word's score. A text's score is the mean over its words; ``sco
 the best language under a softmax of the summed scores.
 
 The model is fitted on a bounded sample (``PER_LANG`` documents of each language on average, chosen
-by the hash of the id) of rows that aren't held out, and is bounded with it.
+by the hash of the id) of rows that aren't held out, and is bounded with it. Every language that has a
+word there is learnt, at most ``MOST_LANGS``, else an error; n-grams are counted over all its words.
 
 Defined cases: ``und`` and score 0 for a null text, a text without a letter, or a model without any
 language; ties go to the first language in order; repeated rows stay; an empty table gives no
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import bounded_batches, held_out, whole
 
-#: Documents of a language in the sample; languages at most; fewest times that a word or n-gram is seen.
+#: Documents of a language in the sample; languages at most; fewest times that a known word is seen.
 PER_LANG, MOST_LANGS, LEAST = 1500, 1000, 2
 LONGEST = 5
 #: Unknown words whose scores a worker keeps.
@@ -76,9 +77,8 @@ class Model:
                 found = by_n[size - 1]
                 for g in grams(word, size):
                     found[g][k] += n
-        kept = [{g: c for g, c in found.items() if sum(c.values()) >= 2 * LEAST} for found in by_n]
         w, wl = logs(words, len(langs))
-        pairs = [logs(c, len(langs)) for c in kept]
+        pairs = [logs(c, len(langs)) for c in by_n]
         return cls(langs, w, wl, [p[0] for p in pairs], [p[1] for p in pairs])
 
     def back_off(self, word: str) -> np.ndarray:
@@ -119,14 +119,16 @@ class Model:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    sizes = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return Model.fit([])
     # a share of each language's rows, by the id's hash: no sort, and no task with a whole language
     share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))]), F.col("lang"))
     sample = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
-    counts = words.groupBy("lang", "word").count().where(F.col("count") >= LEAST)
+    counts = words.groupBy("lang", "word").count()
     return Model.fit([tuple(r) for r in counts.collect()])
 
 

@@ -77,6 +77,19 @@ def test_language(spark):
     assert langid.identify(d.where("false")).count() == 0
 
 
+def test_language_of_few_words(spark, monkeypatch):
+    free = [i for i in range(100) if not held(i)]
+    texts, names = ["der hund und die katze"] * 100, ["de"] * 100
+    texts[free[0]], names[free[0]] = "çok güzel yağmur", "tr"  # each word once
+    d = docs(spark, texts + ["güzel yağmurlu"], lang=names + [None])
+    rows = {r.doc_id: r for r in langid.identify(d).collect()}
+    assert langid.fit(d).langs == ["de", "tr"]
+    assert rows[free[0]].lang_pred == rows[100].lang_pred == "tr" and rows[free[1]].lang_pred == "de"
+    monkeypatch.setattr(langid, "MOST_LANGS", 1)
+    with pytest.raises(ValueError):
+        langid.fit(d)
+
+
 def byte_ranks():
     return {bytes([b]): b for b in range(256)}
 

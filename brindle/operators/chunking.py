@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.config import RetrievalConfig
 from brindle.errors import ValidationError
+from brindle.functions.arrays import bound, emitted
 from brindle.functions.text import strip
 
 #: Separators of the recursive chunker, in order.
@@ -21,8 +22,9 @@ def _checked(size: int, overlap: int) -> None:
 
 
 def _windows(text: Column, size: int, step: int) -> Column:
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))
+    """Substrings of at most ``size`` characters that begin ``step`` apart, found in one pass over the text."""
+    pattern = rf"(?s)(?=(.{{1,{size}}})).{{1,{step}}}" if step < size else rf"(?s)(.{{1,{size}}})"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
 def fixed_chunks(text: Column, size: int = 400, overlap: int = 50) -> Column:
@@ -38,30 +40,27 @@ def recursive_chunks(text: Column, size: int = 400, overlap: int = 50) -> Column
     recursion is a level for each separator: only pieces that are still too long are cut again.
     ``overlap`` is checked but not used."""
     _checked(size, overlap)
-    t = strip(F.coalesce(text, F.lit("")))
-    none = F.array().cast("array<string>")
-    pieces = F.when(t != "", F.array(t)).otherwise(none)
+    pieces = F.filter(F.array(strip(F.coalesce(text, F.lit("")))), lambda t: t != "")
 
     def level(found: Column, sep: str) -> Column:
+        def kept(parts: Column) -> Column:
+            return F.array_compact(F.transform(parts, lambda x, i: F.when(x == "", None).when(i < F.size(parts) - 1, F.concat(x, F.lit(sep))).otherwise(x)))
+
         def cut(p: Column) -> Column:
-            parts = F.split(p, re.escape(sep), -1)
-            last = F.size(parts) - 1
-            kept = F.transform(parts, lambda x, i: F.when(x == "", None).when(i < last, F.concat(x, F.lit(sep))).otherwise(x))
-            return F.when(F.length(p) <= size, F.array(p)).otherwise(F.array_compact(kept))
+            return F.when(F.length(p) <= size, F.array(p)).otherwise(bound(F.split(p, re.escape(sep), -1), kept))
 
         return F.flatten(F.transform(found, cut))
 
     for sep in SEPARATORS:
         pieces = level(pieces, sep)
     pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_windows(p, size, size))))
-    start = F.struct(none.alias("done"), F.lit("").alias("now"))
+    none = F.array().cast("array<string>")
 
-    def pack(so_far: Column, p: Column) -> Column:
-        fits = F.length(so_far["now"]) + F.length(p) <= size
-        full = F.when(so_far["now"] != "", F.concat(so_far["done"], F.array(so_far["now"]))).otherwise(so_far["done"])
-        return F.struct(F.when(fits, so_far["done"]).otherwise(full).alias("done"), F.when(fits, F.concat(so_far["now"], p)).otherwise(p).alias("now"))
+    def pack(now: Column, p: Column) -> tuple[Column, Column]:
+        fits = F.length(now) + F.length(p) <= size
+        return F.when(fits, F.concat(now, p)).otherwise(p), F.when(fits | (now == ""), none).otherwise(F.array(now))
 
-    return F.aggregate(pieces, start, pack, lambda x: F.when(x["now"] != "", F.concat(x["done"], F.array(x["now"]))).otherwise(x["done"]))
+    return emitted(pieces, F.lit(""), "array<string>", pack, lambda now: F.when(now != "", F.array(now)).otherwise(none))
 
 
 def chunk_documents(docs: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:

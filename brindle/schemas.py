@@ -1,12 +1,4 @@
 """Schemas of the engine's tables."""
 
-DOCS = "doc_id string, text string, metadata map<string,string>"
-CHUNKS = "chunk_id string, text string, position int, parent_id string, length int, section string"
 #: What an index holds: chunks with their terms, embedding and its norm.
 INDEX = "chunk_id string, doc_id string, position int, text string, length int, terms array<string>, embedding array<double>, norm double"
-POSTINGS = "chunk_id string, doc_id string, term string"
-TERM_EDGES = "source string, target string, weight double"
-QUERIES = "query_id string, query string"
-RETRIEVED = "query_id string, doc_id string, chunk_id string, text string, score double, source string"
-CITATIONS = "query_id string, doc_id string, chunk_id string, source string, score double"
-EVAL_SAMPLES = "query string, relevant_chunk_ids array<string>"

@@ -1,16 +1,21 @@
-"""The index: chunks with terms and embeddings, as versions of a Parquet table.
+"""The index: chunks with terms and embeddings, in buckets of documents.
 
-A version is written whole and counts once its success file exists, so readers see all or nothing."""
+A write puts new files for the buckets that it touches in a folder of its own, then commits by a small
+file that names the folder of each bucket. Readers follow the newest commit, so they see all of a write or
+nothing; a write that dies leaves a folder that nothing names; of two writers at once the second
+commit fails."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.config import RetrievalConfig
-from brindle.errors import NotFoundError, ValidationError
+from brindle.errors import ConflictError, NotFoundError, ValidationError
 from brindle.functions.text import extract_terms, strip
 from brindle.functions.vectors import hash_embedding, norm
 from brindle.observe import Trace
@@ -18,6 +23,7 @@ from brindle.operators.chunking import chunk_documents
 from brindle.schemas import INDEX
 
 Embedder = Callable[[Column], Column]
+COLUMNS = [x.split()[0] for x in INDEX.split(", ")]
 
 
 def reject_report(docs: DataFrame) -> DataFrame:
@@ -26,11 +32,19 @@ def reject_report(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", why.alias("reason")).where("reason is not null")
 
 
-def build_index(docs: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None, strict: bool = False) -> DataFrame:
+def last_of_each(docs: DataFrame, order: str) -> DataFrame:
+    """One row (doc_id, text) of each document: the last by ``order``, of equals the greater text."""
+    return docs.groupBy("doc_id").agg(F.max(F.struct(F.col(order), F.col("text"))).alias("last")).select("doc_id", "last.text")
+
+
+def build_index(docs: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None, strict: bool = False, order: str | None = None) -> DataFrame:
     """Index rows of ``docs`` (doc_id, text). One narrow pass: no shuffle. Documents that can't be
-    ingested are left out (``reject_report`` has them), or raise if ``strict``."""
+    ingested are left out (``reject_report`` has them), or raise if ``strict``. If documents may be there more
+    than once, ``order`` names the column by which the last one counts; without it a store refuses them."""
     if strict and (bad := reject_report(docs).first()):
         raise ValidationError(f"{bad['reason']}: {bad['doc_id']}")
+    if order is not None:
+        docs = last_of_each(docs, order)
     chunks = chunk_documents(docs.where(strip(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) != ""), cfg)
     vector = (embed or (lambda t: hash_embedding(t, cfg.embedding_dim)))(F.col("text"))
     rows = chunks.select("chunk_id", F.col("parent_id").alias("doc_id"), "position", "text", "length", extract_terms(F.col("text")).alias("terms"), vector.alias("embedding"))
@@ -44,37 +58,150 @@ def replaced(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class IndexStore:
-    def __init__(self, spark: SparkSession, path: str, trace: Trace | None = None):
+    """An index at ``path``. ``buckets`` (fixed by the first write) should follow the size of the whole, and
+    ``spread`` is in how many files a bucket may lie; ``keep`` commits stay readable."""
+
+    def __init__(self, spark: SparkSession, path: str, trace: Trace | None = None, buckets: int = 64, spread: int = 4, keep: int = 2):
         self.spark, self.path, self.trace = spark, path.rstrip("/"), trace or Trace()
-        self._path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._files = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.buckets, self.spread, self.keep = buckets, spread, keep
+        self._jvm = spark._jvm
+        self._files = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, *below: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *below]))
+
+    def _names(self, below: str) -> list[str]:
+        at = self._at(below)
+        return [s.getPath().getName() for s in self._files.listStatus(at)] if self._files.exists(at) else []
 
     def versions(self) -> list[int]:
-        if not self._files.exists(self._path):
-            return []
-        done = lambda p: self._files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(s.getPath().getName()[1:]) for s in self._files.listStatus(self._path) if s.getPath().getName()[1:].isdigit() and done(s.getPath()))
+        return sorted(int(n[1:-5]) for n in self._names("commits") if n.startswith("v") and n.endswith(".json"))
 
-    def read(self, doc_id: str | None = None) -> DataFrame:
-        """The newest version, or an empty index; ``doc_id`` is a filter that reaches the files."""
-        found = self.versions()
-        rows = self.spark.read.schema(INDEX).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], INDEX)
-        return rows if doc_id is None else rows.where(F.col("doc_id") == doc_id)
+    def _commit_of(self, version: int | None) -> dict:
+        if version is None:
+            return {"version": 0, "buckets": self.buckets, "dim": None, "parts": {}}
+        stream = self._files.open(self._at("commits", f"v{version:08d}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def write(self, rows: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        self.trace.event("ingest_start", version=version)
-        rows.select(*[x.split()[0] for x in INDEX.split(", ")]).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "position").write.parquet(f"{self.path}/v{version}")
+    def _newest(self) -> dict:
+        return self._commit_of((self.versions() or [None])[-1])
+
+    def _rows(self, commit: dict, buckets: list[str] | None = None) -> DataFrame:
+        paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in commit["parts"].items() if buckets is None or b in buckets]
+        return self.spark.read.schema(INDEX).parquet(*paths) if paths else self.spark.createDataFrame([], INDEX)
+
+    @staticmethod
+    def _bucket(commit: dict) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(commit["buckets"])).cast("int")
+
+    def read(self, doc_id: str | None = None) -> DataFrame:
+        """The newest version, or an empty index; of one document, from the files of its bucket alone."""
+        commit = self._newest()
+        if doc_id is None:
+            return self._rows(commit)
+        bucket = self.spark.range(1).select(F.lit(doc_id).alias("doc_id")).select(self._bucket(commit)).first()[0]
+        return self._rows(commit, [str(bucket)]).where(F.col("doc_id") == doc_id)
+
+    def _checked(self, rows: DataFrame, dim: int | None) -> int | None:
+        """The length of the vectors of ``rows``. Vectors of unlike lengths, or a chunk twice, raise."""
+        low, high = rows.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+        if low != high or (dim is not None and low is not None and low != dim):
+            raise ValidationError(f"vectors of {low} to {high} numbers in an index of {dim or low}")
+        if twice := rows.groupBy("chunk_id").count().where("count > 1").limit(1).collect():
+            raise ConflictError(f"chunk {twice[0]['chunk_id']} is there more than once")
+        return low if low is not None else dim
+
+    def _put(self, rows: DataFrame, commit: dict, folder: str) -> list[str]:
+        """Writes ``rows`` to a new folder; the buckets that are there then. A bucket's documents are dealt
+        to a few files, so that no task holds a large bucket."""
+        b = self._bucket(commit)
+        dealt = rows.select(*COLUMNS, b.alias("bucket")).repartition(F.col("bucket"), F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(self.spread)))
+        dealt.sortWithinPartitions("bucket", "doc_id", "position").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        return [n.split("=")[1] for n in self._names(f"data/{folder}") if n.startswith("bucket=")]
+
+    def _commit(self, commit: dict, dim: int | None, parts: dict[str, str]) -> int:
+        version = commit["version"] + 1
+        text = json.dumps({"version": version, "buckets": commit["buckets"], "dim": dim, "parts": parts})
+        draft, final = self._at("commits", f".{uuid.uuid4().hex}"), self._at("commits", f"v{version:08d}.json")
+        stream = self._files.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            # a rename that never overwrites: of two writers one fails
+            context.rename(self._files.makeQualified(draft), self._files.makeQualified(final), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            self._files.delete(draft, False)
+            raise ConflictError(f"version {version} was committed by another writer") from e
         self.trace.event("ingest_done", version=version)
+        self._forget(version - self.keep)
         return version
 
+    def _forget(self, last: int) -> None:
+        """Removes the commits up to ``last``, and the folders of buckets that only they name."""
+        old = [self._commit_of(v) for v in self.versions() if v <= last]
+        live = {(f, b) for v in self.versions() if v > last for b, f in self._commit_of(v)["parts"].items()}
+        for commit in old:
+            for b, folder in commit["parts"].items():
+                if (folder, b) not in live:
+                    self._files.delete(self._at("data", folder, f"bucket={b}"), True)
+            self._files.delete(self._at("commits", f"v{commit['version']:08d}.json"), False)
+
+    def write(self, rows: DataFrame) -> int:
+        """A version of ``rows`` alone."""
+        commit, folder = self._newest(), uuid.uuid4().hex
+        self.trace.event("ingest_start", version=commit["version"] + 1)
+        parts = {b: folder for b in self._put(rows, commit, folder)}
+        try:
+            dim = self._checked(self._rows(commit | {"parts": parts}), None)
+        except Exception:
+            self._files.delete(self._at("data", folder), True)
+            raise
+        return self._commit(commit, dim, parts)
+
     def upsert(self, batch: DataFrame) -> int:
-        return self.write(replaced(self.read(), batch))
+        """The documents of ``batch`` replace theirs; only the buckets that hold one are written again."""
+        commit, folder = self._newest(), uuid.uuid4().hex
+        self.trace.event("ingest_start", version=commit["version"] + 1)
+        try:
+            batch.select(*COLUMNS).write.parquet(f"{self.path}/data/{folder}-in")
+            staged = self.spark.read.schema(INDEX).parquet(f"{self.path}/data/{folder}-in")
+            dim = self._checked(staged, commit["dim"])
+            touched = [str(r[0]) for r in staged.select(self._bucket(commit)).distinct().collect()]  # a number for each bucket
+            kept = {b: f for b, f in commit["parts"].items() if b not in touched}
+            put = self._put(replaced(self._rows(commit, touched), staged), commit, folder) if touched else []
+        finally:
+            self._files.delete(self._at("data", f"{folder}-in"), True)
+        return self._commit(commit, dim, kept | {b: folder for b in put})
 
     def delete(self, doc_id: str) -> int:
+        commit, folder = self._newest(), uuid.uuid4().hex
         if not self.read(doc_id).limit(1).count():
             raise NotFoundError(doc_id)
-        return self.write(self.read().where(F.col("doc_id") != doc_id))
+        bucket = str(self.read(doc_id).select(self._bucket(commit)).first()[0])
+        put = self._put(self._rows(commit, [bucket]).where(F.col("doc_id") != doc_id), commit, folder)
+        return self._commit(commit, commit["dim"], {b: f for b, f in commit["parts"].items() if b != bucket} | {b: folder for b in put})
+
+    def vacuum(self) -> None:
+        """Removes folders that no commit names: of writes that died. Not to be run while another writes."""
+        live = {f for v in self.versions() for f in self._commit_of(v)["parts"].values()}
+        for folder in set(self._names("data")) - live:
+            self._files.delete(self._at("data", folder), True)
 
     def wipe(self) -> None:
-        self._files.delete(self._path, True)
+        self._files.delete(self._at(), True)
+
+
+def ingest(store: IndexStore, docs: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None, order: str | None = None) -> DataFrame:
+    """Upserts ``docs`` and tells what was loaded and how it was cut; ``doc_id, chunks`` of each document."""
+    trace = store.trace
+    trace.event("document_loaded", **docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first().asDict())
+    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    store.upsert(build_index(docs, cfg, embed, order=order))
+    new = store.read().join(ids, "doc_id", "left_semi")
+    trace.event("chunk_quality", **new.agg(F.count(F.lit(1)).alias("chunk_count"), F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.avg("length").alias("avg_length")).first().asDict())
+    trace.event("chunk_lengths_preview", lengths=[r["length"] for r in new.orderBy("doc_id", "position").select("length").limit(10).collect()])
+    return new.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.errors import DependencyError, ValidationError
 from brindle.functions.text import strip
+from brindle.runtime import workers_see_package
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 KINDS = (".txt", ".docx", ".pdf")
@@ -38,6 +39,7 @@ def pdf_text(content: bytes) -> str:
 def load_documents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``path, suffix, text`` of each file. Files of another kind raise an error; so does a text that
     isn't UTF-8 or, for docx and pdf, that is empty. A byte order mark stays in the text."""
+    workers_see_package(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"))
     checked = files.withColumn("suffix", F.when(F.col("suffix").isin(*KINDS), F.col("suffix")).otherwise(F.raise_error(F.concat(F.lit("unsupported file: "), "path"))))
     plain = checked.where("suffix = '.txt'").select("path", "suffix", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path"))).alias("text"))
@@ -54,10 +56,18 @@ def load_documents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def ingest_files(spark: SparkSession, ids: dict[str, str]) -> DataFrame:
-    """Documents (doc_id, text, metadata) from files: ``ids`` has the id of each path. Empty ids, paths or texts raise."""
+    """Documents (doc_id, text, metadata) from files: ``ids`` has the id of each path, which may be relative or
+    without a scheme. Empty ids, paths or texts raise; so does a path that is a folder or a pattern."""
     if any(not k.strip() or not v.strip() for k, v in ids.items()):
         raise ValidationError("doc_id and path must not be empty")
-    names = F.create_map(*[F.lit(x) for k, v in ids.items() for x in (k, v)])
-    base = F.regexp_replace("path", "^file:/*", "/")
-    rows = load_documents(spark, list(ids)).select(names[base].alias("doc_id"), strip(F.col("text")).alias("text"))
-    return rows.select("doc_id", F.when(F.col("text") != "", F.col("text")).otherwise(F.raise_error(F.lit("empty document"))).alias("text"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    conf = spark._jsc.hadoopConfiguration()
+
+    def full(path: str) -> str:  # as the scan reports it
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(conf).makeQualified(at).toString()
+
+    names = spark.createDataFrame([(full(k), v) for k, v in ids.items()], "path string, doc_id string")
+    rows = load_documents(spark, list(ids)).join(F.broadcast(names), "path", "left")  # a row for each path that was given
+    text = strip(F.col("text"))
+    fail = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), "path"))
+    return rows.select(F.coalesce("doc_id", fail("no id for")).alias("doc_id"), F.when(text != "", text).otherwise(fail("empty document")).alias("text"), F.lit(None).cast("map<string,string>").alias("metadata"))

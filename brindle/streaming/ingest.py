@@ -10,11 +10,12 @@ from brindle.config import RetrievalConfig
 from brindle.sources.index import Embedder, IndexStore, build_index
 
 
-def ingest_stream(docs: DataFrame, store: IndexStore, checkpoint: str, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None) -> StreamingQuery:
-    """Of a document that a batch has twice, the longer text counts. A repeated batch has the same effect."""
+def ingest_stream(docs: DataFrame, store: IndexStore, checkpoint: str, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None, order: str | None = None) -> StreamingQuery:
+    """Of a document that a batch has more than once, the last by the column ``order`` counts; without an
+    order, rows of a batch have none, and the greatest text counts. A repeated batch has the same effect."""
 
     def put(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-        store.upsert(build_index(latest, cfg, embed))
+        rows = batch if order is not None else batch.withColumn("__order", F.lit(0))
+        store.upsert(build_index(rows, cfg, embed, order=order or "__order"))
 
     return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

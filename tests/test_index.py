@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.config import QueryOptions, RetrievalConfig
-from brindle.errors import DependencyError, NotFoundError, ValidationError
+from brindle.errors import ConflictError, DependencyError, NotFoundError, ValidationError
+from brindle.observe import RecordedTrace
 from brindle.operators import terms
 from brindle.plans import hybrid
-from brindle.sources.index import IndexStore, build_index, reject_report, replaced
+from brindle.sources.index import IndexStore, build_index, ingest, reject_report, replaced
 from brindle.sources.loaders import docx_text, ingest_files, load_documents, pdf_text
 from brindle.streaming.ingest import ingest_stream
 
+#: The published small benchmark, its passage and its samples.
 CITY = """At the far eastern corner of the Eastern Continent lies a region that appears on maps only as a boundary, without any label. People call it Meteor City.
     In the eyes of most, it is a barren wasteland, uninhabited and covered with centuries of accumulated garbage.
     Some information-privileged individuals know that people do live here, and in considerable numbers, surviving by scavenging waste.
@@ -84,6 +87,59 @@ def test_replace_and_store(spark, tmp_path):
     assert store.versions() == []
 
 
+def test_store_after_a_crash_and_two_writers(spark, tmp_path):
+    cfg = RetrievalConfig(chunk_size=30, chunk_overlap=0)
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=4)
+    store.upsert(build_index(docs(spark, a="one two", b="three four"), cfg))
+    store._put(build_index(docs(spark, a="never"), cfg), store._newest(), "dead")  # a write that dies before its commit
+    stale = store._newest()
+    store.upsert(build_index(docs(spark, a="five"), cfg))
+    assert sorted(r.text for r in store.read().collect()) == ["five", "three four"]
+    with pytest.raises(ConflictError):
+        store._commit(stale, stale["dim"], {})
+    assert sorted(r.text for r in store.read().collect()) == ["five", "three four"]
+    store.vacuum()
+    assert "dead" not in store._names("data") and store.read().count() == 2
+
+
+def test_store_rewrites_touched_buckets_and_forgets(spark, tmp_path):
+    cfg = RetrievalConfig(chunk_size=30, chunk_overlap=0)
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=8)
+    store.write(build_index(docs(spark, **{f"d{i}": f"text {i}" for i in range(40)}), cfg))
+    before = store._newest()["parts"]
+    for n in range(4):
+        store.upsert(build_index(docs(spark, d3=f"again {n}"), cfg))
+    after = store._newest()["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1 and set(before) == set(after)
+    assert store.versions() == [4, 5] and store.read().count() == 40 and [r.text for r in store.read("d3").collect()] == ["again 3"]
+
+
+def test_store_refuses_repeated_chunks_and_other_lengths(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    twice = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", "x", 1)], "doc_id string, text string, at int")
+    with pytest.raises(ConflictError):
+        store.upsert(build_index(twice))
+    with pytest.raises(ConflictError):
+        store.write(build_index(twice))
+    assert store.versions() == [] and store._names("data") == []
+    store.upsert(build_index(twice, order="at"))
+    assert sorted(r.text for r in store.read().collect()) == ["new", "x"]
+    with pytest.raises(ValidationError):
+        store.upsert(build_index(docs(spark, c="y"), RetrievalConfig(embedding_dim=8)))
+    assert store.versions() == [1]
+
+
+def test_ingest_tells_what_it_loaded(spark, tmp_path):
+    trace = RecordedTrace()
+    store = IndexStore(spark, str(tmp_path / "index"), trace)
+    rows = ingest(store, docs(spark, a="x" * 50, b="y" * 20), RetrievalConfig(chunking="fixed", chunk_size=30, chunk_overlap=0))
+    assert {r.doc_id: r.chunks for r in rows.collect()} == {"a": 2, "b": 1}
+    told = dict(trace.events)
+    assert [n for n, _ in trace.events] == ["document_loaded", "ingest_start", "ingest_done", "chunk_quality", "chunk_lengths_preview"]
+    assert told["document_loaded"] == {"documents": 2, "chars": 70} and told["chunk_lengths_preview"] == {"lengths": [30, 20, 20]}
+    assert told["chunk_quality"]["chunk_count"] == 3 and told["chunk_quality"]["max_length"] == 30
+
+
 def test_rejects(spark):
     bad = spark.createDataFrame([("d", " 　"), (" ", "x"), (None, "x"), ("e", "fine")], "doc_id string, text string")
     assert sorted(r.reason for r in reject_report(bad).collect()) == ["empty doc_id", "empty doc_id", "empty text"]
@@ -100,6 +156,9 @@ def test_stream(spark, tmp_path):
     docs(spark, a="five").write.mode("append").parquet(str(source))
     ingest_stream(read(), store, str(tmp_path / "check")).awaitTermination()
     assert sorted(r.text for r in store.read().collect()) == ["five", "three four"]
+    spark.createDataFrame([("b", "longer but older", 1), ("b", "last", 2)], "doc_id string, text string, at int").write.parquet(str(tmp_path / "more"))
+    ingest_stream(spark.readStream.schema("doc_id string, text string, at int").parquet(str(tmp_path / "more")), store, str(tmp_path / "check2"), order="at").awaitTermination()
+    assert sorted(r.text for r in store.read().collect()) == ["five", "last"]
 
 
 def write_docx(path, *paragraphs):
@@ -116,6 +175,7 @@ def test_loaders(spark, tmp_path):
     assert rows == {"a.TXT": "﻿héllo\n", "b.docx": "one\ntwo"}
     got = ingest_files(spark, {str(tmp_path / "a.TXT"): "x"}).first()
     assert (got.doc_id, got.text) == ("x", "﻿héllo")
+    assert ingest_files(spark, {os.path.relpath(tmp_path / "a.TXT"): "y", f"file://{tmp_path}/b.docx": "z"}).where("doc_id is not null").count() == 2
     with pytest.raises(ValidationError):
         ingest_files(spark, {str(tmp_path / "a.TXT"): " "})
     (tmp_path / "c.md").write_text("x")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
 from brindle.errors import ValidationError
+from brindle.functions.arrays import emitted
 from brindle.functions.text import extract_terms, normalise_terms, snippet, strip
 from brindle.functions.vectors import cosine, fake_embedding, from_json, hash_embedding, model_embedding, to_json
 from brindle.operators.chunking import chunk_documents, chunk_quality, ingest_result
@@ -130,3 +132,21 @@ def test_settings_and_options():
     assert QueryOptions().ks(RetrievalConfig(vector_top_k=3, graph_top_k=4)) == (3, 4, 3)
     assert SearchOptions.merged(SearchOptions(min_score=1.1), min_score=0.0).min_score == 0.0
     assert "min(" in RetrievalConfig().formula and "min(" not in RetrievalConfig(expansion_score_cap=None).formula
+
+
+def test_long_texts_take_linear_time(spark):
+    began = time.time()
+    assert one(spark, "a" + " " * 1_000_000 + "b", lambda c: F.length(strip(c))) == 1_000_002
+    assert time.time() - began < 5
+    text = "ä b. " * 100_000
+    plain = [text.strip()[i : i + 400] for i in range(0, len(text) - 1, 350)]
+    assert chunks(spark, text, 400, 50, "fixed") == plain
+    assert chunks(spark, text, 20, 0, "recursive") == plain_recursive(text.strip(), 20)
+
+
+def test_folds_of_many_items(spark):
+    step = lambda state, x: (state + x, F.when(x % 2 == 0, F.array(state + x)).otherwise(F.array().cast("array<bigint>")))
+    for n in (0, 1, 255, 256, 257, 1000):
+        got = spark.range(1).select(emitted(F.when(F.lit(n) > 0, F.sequence(F.lit(1), F.lit(n)).cast("array<bigint>")).otherwise(F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), "array<bigint>", step, lambda s: F.array(s))).first()[0]
+        sums = [i * (i + 1) // 2 for i in range(1, n + 1)]
+        assert got == [x for i, x in enumerate(sums, 1) if i % 2 == 0] + [sums[-1] if sums else 0]

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from brindle.config import RetrievalConfig
 from brindle.functions.text import extract_terms, normalise_terms
+from brindle.operators.batch import bounded
 from brindle.operators.terms import neighbours
 
 _ITEM = "array<struct<query_term:string,expanded_term:string,weight:double>>"
@@ -18,7 +19,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     found = extract_terms(F.col("query"))
     if "terms" in queries.columns:
         found = F.coalesce(normalise_terms(F.col("terms")), found)
-    return queries.select("query_id", found.alias("directs")).select("query_id", "directs", F.posexplode("directs").alias("nth", "term"))
+    return bounded(queries).select("query_id", found.alias("directs")).select("query_id", "directs", F.posexplode("directs").alias("nth", "term"))
 
 
 def _candidates(terms: DataFrame, near: DataFrame) -> DataFrame:

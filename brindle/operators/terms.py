@@ -16,7 +16,10 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
-    return postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("chunk_count"), F.countDistinct("doc_id").alias("doc_count"))
+    """``term, chunk_count, doc_count``. The first aggregation's (term, document) pairs are few where a document's
+    chunks lie together, as they do in an index; the second shuffles terms alone."""
+    per_document = postings(chunks).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_document.groupBy("term").agg(F.sum("n").alias("chunk_count"), F.count(F.lit(1)).alias("doc_count"))
 
 
 def cooccurrence(chunks: DataFrame) -> DataFrame:
@@ -27,9 +30,11 @@ def cooccurrence(chunks: DataFrame) -> DataFrame:
 
 
 def neighbours(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, neighbour, weight`` for the terms of a batch of queries (bounded by the batch)."""
-    hits = chunks.select("terms", F.explode("terms").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term")
-    pairs = hits.select("term", F.explode("terms").alias("neighbour")).where("term <> neighbour")
+    """``term, neighbour, weight`` for the terms of a batch of queries, which is bounded (``checked_queries``), so
+    that its terms can stand in the plan as a set. A chunk's array is copied for each of those that it holds only."""
+    names = [r["term"] for r in terms.select("term").distinct().collect()]
+    held = chunks.select("terms", F.filter("terms", lambda t: t.isin(names)).alias("held")).where(F.size("held") > 0)
+    pairs = held.select("terms", F.explode("held").alias("term")).select("term", F.explode("terms").alias("neighbour")).where("term <> neighbour")
     return pairs.groupBy("term", "neighbour").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 

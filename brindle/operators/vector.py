@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 from brindle.config import SearchOptions
 from brindle.functions.vectors import cosine, norm
+from brindle.operators.batch import bounded
 
 
 def similarities(chunks: DataFrame, queries: DataFrame, dim: int | None = None) -> DataFrame:
-    """``query_id, doc_id, chunk_id, score`` of every chunk for every query; the batch of queries
-    (its size is checked where it enters) is what is broadcast."""
-    asks = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding"), dim).alias("q_norm"))
+    """``query_id, doc_id, chunk_id, score`` of every chunk for every query; the batch of queries, whose
+    size is checked, is what is broadcast."""
+    asks = bounded(queries).select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding"), dim).alias("q_norm"))
     pairs = chunks.select("doc_id", "chunk_id", "embedding", "norm").crossJoin(F.broadcast(asks))
     return pairs.select("query_id", "doc_id", "chunk_id", cosine(F.col("embedding"), F.col("q"), F.col("norm"), F.col("q_norm"), dim).alias("score"))
 

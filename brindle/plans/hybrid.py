@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from functools import reduce
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
@@ -10,12 +13,11 @@ from brindle.errors import QueryExecutionError, ValidationError
 from brindle.functions.text import strip
 from brindle.functions.vectors import hash_embedding
 from brindle.observe import Trace
-from brindle.operators import evaluate, fusion, graph, vector
+from brindle.operators import answer, evaluate, fusion, graph, vector
+from brindle.operators.batch import MOST_QUERIES
+from brindle.runtime import shared_dir
 from brindle.sources.index import Embedder
 
-#: Queries of a batch; what is broadcast grows with the batch, so its size is checked.
-MOST_QUERIES = 10_000
-
 
 def checked_queries(queries: DataFrame) -> DataFrame:
     """The batch with its text stripped. A blank query, or too large a batch, raises."""
@@ -29,27 +31,37 @@ def checked_queries(queries: DataFrame) -> DataFrame:
 
 
 def _stage(name: str, make, trace: Trace | None = None):
+    """What ``make`` gives, of a plan or of an action; a failure is told and raised with its stage."""
     try:
         return make()
-    except ValidationError:
+    except (ValidationError, QueryExecutionError):
         raise
     except Exception as e:
         (trace or Trace()).event("query_failed", stage=name, error=str(e))
         raise QueryExecutionError(name, str(e), e) from e
 
 
-def retrieve(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, explain: bool = False) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
-    """Vector rows, graph rows (None for a side that is off) and the fused rows."""
+def _sides(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig, options: QueryOptions, embed: Embedder | None, explain: bool, trace: Trace | None) -> tuple[DataFrame | None, DataFrame | None]:
     vector_k, graph_k, _ = options.ks(cfg)
     found, linked = None, None
     if options.enable_vector:
         # a side that is off needs no embedding
-        asks = _stage("embedding", lambda: queries.select("query_id", (embed or (lambda t: hash_embedding(t, cfg.embedding_dim)))(F.col("query")).alias("embedding")))
-        found = _stage("retrieval", lambda: vector.search(index, asks, vector_k, SearchOptions(), cfg.embedding_dim if embed is None else None))
+        asks = _stage("embedding", lambda: queries.select("query_id", (embed or (lambda t: hash_embedding(t, cfg.embedding_dim)))(F.col("query")).alias("embedding")), trace)
+        found = _stage("retrieval", lambda: vector.search(index, asks, vector_k, SearchOptions(), cfg.embedding_dim if embed is None else None), trace)
     if options.enable_graph:
-        linked = _stage("retrieval", lambda: graph.search(index, queries, graph_k, cfg, explain=explain))
-    none = index.sparkSession.createDataFrame([], "query_id string, doc_id string, chunk_id string, score double")
-    return found, linked, _stage("retrieval", lambda: fusion.fuse(found if found is not None else none, linked if linked is not None else none, cfg))
+        linked = _stage("retrieval", lambda: graph.search(index, queries, graph_k, cfg, explain=explain), trace)
+    return found, linked
+
+
+def _fused(found: DataFrame | None, linked: DataFrame | None, cfg: RetrievalConfig, trace: Trace | None) -> DataFrame:
+    none = (found if found is not None else linked).sparkSession.createDataFrame([], "query_id string, doc_id string, chunk_id string, score double")
+    return _stage("retrieval", lambda: fusion.fuse(found if found is not None else none, linked if linked is not None else none, cfg), trace)
+
+
+def retrieve(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, explain: bool = False, trace: Trace | None = None) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """Vector rows, graph rows (None for a side that is off) and the fused rows."""
+    found, linked = _sides(index, queries, cfg, options, embed, explain, trace)
+    return found, linked, _fused(found, linked, cfg, trace)
 
 
 def with_text(rows: DataFrame, index: DataFrame) -> DataFrame:
@@ -58,21 +70,50 @@ def with_text(rows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def hybrid(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, text: bool = True, trace: Trace | None = None) -> DataFrame:
-    """The final chunks of each query with ``rank``, all scores and (``text``) their text. Events tell of
-    the plan; nothing has run yet when the last one is told."""
-    trace = trace or Trace()
-    trace.event("query_start", top_k=options.top_k, min_score=options.min_score, enable_vector=options.enable_vector, enable_graph=options.enable_graph)
-    found, linked, fused = retrieve(index, queries, cfg, options, embed)
-    for name, rows in (("vector_retrieved", found), ("graph_retrieved", linked)):
-        if rows is not None:
-            trace.event(name)
+    """The final chunks of each query with ``rank``, all scores and (``text``) their text. This is a plan,
+    and nothing has run; ``execute`` runs a batch and tells of it."""
+    fused = retrieve(index, queries, cfg, options, embed, trace=trace)[2]
     final = _stage("postprocess", lambda: fusion.postprocess(fused, options.ks(cfg)[2], options.min_score), trace)
-    trace.event("query_done")
     return with_text(final, index) if text else final
 
 
+def execute(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, model=None, trace: Trace | None = None) -> tuple[list[Row], list[Row], dict[str, float]]:
+    """Runs a checked batch stage by stage: its final chunks, its answers (query_id, answer), and the seconds
+    of each stage. A failure of an action carries the stage it happened in. Each side's hits (top k of a
+    bounded batch) are kept while the batch runs. ``model``: as for ``answer.generate``; else the listing."""
+    trace, took = trace or Trace(), {}
+    trace.event("query_start", top_k=options.top_k, min_score=options.min_score, enable_vector=options.enable_vector, enable_graph=options.enable_graph)
+
+    def timed(name: str, stage: str, run):
+        began = time.monotonic()
+        out = _stage(stage, run, trace)
+        took[name] = round(time.monotonic() - began, 3)
+        return out
+
+    queries = timed("check", "retrieval", lambda: checked_queries(queries))
+    sides = [x.persist() if x is not None else None for x in _sides(index, queries, cfg, options, embed, False, trace)]
+    try:
+        for name, rows in zip(("vector", "graph"), sides):
+            if rows is not None:
+                n = timed(name, "embedding" if name == "vector" and embed is not None else "retrieval", rows.count)
+                trace.event(f"{name}_retrieved", count=n)
+        trace.event("retrieval_timing", **took)
+        fused = _fused(*sides, cfg, trace)
+        final = timed("postprocess", "postprocess", lambda: with_text(fusion.postprocess(fused, options.ks(cfg)[2], options.min_score), index).orderBy("query_id", "rank").collect())
+        trace.event("retrieval_query_done", count=len(final))
+        kept = index.sparkSession.createDataFrame(final, with_text(fusion.postprocess(fused, 1), index).schema)
+        answers = timed("generation", "generation", lambda: answer.generate(kept, queries, model) if model else [tuple(r) for r in answer.listing(kept, queries).orderBy("query_id").collect()])
+    finally:
+        for rows in sides:
+            if rows is not None:
+                rows.unpersist()
+    trace.event("query_done", count=len(answers), seconds=round(sum(took.values()), 3))
+    return final, answers, took
+
+
 def retrieval_debug(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None) -> DataFrame:
-    """A row for each query: summary, both sides' hits, fusion, first final hits, preview, scoring."""
+    """A row for each query: summary, both sides' hits, how they were merged (weights, method, counts, every
+    chunk's raw and effective scores), the first ten fused and final hits, preview, scoring."""
     found, linked, fused = retrieve(index, queries, cfg, options, embed, explain=True)
     final = fusion.postprocess(fused, options.ks(cfg)[2], options.min_score)
 
@@ -85,7 +126,9 @@ def retrieval_debug(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig =
 
     preview = fusion.ranking_preview(final).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_id", "source", "matched_by", "vector_hit", "graph_hit", "raw_vector_score", "raw_graph_score", "effective_vector_score", "effective_graph_score", "final_score"))).alias("ranking_preview"))
     out = queries.select("query_id", "query")
-    parts = [hits(found, "vector", None), hits(linked, "graph", None, "expansion_capped"), hits(fused, "fused", 10, "source"), hits(final, "final", 10, "source"), preview]
+    details = F.struct("doc_id", "chunk_id", "source", "vector_hit", "graph_hit", "raw_vector_score", "raw_graph_score", "vector_score", "graph_score", "score")
+    by_chunk = fused.groupBy("query_id").agg(F.array_sort(F.collect_list(details)).alias("fusion_chunks"), F.count_if("vector_hit").alias("fusion_vector"), F.count_if("graph_hit").alias("fusion_graph"), F.count_if(F.col("vector_hit") & F.col("graph_hit")).alias("fusion_both"))
+    parts = [by_chunk, hits(found, "vector", None), hits(linked, "graph", None, "expansion_capped"), hits(fused, "fused", 10, "source"), hits(final, "final", 10, "source"), preview]
     for part in parts:
         if part is not None:
             out = out.join(part, "query_id", "left")
@@ -95,20 +138,23 @@ def retrieval_debug(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig =
     summary = F.struct(F.lit(mode).alias("mode"), count("vector_count").alias("vector_count"), count("graph_count").alias("graph_count"), count("fused_count").alias("fused_count"), count("final_count").alias("final_count"), F.greatest(count("fused_count") - count("final_count"), F.lit(0)).alias("postprocess_removed_count"), F.lit(cfg.normalise).alias("normalization_enabled"), F.lit(method).alias("normalization_method"))
     capped = F.coalesce(F.exists("graph_hits", lambda x: x["expansion_capped"]), F.lit(False)) if linked is not None else F.lit(False)
     scoring = F.struct(F.lit(cfg.alpha).alias("alpha"), F.lit(cfg.beta).alias("beta"), F.lit(cfg.direct_hit_weight).alias("direct_hit_weight"), F.lit(cfg.expanded_hit_weight).alias("expanded_hit_weight"), F.lit(cfg.expansion_score_cap).cast("double").alias("expansion_score_cap"), capped.alias("has_expansion_capped_result"))
+    merging = F.struct(F.lit(cfg.alpha).alias("alpha"), F.lit(cfg.beta).alias("beta"), F.lit(method).alias("method"), count("fusion_vector").alias("vector_count"), count("fusion_graph").alias("graph_count"), count("fusion_both").alias("overlap_count"), F.coalesce("fusion_chunks", F.array()).alias("chunks"))
     keep = [c for c in ("vector_hits", "graph_hits", "fused_hits", "final_hits", "ranking_preview") if c in out.columns]
-    return out.select("query_id", "query", summary.alias("summary"), scoring.alias("scoring_overview"), *keep)
+    return out.select("query_id", "query", summary.alias("summary"), scoring.alias("scoring_overview"), merging.alias("fusion"), *keep)
 
 
 def evaluate_dataset(index: DataFrame, samples: DataFrame, modes: list[str], k: int, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None) -> DataFrame:
-    """Measures of every sample (query_id, query, relevant_chunk_ids) in every mode."""
+    """Measures of every sample (query_id, query, relevant_chunk_ids) in every mode. Each side is searched once,
+    whatever the number of modes: its hits (k of a checked batch) are kept, and modes fuse them."""
     if not samples.limit(1).count():
         raise ValueError("samples must not be empty")
+    flags = {mode: evaluate.mode_flags(mode) for mode in modes}
+    options = QueryOptions(top_k=k, enable_vector=any(v for v, _ in flags.values()), enable_graph=any(g for _, g in flags.values()))
+    queries = checked_queries(samples.select("query_id", "query"))
+    # k rows of each of at most MOST_QUERIES queries; written, so that no mode searches again
+    found, linked = (x.select("query_id", "doc_id", "chunk_id", "score").checkpoint() if x is not None and shared_dir(index.sparkSession) else None for x in _sides(index, queries, cfg, options, embed, False, None))
     parts = []
-    for mode in modes:
-        v, g = evaluate.mode_flags(mode)
-        final = hybrid(index, samples.select("query_id", "query"), cfg, QueryOptions(top_k=k, enable_vector=v, enable_graph=g), embed, text=False)
+    for mode, (v, g) in flags.items():
+        final = fusion.postprocess(_fused(found if v else None, linked if g else None, cfg, None), options.ks(cfg)[2])
         parts.append(evaluate.evaluated(evaluate.ranked_lists(final, samples, mode), k))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)

@@ -29,7 +29,7 @@ _CHUNKS = _DOCS + """,
 
 
 def _index(source: str = "chunks", name: str = "posted") -> str:
-    return f"{name} AS (SELECT DISTINCT chunk_id, doc_id, term FROM (SELECT chunk_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS term FROM {source}) WHERE length(term) >= 2 AND NOT list_contains({_STOP}, term))"
+    return f"{name} AS MATERIALIZED (SELECT DISTINCT chunk_id, doc_id, term FROM (SELECT chunk_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS term FROM {source}) WHERE length(term) >= 2 AND NOT list_contains({_STOP}, term))"
 
 
 _ASKED = "asked(query_id, query) AS (VALUES " + ", ".join(f"('q{i}', {_q(q)})" for i, q in enumerate(ASKED, 1)) + ")"
@@ -38,8 +38,9 @@ _QTERMS = f"""{_ASKED},
  qterms AS (SELECT query_id, term, min(nth) AS nth FROM qwords WHERE length(term) >= 2 AND NOT list_contains({_STOP}, term) GROUP BY ALL)"""
 _BASE = f"{_CHUNKS},\n {_index()},\n {_QTERMS}"
 _NEAR = f"""{_BASE},
- near AS (SELECT a.term, b.term AS neighbour, count(*)::DOUBLE AS weight FROM posted a JOIN posted b USING (chunk_id)
-  WHERE a.term IN (SELECT term FROM qterms) AND a.term <> b.term GROUP BY ALL),
+ wanted AS MATERIALIZED (SELECT chunk_id, term FROM posted WHERE term IN (SELECT term FROM qterms)),
+ near AS MATERIALIZED (SELECT a.term, b.term AS neighbour, count(*)::DOUBLE AS weight FROM wanted a JOIN posted b USING (chunk_id)
+  WHERE a.term <> b.term GROUP BY ALL),
  allowed AS (SELECT q.query_id, q.nth, q.term, n.neighbour, n.weight FROM qterms q JOIN near n USING (term)
   WHERE NOT EXISTS (SELECT 1 FROM qterms x WHERE x.query_id = q.query_id AND x.term = n.neighbour))"""
 _RANKED = f"""{_NEAR},
@@ -112,7 +113,7 @@ def _final(fused: str, k: int, least: str | None = None) -> str:
 _RAW, _NORMAL = _fused("1.0", "1.0", False), _fused("0.5", "0.5", True)
 _FUSED_COLUMNS = "query_id, doc_id, chunk_id, vector_hit, graph_hit, round(raw_vector_score, 6) AS raw_vector_score, round(raw_graph_score, 6) AS raw_graph_score, round(vector_score, 6) AS vector_score, round(graph_score, 6) AS graph_score, round(score, 6) AS score, source"
 
-_VQ = "WITH vq AS (SELECT 'v' || vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (0, 7, 42)), s AS (SELECT query_id, label::VARCHAR AS doc_id, vec_id::VARCHAR AS chunk_id, " + _cosine("embedding::DOUBLE[]", "q") + " AS score FROM embeddings, vq)"
+_VQ = "WITH vq AS (SELECT 'v' || vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, label::VARCHAR AS doc_id, vec_id::VARCHAR AS chunk_id, " + _cosine("embedding::DOUBLE[]", "q") + " AS score FROM embeddings, vq)"
 
 
 def _vector_top(k: int, where: str = "true") -> str:
@@ -194,11 +195,19 @@ SELECT query_id, coalesce({_q(LISTING)} || b, {_q(NOTHING)} || query) AS answer
     "rag_prompt": f"""WITH {_final(_NORMAL, 5)},
  body AS (SELECT query_id, string_agg(printf('[%s:%s|%s|score=%.4f]', f.doc_id, f.chunk_id, source, score) || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS b FROM final f JOIN chunks c ON c.chunk_id = f.chunk_id GROUP BY query_id)
 SELECT query_id, {_q(PROMPT[0])} || query || {_q(PROMPT[1])} || coalesce(b, '') || {_q(PROMPT[2])} AS prompt FROM asked LEFT JOIN body USING (query_id)""",
-    "eval_case": f"WITH {_EVAL} SELECT mode, query, round(recall, 6) AS recall_at_k, round(mrr, 6) AS mrr, array_to_string(list_filter(relevant, lambda x: NOT list_contains(got, x)), ' ') AS false_negatives, array_to_string(list_filter(got, lambda x: NOT list_contains(relevant, x)), ' ') AS false_positives FROM measured",
+    "eval_case": f"WITH {_EVAL} SELECT mode, query, round(recall, 6) AS recall_at_k, round(mrr, 6) AS mrr, array_to_string(list_filter(relevant, lambda x: NOT list_contains(got, x)), ' ') AS false_negatives, array_to_string(list_filter(got, lambda x: NOT list_contains(relevant, x)), ' ') AS false_positives, array_to_string(list_sort(list_transform(list_distinct(relevant), lambda x: x || ':' || coalesce(nullif(list_position(got, x), 0)::VARCHAR, '-'))), ' ') AS relevant_ranks FROM measured",
     "eval_recall_mrr": f"WITH {_EVAL} SELECT mode, 5 AS k, count(*)::INT AS sample_count, round(avg(recall), 6) AS avg_recall_at_k, round(avg(mrr), 6) AS avg_mrr FROM measured GROUP BY mode",
     "fusion_weight_sweep": f"WITH {_NORMAL}, w(alpha, beta) AS (VALUES (1.0::DOUBLE, 0.0::DOUBLE), (0.7, 0.3), (0.5, 0.5), (0.0, 1.0)), x AS (SELECT alpha, beta, query_id, chunk_id, doc_id, alpha * vector_score + beta * graph_score AS s FROM fused, w), r AS (SELECT *, row_number() OVER (PARTITION BY alpha, beta, query_id ORDER BY s DESC, chunk_id, doc_id)::INT AS rank FROM x) SELECT alpha, beta, query_id, rank, chunk_id, round(s, 6) AS score FROM r WHERE rank <= 3",
-    "replace_docs": f"""WITH {_DOCS}, put AS (SELECT docs.doc_id, CASE WHEN docs.doc_id LIKE '%7' THEN {_strip("left(o.text, 500)")} ELSE t END AS t FROM docs JOIN documents o ON o.doc_id::VARCHAR = docs.doc_id),
+    "replace_docs": f"""WITH {_DOCS}, put AS (SELECT d.doc_id, CASE WHEN d.doc_id::BIGINT % 3 = 0 THEN coalesce(o.t, d.t) ELSE d.t END AS t FROM docs d LEFT JOIN docs o ON o.doc_id::BIGINT = d.doc_id::BIGINT + 3),
  chunks AS (SELECT doc_id || '#' || (s // 350) AS chunk_id, doc_id, substr(t, s + 1, 400) AS text FROM put, unnest(range(0, length(t), 350)) AS u(s)), {_index()},
  n AS (SELECT doc_id, count(*) AS terms FROM posted GROUP BY doc_id)
 SELECT c.doc_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, coalesce(any_value(terms), 0) AS terms FROM chunks c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id""",
+    "index_build": f"""WITH {_CHUNKS}, {_index()}, n AS (SELECT chunk_id, count(*)::INT AS terms FROM posted GROUP BY chunk_id),
+ e AS (SELECT chunk_id, {_hash("text")} AS v FROM chunks)
+SELECT c.chunk_id, c.doc_id, c.position, length(c.text)::INT AS length, coalesce(terms, 0) AS terms, round(sqrt({_DOT.format(a="v", b="v")}), 6) AS norm FROM chunks c JOIN e ON e.chunk_id = c.chunk_id LEFT JOIN n ON n.chunk_id = c.chunk_id""",
+    "fusion_debug": f"""WITH {_final(_NORMAL, 5)},
+ counts AS (SELECT query_id, count(*) FILTER (vector_hit) AS vector_count, count(*) FILTER (graph_hit) AS graph_count, count(*) FILTER (vector_hit AND graph_hit) AS overlap_count, string_agg(chunk_id, ' ' ORDER BY score DESC, chunk_id, doc_id) AS every FROM fused GROUP BY query_id),
+ firsts AS (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY score DESC, chunk_id, doc_id) AS final_hits FROM final GROUP BY query_id)
+SELECT f.query_id, 0.5 AS alpha, 0.5 AS beta, 'minmax' AS method, vector_count, graph_count, overlap_count, every AS fused_hits, final_hits, f.chunk_id, round(raw_vector_score, 6) AS raw_vector_score, round(raw_graph_score, 6) AS raw_graph_score, round(vector_score, 6) AS vector_score, round(graph_score, 6) AS graph_score, round(score, 6) AS score
+FROM fused f JOIN counts c ON c.query_id = f.query_id JOIN firsts d ON d.query_id = f.query_id""",
 }

@@ -10,7 +10,8 @@ from brindle.functions.text import extract_terms
 from brindle.functions.vectors import hash_embedding, norm
 from brindle.operators import answer, chunking, evaluate, fusion, graph, terms, vector
 from brindle.plans import hybrid as plan
-from brindle.sources.index import build_index, replaced
+from brindle.runtime import scratch
+from brindle.sources.index import IndexStore, build_index, replaced
 
 #: The batch of queries that the search queries ask, in order of their ids.
 ASKED = ("the heble of ndat reti", "token secret key", "eaanon erre ndha onin", "de la queoi", "zzzz unknown", "und der die")
@@ -24,7 +25,22 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Indexes that this process has written, by session and tables.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written index of the documents: built once for a session and its tables (which don't change in it),
+    in the shared folder, as searches read an index and don't build one."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = scratch(spark, "index")
+        IndexStore(spark, path).write(_built(spark, sf_dir))
+        _WRITTEN[key] = path
+    return IndexStore(spark, _WRITTEN[key]).read()
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_index(_docs(spark, sf_dir), CFG)
 
 
@@ -39,7 +55,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id").isin(0, 7, 42)).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """Every vector whose id is divisible by 20 is a query."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 20 = 0").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def extract_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +65,7 @@ def extract_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.document_frequency(_index(spark, sf_dir))
+    return terms.document_frequency(index_of(spark, sf_dir))
 
 
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +111,12 @@ def vector_topk_minscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges, told by their source: how many, their weight, the heaviest."""
-    edges = terms.cooccurrence(_index(spark, sf_dir))
+    edges = terms.cooccurrence(index_of(spark, sf_dir))
     return edges.groupBy("source").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    index = _index(spark, sf_dir)
+    index = index_of(spark, sf_dir)
     asked = graph.query_terms(_asked(spark))
     return index, asked, terms.neighbours(index, asked)
 
@@ -131,7 +148,7 @@ def expanded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph_topk(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig, k: int = 10) -> DataFrame:
-    rows = graph.search(_index(spark, sf_dir), _asked(spark), k, cfg)
+    rows = graph.search(index_of(spark, sf_dir), _asked(spark), k, cfg)
     return rows.select("query_id", "doc_id", "chunk_id", "direct_hit_count", "expanded_hit_count", "expanded_score", "expansion_capped", "score")
 
 
@@ -152,12 +169,12 @@ def graph_topk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph.explained(_index(spark, sf_dir), _asked(spark), 10, CFG).select("query_id", F.array_join("direct_terms", " ").alias("direct_terms"), F.size("expanded_terms").alias("expanded_terms"), F.explode_outer("chunks").alias("c"))
+    rows = graph.explained(index_of(spark, sf_dir), _asked(spark), 10, CFG).select("query_id", F.array_join("direct_terms", " ").alias("direct_terms"), F.size("expanded_terms").alias("expanded_terms"), F.explode_outer("chunks").alias("c"))
     return rows.select("query_id", "direct_terms", "expanded_terms", "c.chunk_id", F.array_join("c.direct_terms", " ").alias("chunk_terms"), F.array_join(F.transform("c.expanded_hits", lambda x: x["expanded_term"]), " ").alias("chunk_expanded"), "c.direct_score", "c.capped_expanded_score", "c.score")
 
 
 def _fused(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig) -> DataFrame:
-    return plan.retrieve(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), cfg)[2]
+    return plan.retrieve(index_of(spark, sf_dir), plan.checked_queries(_asked(spark)), cfg)[2]
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
@@ -178,42 +195,52 @@ def postprocess_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    final = plan.hybrid(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG)
+    final = plan.hybrid(index_of(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG)
     return _rounded(final.select("query_id", "rank", "doc_id", "chunk_id", "source", "score", "text"))
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(fusion.citations(plan.hybrid(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG, QueryOptions(min_score=0.2), text=False)))
+    return _rounded(fusion.citations(plan.hybrid(index_of(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG, QueryOptions(min_score=0.2), text=False)))
 
 
 def ranking_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    final = plan.hybrid(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG, text=False)
+    final = plan.hybrid(index_of(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG, text=False)
     return _rounded(fusion.ranking_preview(final).withColumn("matched_by", F.array_join("matched_by", ",")))
 
 
 def retrieval_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plan.retrieval_debug(_index(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG)
+    rows = plan.retrieval_debug(index_of(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG)
     return rows.select("query_id", "summary.mode", "summary.vector_count", "summary.graph_count", "summary.fused_count", "summary.final_count", "summary.postprocess_removed_count", "scoring_overview.has_expansion_capped_result")
 
 
+def fusion_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each query's hits were merged: weights, method, counts, and each chunk's scores, first ten hits of each list."""
+    rows = plan.retrieval_debug(index_of(spark, sf_dir), plan.checked_queries(_asked(spark)), CFG)
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["chunk_id"]), " ").alias(c)
+    one = F.explode("fusion.chunks").alias("c")
+    out = rows.select("query_id", "fusion.alpha", "fusion.beta", "fusion.method", "fusion.vector_count", "fusion.graph_count", "fusion.overlap_count", ids("fused_hits"), ids("final_hits"), one)
+    return _rounded(out.select("query_id", "alpha", "beta", "method", "vector_count", "graph_count", "overlap_count", "fused_hits", "final_hits", "c.chunk_id", "c.raw_vector_score", "c.raw_graph_score", "c.vector_score", "c.graph_score", "c.score"))
+
+
 def simple_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = plan.checked_queries(_asked(spark))
-    return answer.listing(plan.hybrid(_index(spark, sf_dir), asked, CFG), asked)
+    return answer.listing(plan.hybrid(index_of(spark, sf_dir), asked, CFG), asked)
 
 
 def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = plan.checked_queries(_asked(spark))
-    return answer.prompts(plan.hybrid(_index(spark, sf_dir), asked, CFG), asked)
+    return answer.prompts(plan.hybrid(index_of(spark, sf_dir), asked, CFG), asked)
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = spark.createDataFrame([(q, ASKED[int(q[1:]) - 1], list(ids)) for q, ids in RELEVANT.items()], "query_id string, query string, relevant_chunk_ids array<string>")
-    return plan.evaluate_dataset(_index(spark, sf_dir), samples, ["hybrid", "vector", "graph"], 5, CFG)
+    return plan.evaluate_dataset(index_of(spark, sf_dir), samples, ["hybrid", "vector", "graph"], 5, CFG)
 
 
 def eval_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = lambda c: F.array_join(c, " ").alias(c)
-    return _rounded(_evaluated(spark, sf_dir).select("mode", "query", "recall_at_k", "mrr", join("false_negatives"), join("false_positives")))
+    ranks = F.array_join(F.transform(F.array_sort(F.map_entries("relevant_ranks")), lambda x: F.concat(x["key"], F.lit(":"), F.coalesce(x["value"].cast("string"), F.lit("-")))), " ")
+    return _rounded(_evaluated(spark, sf_dir).select("mode", "query", "recall_at_k", "mrr", join("false_negatives"), join("false_positives"), ranks.alias("relevant_ranks")))
 
 
 def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,19 +253,26 @@ def fusion_weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replace_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document whose id ends in 7 is ingested again with a shorter text."""
+    """The index, when every third document comes again with the whole text of the document three ids on."""
     docs = _docs(spark, sf_dir)
-    batch = docs.where(F.col("doc_id").endswith("7")).withColumn("text", F.left("text", F.lit(500)))
-    rows = replaced(build_index(docs, CFG), build_index(batch, CFG))
+    later = docs.select((F.col("doc_id").cast("bigint") - 3).cast("string").alias("doc_id"), "text").where("doc_id % 3 = 0")
+    batch = docs.select("doc_id").join(later, "doc_id")
+    rows = replaced(index_of(spark, sf_dir), build_index(batch, CFG))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("chars"), F.sum(F.size("terms")).alias("terms"))
 
 
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written as an index: every chunk with its terms and vector, each told in a few numbers."""
+    rows = _built(spark, sf_dir)
+    return rows.select("chunk_id", "doc_id", "position", "length", F.size("terms").alias("terms"), F.round("norm", 6).alias("norm"))
+
+
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (
         extract_terms_query, term_doc_freq, chunk_fixed, chunk_recursive, chunk_quality, ingest_result, hash_embedding_query, cosine_scores, vector_topk,
         vector_topk_filtered, vector_topk_minscore, cooccurrence_edges, neighbours, direct_hits, expand_ranked, expand_greedy, expanded_hits, graph_topk,
         graph_topk_capped, graph_topk_nocap, graph_topk_greedy, graph_explain, fuse_raw, fuse_minmax, postprocess_topk, hybrid_search, citations,
-        ranking_preview, retrieval_debug, simple_answer, rag_prompt, eval_case, eval_recall_mrr, fusion_weight_sweep, replace_docs,
+        ranking_preview, retrieval_debug, simple_answer, rag_prompt, eval_case, eval_recall_mrr, fusion_weight_sweep, replace_docs, index_build, fusion_debug,
     )
 }

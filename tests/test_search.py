@@ -241,14 +241,70 @@ def test_bad_queries(spark):
     assert e.value.stage == "embedding"
 
 
+def test_batches_are_bounded(spark, monkeypatch):
+    from brindle.operators import batch
+
+    monkeypatch.setattr(batch, "MOST_QUERIES", 3)
+    assert batch.bounded(asked(spark, "a", "b", "c")).count() == 3
+    with pytest.raises(Exception, match="more than 3 queries"):
+        batch.bounded(asked(spark, "a", "b", "c", "d")).collect()
+
+
 def test_modes_need_only_their_side(spark):
     c = chunk_rows(spark, CASES[0][0])  # no embeddings
-    trace = RecordedTrace()
-    rows = hybrid.hybrid(c, asked(spark, "python"), GREEDY, QueryOptions(enable_vector=False), trace=trace).orderBy("rank").collect()
-    assert [e for e, _ in trace.events] == ["query_start", "graph_retrieved", "query_done"]
+    rows = hybrid.hybrid(c, asked(spark, "python"), GREEDY, QueryOptions(enable_vector=False)).orderBy("rank").collect()
     assert [(r.chunk_id, r.source, r.text) for r in rows] == [("c1", "graph", "python fastapi tutorial"), ("c2", "graph", "fastapi backend service")]
 
 
+def test_execute_tells_of_its_stages(spark):
+    c, trace = chunk_rows(spark, CASES[0][0]), RecordedTrace()
+    model = answer.FakeModel("yes")
+    final, answers, took = hybrid.execute(c, asked(spark, "python", "zzzz"), GREEDY, QueryOptions(enable_vector=False), model=model, trace=trace)
+    assert [e for e, _ in trace.events] == ["query_start", "graph_retrieved", "retrieval_timing", "retrieval_query_done", "query_done"]
+    assert dict(trace.events)["graph_retrieved"] == {"count": 2} and set(took) == {"check", "graph", "postprocess", "generation"}
+    assert [(r.chunk_id, r.rank) for r in final] == [("c1", 1), ("c2", 2)] and [a for _, a in answers] == ["yes", "yes"]
+    listed = hybrid.execute(c, asked(spark, "zzzz"), GREEDY, QueryOptions(enable_vector=False))
+    assert listed[0] == [] and listed[1][0][1].endswith("zzzz")
+
+
+def test_failures_of_actions_carry_their_stage(spark):
+    c = chunk_rows(spark, CASES[0][0]).withColumn("terms", F.when(F.length("text") > 0, F.raise_error(F.lit("bad file"))).otherwise(F.col("terms")))
+    trace = RecordedTrace()
+    with pytest.raises(QueryExecutionError, match="bad file") as e:
+        hybrid.execute(c, asked(spark, "python"), GREEDY, QueryOptions(enable_vector=False), trace=trace)
+    assert e.value.stage == "retrieval" and trace.events[-1][0] == "query_failed" and trace.events[-1][1]["stage"] == "retrieval"
+
+    def broken(_):
+        raise RuntimeError("down")
+
+    with pytest.raises(QueryExecutionError) as e:
+        hybrid.execute(chunk_rows(spark, CASES[0][0]), asked(spark, "python"), GREEDY, QueryOptions(enable_vector=False), model=broken)
+    assert e.value.stage == "generation"
+
+
+def test_models_behind_http():
+    import http.server
+    import json
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            out = {"response": f"local {body['prompt']}"} if self.path == "/api/generate" else {"output": [{"content": [{"text": f"{self.headers['Authorization']} {body['input']}"}]}]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host = f"http://127.0.0.1:{server.server_port}"
+    assert answer.ollama("m", host)("hi") == "local hi" and answer.openai_responses("m", "k", host)("hi") == "Bearer k hi"
+    server.shutdown()
+
+
 def test_trace(tmp_path, monkeypatch):
     import logging
 

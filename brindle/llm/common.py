@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.runtime import remove, scratch, shared_dir, workers_see_package
+
 #: Rows and bytes of one Arrow batch, so that a Python worker holds a bounded piece of a partition.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
@@ -17,46 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Read from ``spark.checkpoint.dir``; only
-    where that is unset (tests, one machine) a folder of this machine is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if found is None:
-        if current.isDefined():
-            return current.get()
-        found = tempfile.mkdtemp(prefix="brindle-")
-    if not current.isDefined():
-        context.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, with its lineage cut; it survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: The folder that holds this package.
-HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Settings of plans that run Python: batches bounded in rows and bytes, and this package's folder in
     the workers' path, where it isn't installed but lies in the same place."""
-    env = spark.sparkContext.environment
-    if HOME not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (HOME, env.get("PYTHONPATH")) if x)
+    workers_see_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+__all__ = ["remove", "scratch", "shared_dir"]
+
+
 def whole(text: str | Column) -> Column:
     """The text, or an empty one for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

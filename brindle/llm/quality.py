@@ -156,20 +156,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.nd
     return train([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.int64))
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with ``quality_score``, 0 to 1; one pass, no shuffle."""
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it a name that ``docs`` doesn't have."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return name
+
+
+def score(docs: DataFrame, weights: np.ndarray, name: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``name``, 0 to 1; one pass, no shuffle."""
+    if _free(docs, name) != name:
+        raise ValueError(f"there is a column {name} already")
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers
-    column = "__score" if "__score" not in docs.columns else "__score_"
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't be given to mapInArrow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(texts, shared.value), pa.float64())], [*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(texts, shared.value), pa.float64())], [*batch.schema.names, name])
 
-    schema = type(docs.schema)([*docs.schema.fields]).add(column, "double")
-    return docs.mapInArrow(run, schema).withColumnRenamed(column, "quality_score")
+    return plain.mapInArrow(run, type(docs.schema)([*plain.schema.fields]).add(name, "double")).toDF(*docs.columns, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -181,5 +189,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more."""
-    return score(docs, fit(docs, labels)).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that score ``threshold`` or more, with their columns, whatever their names."""
+    name = _free(docs, "quality_score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= threshold).drop(name)

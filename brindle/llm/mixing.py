@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brindle.functions.arrays import bound
 from brindle.llm.common import settle, whole
 
 BLOCK_TOKENS = 1_000_000
@@ -33,6 +34,11 @@ def _stratum() -> Column:
     return F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
 
 
+def _spread() -> Column:
+    """Rows without an id are dealt to blocks by their text."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(whole("text"))).alias("spread")
+
+
 def tokens() -> Column:
     return F.regexp_count(whole("text"), F.lit(r"\S+")).cast("bigint")
 
@@ -44,7 +50,7 @@ def _sum(xs: Column) -> Column:
 def weights(logs: Column, exponent: Column) -> Column:
     """Normalised powers of the shares whose logarithms are ``logs``."""
     raised = F.transform(logs, lambda x: F.exp(exponent * x))
-    return F.transform(raised, lambda x: x / _sum(raised))
+    return bound(raised, lambda xs: bound(_sum(xs), lambda total: F.transform(xs, lambda x: x / total)))
 
 
 def bisected(logs: Column, max_repetition: float | None, target_entropy: float | None, epochs: float | None) -> Column:
@@ -52,23 +58,21 @@ def bisected(logs: Column, max_repetition: float | None, target_entropy: float |
 
     def meets(exponent: Column) -> Column:
         if target_entropy is not None:
-            q = weights(logs, exponent)
-            return -_sum(F.transform(q, lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0))) <= target_entropy
+            return -_sum(F.transform(weights(logs, exponent), lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0))) <= target_entropy
         # repetition of a source: weight / share, here as exp((exponent - 1) log share) up to one factor
         rates = F.transform(logs, lambda x: F.exp((exponent - 1) * x))
         if epochs is None:
-            return F.array_max(rates) <= F.array_min(rates) * max_repetition
+            return bound(rates, lambda xs: F.array_max(xs) <= F.array_min(xs) * max_repetition)
         return F.array_max(rates) * epochs <= max_repetition * _sum(F.transform(logs, lambda x: F.exp(exponent * x)))
 
     top = STEEPEST if target_entropy is not None else 1.0
 
     def step(so_far: Column, _: Column) -> Column:
         mid = (so_far["low"] + so_far["high"]) / 2
-        good = meets(mid)
-        return F.struct(F.when(good, so_far["low"]).otherwise(mid).alias("low"), F.when(good, mid).otherwise(so_far["high"]).alias("high"))
+        return bound(meets(mid), lambda good: F.struct(F.when(good, so_far["low"]).otherwise(mid).alias("low"), F.when(good, mid).otherwise(so_far["high"]).alias("high")))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("low"), F.lit(top).alias("high")), step, lambda x: x["high"])
-    return F.when(meets(F.lit(0.0)), 0.0).otherwise(found)
+    return F.when(meets(F.lit(0.0)), 0.0).otherwise(found)  # meets an array a few times, linear in the sources
 
 
 def plan(slim: DataFrame, max_repetition: float | None = 4.0, target_entropy: float | None = None, budget: float | None = None) -> DataFrame:
@@ -93,7 +97,7 @@ def plan(slim: DataFrame, max_repetition: float | None = 4.0, target_entropy: fl
 
 
 def _block(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "doc_id"), F.col("blocks")).cast("int")
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "doc_id", "spread"), F.col("blocks")).cast("int")
 
 
 def _block_key(seed: int, epoch: Column) -> Column:
@@ -132,7 +136,7 @@ def drawn(rows: DataFrame, rules: DataFrame, seed: int) -> DataFrame:
 
 
 def _rules(docs: DataFrame, seed: int, **target: float | None) -> tuple[DataFrame, DataFrame]:
-    slim = settle(docs.select("doc_id", "source", _stratum().alias("stratum"), tokens().alias("n_tokens")))
+    slim = settle(docs.select("doc_id", "source", _stratum().alias("stratum"), tokens().alias("n_tokens"), _spread()))
     return slim, boundaries(slim, plan(slim, **target), seed)
 
 
@@ -150,5 +154,5 @@ def mixture(docs: DataFrame, seed: int = 11, **target: float | None) -> DataFram
 def mix(docs: DataFrame, seed: int = 11, **target: float | None) -> DataFrame:
     """``docs`` with each row as often as the mixture draws it; the texts aren't shuffled."""
     _, rules = _rules(docs, seed, **target)
-    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _stratum().alias("stratum"))
+    named = docs.select(F.struct("*").alias("row"), "doc_id", _stratum().alias("stratum"), _spread())
     return drawn(named, rules, seed).select("row.*")

@@ -100,6 +100,26 @@ def test_mix_keeps_rows(spark):
     assert sum(r.n_tokens for r in fixed.collect()) < 45 + 6
 
 
+def test_many_sources_with_a_target_entropy(spark):
+    """Weights take time with the number of sources, not with its square."""
+    import time
+
+    n = 10_000
+    slim = spark.range(n).select(F.concat(F.lit("s:"), F.col("id").cast("string")).alias("stratum"), (F.col("id") % 97 + 1).alias("n_tokens"))
+    began = time.time()
+    rows = mixing.plan(slim, max_repetition=None, target_entropy=9.0).collect()
+    assert time.time() - began < 60 and len(rows) == n
+    q = [r.weight for r in rows]
+    assert abs(sum(q) - 1) < 1e-6 and abs(-sum(x * math.log(x) for x in q) - 9.0) < 1e-3
+
+
+def test_mixing_repeated_and_long_rows(spark):
+    d = docs(spark, ["w " * 200_000, "same"] + ["same"] * 20).unionAll(docs(spark, ["w " * 200_000, "same"]))
+    rows = mixing.mixture(d, max_repetition=2.0).collect()
+    assert collections.Counter(r.doc_id for r in rows) == collections.Counter([0, 0, 1, 1, *range(2, 22)])
+    assert {r.n_tokens for r in rows if r.doc_id == 0} == {200_000}
+
+
 def plain_ring(nodes, rows, shards):
     """Each row alone: its arc's shard if there is room, and the overflow clockwise, arc after arc."""
     total = sum(map(len, rows))

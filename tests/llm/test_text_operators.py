@@ -183,6 +183,35 @@ def test_redaction(spark):
     assert [r.text for r in got.orderBy("doc_id").collect()] == ["é [secret] end", None, "plain", "[secret]!"]
 
 
+def test_history_of_paths_and_rules(spark, tmp_path):
+    """Findings lead to every path that ever held the text, also by a later version of a rule."""
+    path = str(tmp_path / "ledger")
+    secrets.update_ledger(docs(spark, ["old token=abcdef", "plain", "deadbeef0"]), path)
+    secrets.update_ledger(docs(spark, ["now clean", "old token=abcdef", "deadbeef0"]), path)
+    secrets.update_ledger(docs(spark, ["now clean", "old token=abcdef", "deadbeef0"]), path)
+    told = lambda rules: sorted((r.path, r.seen, [x.kind for x in r.found]) for r in secrets.history(spark, path, rules).collect())
+    assert told(secrets.BASE_RULES) == [("0", 1, ["assign"]), ("1", 2, ["assign"])]
+    assert secrets.read_paths(spark, path).count() == 5
+    newer = (*secrets.BASE_RULES[:2], secrets.Rule("hex", 2, "[0-9a-f]{8,}"))
+    secrets.update_ledger(docs(spark, ["now clean", None, "deadbeef0"]), path, newer)
+    assert told(newer) == [("0", 1, ["assign"]), ("1", 2, ["assign"]), ("2", 1, ["hex"])]
+
+
+def test_redaction_of_many_spans_and_odd_columns(spark):
+    text = "".join(f"é{i} token=abcdef{i % 7} " for i in range(20_000))
+    want = "".join(f"é{i} [secret] " for i in range(20_000))
+    d = spark.createDataFrame([(1, text, "x", "y", "z")], "doc_id bigint, text string, __blob string, found string, `a.b` string")
+    got = secrets.redact(d)
+    assert got.columns == d.columns and tuple(got.first()) == (1, want, "x", "y", "z")
+
+
+def test_keep_good_with_odd_columns(spark):
+    d = spark.createDataFrame([(i, "good words here" if i % 2 else "bad !!", 1.0, "x") for i in range(40)], "doc_id bigint, text string, quality_score double, `a.b` string")
+    labels = d.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    got = quality.keep_good(d, labels)
+    assert got.columns == d.columns and {r.doc_id % 2 for r in got.collect()} == {1}
+
+
 def plain_anchors(text):
     k, s = syncmers.K, syncmers.S
     mers = [hash_of(text[i : i + s]) for i in range(len(text) - s + 1)]

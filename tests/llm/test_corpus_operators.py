@@ -394,6 +394,32 @@ def test_neighbours(spark):
     assert permutations.search(d.where("vec_id < 3")).count() == 2 and permutations.search(d.where("false")).count() == 0
 
 
+def test_neighbours_of_few_reranked_rows(spark, monkeypatch):
+    """Recall where under a fifth is reranked, over more than one block; equal vectors tie in all of them."""
+    monkeypatch.setattr(permutations, "BLOCK_ROWS", 2000)
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(5000, 48))
+    rows[3000:4400] = rows[3000]
+    assert permutations.RERANK * 5000 ** (-1 / 3) < 0.2
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>").repartition(5)
+    got, exact = permutations.search(d).collect(), permutations.exact(d)
+    hit = {(r.query_id, r.vec_id) for r in got if not 3000 <= r.query_id < 4400} & {(q, v) for q, _, v, _ in exact}
+    assert len(got) == len(exact) and len(hit) >= 0.9 * sum(not 3000 <= q < 4400 for q, *_ in exact)
+    ties = [r.vec_id for r in sorted((r for r in got if r.query_id == 3100), key=lambda r: r.rank)]
+    assert ties == list(range(3000, 3020)) and len({r.score for r in got if r.query_id == 3100}) == 1
+    score = {(q, v): x for q, _, v, x in exact}
+    assert all(r.score == score[r.query_id, r.vec_id] for r in got if (r.query_id, r.vec_id) in score)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_recall_of_the_registered_query(spark):
+    from brindle.llm.queries import QUERIES
+
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got, exact = QUERIES["op6_nearest_neighbours"](spark, SF).collect(), permutations.exact(table)
+    assert len({(r.query_id, r.vec_id) for r in got} & {(q, v) for q, _, v, _ in exact}) >= 0.9 * len(exact)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -12,14 +12,17 @@ range is copied to the range before it (the very first to the last).
 
 Defined cases: a null text is the empty text, with the empty fingerprint; a text shorter than k has one
 anchor, the whole text; two empty fingerprints are alike (1); a null id comes last; equal ids are
-ordered by text, and an only row is its own next; repeated rows stay; an empty table gives no rows;
-other columns are ignored, whatever their names.
+ordered by text, and an only row is its own next; ids are whole numbers; rows of one id (or without any)
+lie in one range; repeated rows stay; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import bounded_batches, whole
 
 K, S = 24, 8
-#: Ranges of ids, at most.
-RANGES = 256
+#: Text of a range of ids.
+RANGE_BYTES = 64 << 20
 #: Pairs of equal anchors, for each anchor, that are chained one by one; texts with more repeats take rows of bits.
 FEW = 8
 LAST = (1 << 63) - 1
@@ -128,29 +131,38 @@ def packed(found: tuple[np.ndarray, np.ndarray]) -> str:
     return base64.b64encode(row.tobytes()).decode()
 
 
-def _range_of(key: Column, bounds: list[int], low: int, high: int) -> Column:
-    """How many bounds are <= key: a balanced tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key < bounds[mid], _range_of(key, bounds, low, mid)).otherwise(_range_of(key, bounds, mid + 1, high))
+def _literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many bounds are <= key: first by every ``step``-th, then within one step."""
+    step = math.isqrt(len(bounds)) + 1
+    coarse, fine = _literal(bounds[step - 1 :: step], "bigint"), _literal(bounds, "bigint")
+    passed = F.size(F.filter(coarse, lambda b: b <= key)) * step
+    return passed + F.size(F.filter(F.slice(fine, passed + 1, F.lit(step)), lambda b: b <= key))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, range, own`` in ranges of ids, each range in order, followed by its next row."""
+    """``doc_id, text, range, own`` in ranges of ids, each range in order, followed by its next row. There are as
+    many ranges as hold ``RANGE_BYTES`` of text each, and a task for each."""
     spark = docs.sparkSession
-    ranges = max(1, min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"))
-    cuts = slim.agg(F.percentile_approx("key", [(i + 1) / ranges for i in range(ranges - 1)] or [0.5], 10_000)).first()[0]
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    keys = docs.select(key)
+    cuts = keys.agg(F.percentile_approx("key", [(i + 1) / ranges for i in range(ranges - 1)] or [0.5], max(10_000, 20 * ranges))).first()[0]
     bounds = sorted(set(cuts or []))[: ranges - 1]
-    placed = slim.withColumn("range", _range_of(F.col("key"), bounds, 0, len(bounds)))
-    firsts = sorted((r["range"], r["first"]) for r in placed.groupBy("range").agg(F.min("key").alias("first")).collect())  # a row a range
-    before = F.lit(None).cast("int")
-    for i, (_, first) in enumerate(firsts):
-        before = F.when(F.col("key") == first, F.lit(firsts[i - 1][0])).otherwise(before)
-    homes = F.array_compact(F.array(F.struct(F.col("range"), F.lit(True).alias("own")), F.when(F.col("key").isin([f for _, f in firsts]), F.struct(before.alias("range"), F.lit(False).alias("own")))))
+    place = _range_of(F.col("key"), bounds).alias("range")
+    firsts = sorted((r["range"], r["first"]) for r in keys.select("key", place).groupBy("range").agg(F.min("key").alias("first")).collect())  # a row a range
+    first_of, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
+    for i, (at, first) in enumerate(firsts):
+        first_of[at], before[at] = first, firsts[i - 1][0]
+    placed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text"), key).select("*", place)
+    carried = F.when(F.get(_literal(first_of, "bigint"), F.col("range")) == F.col("key"), F.struct(F.get(_literal(before, "int"), F.col("range")).alias("range"), F.lit(False).alias("own")))
+    homes = F.array_compact(F.array(F.struct(F.col("range"), F.lit(True).alias("own")), carried))
     spread = placed.select("doc_id", "text", "key", F.inline(homes))
-    return spread.repartition(ranges, "range").sortWithinPartitions("range", F.desc("own"), "key", "text").select("doc_id", "text", "range", "own")
+    return spread.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", F.desc("own"), "key", "text").select("doc_id", "text", "range", "own")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -261,7 +261,9 @@ def test_likeness_over_shifts():
     assert syncmers.likeness(twice, syncmers.anchors(" ".join(middle + words))) > 0.95 > 0.75 > syncmers.likeness(twice, syncmers.anchors(" ".join(words)))
 
 
-def test_fingerprints(spark):
+@pytest.mark.parametrize("size", [200, 64 << 20])
+def test_fingerprints(spark, monkeypatch, size):
+    monkeypatch.setattr(syncmers, "RANGE_BYTES", size)
     rng = random.Random(7)
     texts = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(1, 700))) for _ in range(60)] + ODD
     d = docs(spark, texts).repartition(7)

@@ -25,9 +25,10 @@ over classes.
 Links are exact: 100 * intersection >= percent * union, on 64-bit shingle hashes.
 
 Defined cases: null, empty and blank texts have no shingle, size 0, no link, and are their own
-component; a text with fewer words than a shingle has its whole sequence as the only one; repeated
-ids share a row's fate by their text, and a component's id is its smallest id; an empty table gives
-no rows; other columns are ignored, whatever their names.
+component; a text with fewer words than a shingle has its whole sequence as the only one; ids are whole
+numbers; rows that share an id are told apart by their texts, so each has the component of its own
+text, and a component's id is its smallest id; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,11 +43,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brindle.llm.bpe import groups
-from brindle.llm.common import bounded_batches, settle, whole
+from brindle.llm.common import bounded_batches, remove, scratch, settle, whole
 from brindle.llm.components import components
 
-#: Shingles of the sets that are compared together, on either side.
-BLOCK = 2_000_000
+#: Shingles, and sets, that are compared together, on either side.
+BLOCK, SETS = 1_000_000, 1_000
+#: Posts of a common part that a task holds, about; the share of texts that shows which parts are common, as
+#: one in so many; parts that are treated so, at most.
+LIST, SAMPLE, MOST_COMMON = 256, 16, 50_000
 #: Classes with the same part that are paired; more are chained.
 FEW = 6
 #: Sets of a block whose overlaps with all others are kept, to bound those of similar sets.
@@ -184,6 +188,7 @@ class Block:
         self.percent = percent
         self.size = np.array([len(s) for s in self.sets])
         self.compared = self.derived = 0
+        self.leaders: dict[int, np.ndarray] = {}
 
     def _prefixes(self) -> list[np.ndarray]:
         """Each set's prefix in order of the block's own frequencies, as ranks."""
@@ -200,69 +205,10 @@ class Block:
             begin += n
         return out
 
-    def overlap(self, i: int, j: int) -> int:
-        self.compared += 1
-        a, b = self.sets[i], self.sets[j]
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        return int((b[at] == a).sum())
-
     def needed(self, i: int, j: np.ndarray) -> np.ndarray:
         """Smallest overlap of a link: 100 o >= p (n + m - o)."""
         return -(-self.percent * (self.size[i] + self.size[j]) // (100 + self.percent))
 
-    def links(self) -> list[tuple[int, int]]:
-        lists: dict[int, list[tuple[int, int]]] = {}
-        root = np.arange(len(self.ids))
-        known: dict[int, dict[int, int]] = {}
-        out = []
-        for i, prefix in enumerate(self._prefixes()):
-            n = self.size[i]
-            least = -(-self.percent * n // 100)
-            first = int(np.searchsorted(self.size, least))
-            found = []
-            for p, token in enumerate(prefix.tolist()):
-                if token < self.single:
-                    continue
-                entries = lists.get(token)
-                if entries:
-                    e = np.array(entries)
-                    e = e[np.searchsorted(e[:, 0], first) :]  # the list is in order of size
-                    if len(e):
-                        room = 1 + np.minimum(n - p - 1, self.size[e[:, 0]] - e[:, 1] - 1)
-                        found.append(e[room >= self.needed(i, e[:, 0]), 0])
-                lists.setdefault(token, []).append((i, p))
-            if not found:
-                continue
-            every = np.concatenate(found)
-            j, shared = np.unique(every, return_counts=True)
-            j = j[np.lexsort((j, -shared))]
-            if self.across:
-                j = j[self.side[j] != self.side[i]]
-            j = j[root[j] != root[i]]
-            near = None
-            while len(j):
-                k = int(j[0])
-                need = int(self.needed(i, j[:1])[0])
-                if near is not None and known[near[0]].get(k, n) + near[1] < need:
-                    self.derived += 1  # the similar set's overlap, and what it lacks of this set, rule k out
-                    j = j[1:]
-                    continue
-                o = self.overlap(i, k)
-                known.setdefault(i, {})[k] = known.setdefault(k, {})[i] = o
-                if o >= need:
-                    out.append((self.ids[k], self.ids[i]))
-                    root[root == root[k]] = root[i]
-                    if near is None or n - o < near[1]:
-                        near = (k, n - o)
-                    j = j[root[j] != root[i]]
-                else:
-                    j = j[1:]
-        return out
-
-
     def overlaps(self, i: int, j: np.ndarray) -> np.ndarray:
         """Overlaps of set ``i`` with each of ``j``."""
         if not len(j):
@@ -276,8 +222,9 @@ class Block:
         self.mark[self.ranks[self.begin[i] : self.begin[i + 1]]] = False
         return found
 
-    def every(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Every link, once: places of a set and of those before it, in order of size, that it is linked to."""
+    def probes(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A set and those before it, in order of size, that share a token of their prefixes at places and in
+        sizes that allow a link. Lists of a token are runs of one array; entries that rule a link out are skipped."""
         prefixes = self._prefixes()
         self.mark = np.zeros(int(self.ranks.max()) + 1 if len(self.ranks) else 0, bool)
         length = np.array([len(p) for p in prefixes], np.int64)
@@ -288,7 +235,7 @@ class Block:
         spot[order] = np.arange(len(order))
         top = np.searchsorted(token[order], token)  # where its list begins
         shared, owners, places = token >= self.single, owner[order], place[order]
-        last, leaders = np.cumsum(length), {}
+        last = np.cumsum(length)
         for i, n in enumerate(self.size):
             mine = slice(last[i] - length[i], last[i])
             use = shared[mine] & (spot[mine] > top[mine])
@@ -303,56 +250,107 @@ class Block:
             j = np.unique(j[(j >= first) & (room >= self.needed(i, j))])
             if self.across:
                 j = j[self.side[j] != self.side[i]]
-            if not len(j):
-                continue
-            need, low, high = self.needed(i, j), np.zeros(len(j), np.int64), np.minimum(n, self.size[j])
-            led = j[np.isin(j, list(leaders))]
-            for k, o in zip(led.tolist(), self.overlaps(i, led).tolist()):
-                with_k = leaders[k]
-                with_k[i] = o
-                known = with_k[j] >= 0
-                low = np.where(known, np.maximum(low, with_k[j] - (self.size[k] - o)), low)
-                high = np.where(known, np.minimum(high, with_k[j] + (n - o)), high)
-                low[j == k] = high[j == k] = o
-            open_ = (low < need) & (high >= need)
-            self.derived += int((~open_).sum()) - len(led)
-            low[open_] = high[open_] = self.overlaps(i, j[open_])
-            if 2 * open_.sum() > len(j):
+            if len(j):
+                yield i, j
+
+    def linked(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Which of the sets ``j`` are linked to ``i``. What the leaders' overlaps with both say of two sets gives the
+        answer where its bounds meet; the rest is compared."""
+        n, leaders = self.size[i], self.leaders
+        need, low, high = self.needed(i, j), np.zeros(len(j), np.int64), np.minimum(self.size[i], self.size[j])
+        led = j[np.isin(j, list(leaders))]
+        for k, o in zip(led.tolist(), self.overlaps(i, led).tolist()):
+            with_k = leaders[k]
+            with_k[i] = o
+            known = with_k[j] >= 0
+            low = np.where(known, np.maximum(low, with_k[j] - (self.size[k] - o)), low)
+            high = np.where(known, np.minimum(high, with_k[j] + (n - o)), high)
+            low[j == k] = high[j == k] = o
+        open_ = (low < need) & (high >= need)
+        self.derived += int((~open_).sum()) - len(led)
+        low[open_] = high[open_] = self.overlaps(i, j[open_])
+        if 2 * open_.sum() > len(j):
+            if i not in leaders:
                 if len(leaders) == LEADERS:
                     del leaders[next(iter(leaders))]
                 leaders[i] = np.full(len(self.size), -1, np.int64)
                 leaders[i][i] = n
-                exact = low == high
-                leaders[i][j[exact]] = low[exact]
-            if len(found := j[low >= need]):
+            exact = low == high
+            leaders[i][j[exact]] = low[exact]
+        return low >= need
+
+    def every(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Every link, once: places of a set and of those before it, in order of size, that it is linked to."""
+        for i, j in self.probes():
+            if len(found := j[self.linked(i, j)]):
                 yield i, found
 
+    def links(self) -> list[tuple[int, int]]:
+        """A forest over the block's components: sets already connected aren't compared, and of each component
+        one at a time, the nearest in size first."""
+        parts_, out = Groups(len(self.ids)), []
+        for i, j in self.probes():
+            j = j[::-1]
+            while len(j := j[parts_.of(j) != parts_.find(i)]):
+                at = np.unique(parts_.of(j), return_index=True)[1]
+                for k in j[at][self.linked(i, j[at])].tolist():
+                    if parts_.join(k, i):
+                        out.append((self.ids[k], self.ids[i]))
+                j = np.delete(j, at)
+        return out
+
     def counts(self, copies: dict[int, int]) -> tuple[list[int], list[tuple[int, int]]]:
         """For each set how many rows every link of it leads to, with ``copies`` of each id's set; and a forest."""
         weight = np.array([copies[x] for x in self.ids], np.int64)
-        found, root, forest = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids)), []
+        found, parts_, forest = np.zeros(len(self.ids), np.int64), Groups(len(self.ids)), []
         for i, j in self.every():
             found[i] += weight[j].sum()
             found[j] += weight[i]
-            for r, k in zip(*np.unique(root[j], return_index=True)):
-                if r != root[i]:
-                    forest.append((self.ids[j[k]], self.ids[i]))
-                    root[root == r] = root[i]
+            for k in j[np.unique(parts_.of(j), return_index=True)[1]].tolist():
+                if parts_.join(k, i):
+                    forest.append((self.ids[k], self.ids[i]))
         return found.tolist(), forest
 
 
+class Groups:
+    """Union-find over places 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return int(i)
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """Roots of many places; their paths get shorter by it."""
+        root = self.up[places]
+        while (self.up[root] != root).any():
+            root = self.up[root]
+        self.up[places] = root
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[a] = b
+        return a != b
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, class (64 bits of the set's hash) and sketch of every row; one pass over the texts."""
-    slim = docs.select("doc_id", whole("text").alias("text"))
+    """doc_id, tag (hash of the text), n, class (64 bits of the set's hash) and sketch of every row; one pass."""
+    slim = docs.select("doc_id", F.xxhash64(whole("text")).alias("tag"), whole("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()),
-            ], ["doc_id", "n", "class", "sketch"])
+                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()),
+            ], ["doc_id", "tag", "n", "class", "sketch"])
 
-    return slim.mapInArrow(run, "doc_id bigint, n bigint, class bigint, sketch binary")
+    return slim.mapInArrow(run, "doc_id bigint, tag bigint, n bigint, class bigint, sketch binary")
 
 
 def _class(s: np.ndarray) -> int:
@@ -386,18 +384,40 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
+def _common(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``part, seen``: parts that many of a sample of texts post. Which parts are found changes how lists are dealt
+    to tasks, and no result; as each has a share of the sample's posts, there are ``MOST_COMMON`` at most."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    seen = _posts(sample, words, percent).groupBy("part").agg(F.approx_count_distinct("class").alias("seen"))
+    return settle(seen.where(F.col("seen") >= LIST // SAMPLE).orderBy(F.desc("seen"), "part").limit(MOST_COMMON))
+
+
 def candidates(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """``class, block``: classes that post a part that another posts, and may be linked."""
-    posted = _posts(docs, words, percent).repartition("part").groupBy("part", "class").agg(F.min("drop").alias("drop"), F.min("scheme").alias("scheme"))
-    listed = posted.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("size > 1")
+    """``class, block``: classes that post a part that another posts, and may be linked.
+
+    The list of a common part is dealt to a task for each ``LIST`` of its classes. Its size, which decides what
+    may be dropped, is then what the sample says, the same for all of the list; and its pieces are chained by
+    their first classes."""
+    common = F.broadcast(_common(docs, words, percent))  # MOST_COMMON rows at most
+    pieces = F.coalesce(F.ceil(F.col("seen") * SAMPLE / LIST), F.lit(1))
+    dealt = _posts(docs, words, percent).join(common, "part", "left").withColumn("piece", F.pmod(F.xxhash64("class"), pieces).cast("int"))
+    posted = dealt.repartition("part", "piece").groupBy("part", "piece", "class").agg(F.min("drop").alias("drop"), F.min("scheme").alias("scheme"), F.first("seen").alias("seen"))
+    among = Window.partitionBy("part", "piece")
+    listed = posted.withColumn("here", F.count(F.lit(1)).over(among)).withColumn("size", F.coalesce(F.col("seen") * SAMPLE, "here")).where("size > 1")
     longest = F.row_number().over(Window.partitionBy("class", "scheme").orderBy(F.desc("size"), "part"))
     kept = listed.withColumn("nth", longest).where("nth > drop")
-    order = Window.partitionBy("part").orderBy("class")
+    order = among.orderBy("class")
     lags = F.array(*[F.lag("class", k).over(order) for k in range(1, FEW)])
-    many = F.count(F.lit(1)).over(Window.partitionBy("part")) > FEW
-    near = kept.select("class", lags.alias("before"), many.alias("many"))
-    before = F.array_compact(F.when(F.col("many"), F.slice("before", 1, 1)).otherwise(F.col("before")))
-    edges = settle(near.select(F.col("class").alias("a"), "many", F.explode(before).alias("b")).distinct())
+    many = (F.count(F.lit(1)).over(among) > FEW) | F.col("seen").isNotNull()
+    first = F.when(F.col("seen").isNotNull() & F.lag("class", 1).over(order).isNull(), F.col("part"))
+    before = F.array_compact(F.when(many, F.slice(lags, 1, 1)).otherwise(lags))
+    path = scratch(docs.sparkSession, "posts")
+    kept.select("class", before.alias("before"), many.alias("many"), first.alias("first")).where("size(before) > 0 or first is not null").write.parquet(path)
+    near = docs.sparkSession.read.parquet(path)
+    heads = near.where("first is not null").select("class", F.lag("class", 1).over(Window.partitionBy("first").orderBy("class")).alias("b")).where("b is not null")  # a row for each piece of a list
+    chained = near.select(F.col("class").alias("a"), "many", F.explode("before").alias("b")).unionByName(heads.select(F.col("class").alias("a"), F.lit(True).alias("many"), "b"))
+    edges = settle(chained.distinct())
+    remove(docs.sparkSession, path)
     side = classes.select("class", "n", "sketch")
     pairs = edges.where(~F.col("many")).select("a", "b").join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     linked = _alike(pairs, percent).unionByName(edges.where("many").select("a", "b"))
@@ -405,24 +425,30 @@ def candidates(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
 
 
 def _cuts(members: DataFrame) -> DataFrame:
-    """``rep, block, n, cut``: blocks cut by size into pieces of about BLOCK shingles."""
-    run = Window.partitionBy("block").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, 0)
-    return settle(members.withColumn("cut", F.floor((F.sum("n").over(run) - F.col("n")) / F.lit(BLOCK)).cast("int")))
+    """``members`` with ``cut``: blocks cut by size into pieces of about BLOCK shingles and SETS sets. Offsets are
+    added up over a block's distinct sizes, not over its sets; sets of one size are dealt to its pieces by hash."""
+    weight = F.greatest(F.col("n"), F.lit(-(-BLOCK // SETS)))
+    sizes = members.groupBy("block", "n").agg(F.sum(weight).alias("weight"))
+    run = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sizes.withColumn("end", F.sum("weight").over(run))
+    first, last = F.floor((F.col("end") - F.col("weight")) / BLOCK), F.floor((F.col("end") - 1) / BLOCK)
+    spans = ends.select("block", "n", first.alias("first"), (last - first + 1).alias("pieces"))
+    return settle(members.join(spans, ["block", "n"]).withColumn("cut", (F.col("first") + F.pmod(F.xxhash64("class"), F.col("pieces"))).cast("int")).drop("first", "pieces"))
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, what: str = "forest") -> DataFrame:
     """``a, b, n``: links between classes. ``forest``: some, that span all of their components; ``pairs``: all;
     ``counts``: such a forest of all, and rows without b, to how many rows (n) links of a lead in a task."""
-    members = candidates(docs, classes, words, percent).join(classes.select("class", "rep", "n", "copies"), "class").drop("class")
+    members = candidates(docs, classes, words, percent).join(classes.select("class", "rep", "tag", "n", "copies"), "class")
     cut = _cuts(members)
     edges = cut.groupBy("block", "cut").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = edges.select(F.col("block"), F.col("cut").alias("cut2"), F.col("least").alias("least2"))
     pairs = edges.join(other, "block").where((F.col("cut") <= F.col("cut2")) & (F.col("least2") * percent <= F.col("most") * 100))
     ends = pairs.select("block", F.explode(F.array_distinct(F.array("cut", "cut2"))).alias("cut"), F.struct(F.col("cut").alias("x"), F.col("cut2").alias("y")).alias("pair"))
-    plan = cut.join(ends, ["block", "cut"]).groupBy("rep", "block", "cut", "copies").agg(F.collect_list("pair").alias("pairs"))
+    plan = cut.join(ends, ["block", "cut"]).groupBy("class", "rep", "tag", "block", "cut", "copies").agg(F.collect_list("pair").alias("pairs"))
     # only now whole texts, of candidates alone; a text is shorter than its set of hashes
-    texts = docs.select(F.col("doc_id").alias("rep"), whole("text").alias("text")).join(plan, "rep").dropDuplicates(["rep"])
-    spread = texts.select("rep", "block", "cut", "copies", "text", F.explode("pairs").alias("pair")).select("rep", "block", "cut", "copies", "text", "pair.x", "pair.y")
+    texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64(whole("text")).alias("tag"), whole("text").alias("text")).join(plan, ["rep", "tag"]).dropDuplicates(["rep", "tag"])
+    spread = texts.select("class", "block", "cut", "copies", "text", F.explode("pairs").alias("pair")).select("class", "block", "cut", "copies", "text", "pair.x", "pair.y")
     types = [pa.int64()] * 3
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,12 +466,12 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, what: s
 
         key, rows = None, []
         for batch in batches:
-            for rep, block, cut, copies, text, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+            for name, block, cut, copies, text, x, y in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != (block, x, y):
                     if rows:
                         yield ended(key, rows)
                     key, rows = (block, x, y), []
-                rows.append((rep, cut, text, copies))
+                rows.append((name, cut, text, copies))
         if rows:
             yield ended(key, rows)
 
@@ -458,21 +484,28 @@ def _checked(percent: int) -> None:
 
 
 def _classes(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows; the classes of those with an id."""
+    """The sets of all rows; the classes of those with an id, each with its smallest id (and that text's tag)."""
     sets = settle(_sets(docs, words))
     filled = sets.where("n > 0 and doc_id is not null").groupBy("class")
-    return sets, settle(filled.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
+    found = filled.agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    return sets, settle(found.select("class", F.col("first.doc_id").alias("rep"), F.col("first.tag").alias("tag"), "n", "sketch", "copies"))
 
 
 def _labelled(sets: DataFrame, classes: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row, and ``more`` columns of its class."""
-    found = components(edges)
-    label = classes.select("class", "rep", *more).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"), *more)
-    return sets.select("doc_id", "n", "class").join(label, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *more)
+    """``doc_id, tag, n_shingles, component_id`` of every row, and ``more`` columns of its class."""
+    label = classes.select("class", "rep", *more).join(components(edges).withColumnRenamed("node", "class"), "class", "left")
+    label = settle(label.withColumn("component", F.coalesce("component", "class")))
+    least = label.groupBy("component").agg(F.min("rep").alias("least"))
+    named = label.join(least, "component").select("class", "least", *more)
+    return sets.select("doc_id", "tag", "n", "class").join(named, "class", "left").select("doc_id", "tag", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: components alone, from links that span them."""
+    return _joined(docs, words, percent).drop("tag")
+
+
+def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     _checked(percent)
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -487,26 +520,30 @@ def counted(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets, classes = _classes(docs, words)
     found = settle(links(docs.where("doc_id is not null"), classes, words, percent, "counts"))
-    many = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
-    classes = classes.join(many, "rep", "left").withColumn("reached", F.col("copies") + F.coalesce("linked", F.lit(0)))
+    many = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked"))
+    classes = classes.join(many, "class", "left").withColumn("reached", F.col("copies") + F.coalesce("linked", F.lit(0)))
     rows = _labelled(sets, classes, found.where("b is not null").select("a", "b"), "reached")
     itself = F.col("doc_id").isNotNull().cast("bigint")
     return rows.select("doc_id", "n_shingles", "component_id", F.when(F.col("n_shingles") > 0, F.coalesce(F.col("reached") - itself, F.lit(0))).otherwise(0).cast("bigint").alias("n_links"))
 
 
 def pairs(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``a, b``: every link between unlike sets, by the smallest ids of their classes, a < b."""
+    """``a, b``: every link between unlike sets, by the smallest ids of their classes, a <= b (equal only where
+    one id has unlike texts)."""
     _checked(percent)
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    found = links(docs, _classes(docs, words)[1], words, percent, "pairs")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    classes = _classes(docs, words)[1]
+    name = lambda side: classes.select(F.col("class").alias(side), F.col("rep").alias(f"{side}_rep"))
+    found = links(docs, classes, words, percent, "pairs").join(name("a"), "a").join(name("b"), "b")
+    return found.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's: one document of each group stays.
-    Of repeated ids one row stays; rows without an id stay."""
+    """The rows of ``docs`` whose id is their component's: one document of each group stays, with its columns.
+    Of rows that share such an id one stays (of unlike texts that with the least hash); rows without an id stay."""
     named = docs.where("doc_id is not null")
-    found = join(named, words, percent).where("component_id = doc_id").select(F.col("doc_id").alias("__kept"))
-    kept = named.join(found, named["doc_id"] == found["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    heads = _joined(named.select("doc_id", "text"), words, percent).where("component_id = doc_id").groupBy("doc_id").agg(F.min("tag").alias("tag"))
+    rows = named.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole("text")).alias("tag"))
+    kept = rows.join(heads, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]).select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -269,6 +269,31 @@ def test_every_link(spark, monkeypatch, k, percent, block):
     assert sorted(got) == sorted({tuple(sorted((first[frozenset(sets[a])], first[frozenset(sets[b])]))) for a, b in want if sets[a] != sets[b]})
 
 
+def test_common_parts_over_many_tasks(spark, monkeypatch):
+    """Lists of common parts are dealt to pieces, and blocks to cuts of few sets, without losing a link."""
+    monkeypatch.setattr(jaccard, "LIST", 4)
+    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+    monkeypatch.setattr(jaccard, "SETS", 7)
+    rng = random.Random(21)
+    base = [rng.choice([f"w{i}" for i in range(50)]) for _ in range(80)]
+    texts = [" ".join([*base, f"end{i}"]) for i in range(60)] + [" ".join(["common"] * 9 + [f"u{i}x{k}" for k in range(30)]) for i in range(30)]
+    d = docs(spark, texts).select("doc_id", "text")
+    assert jaccard._common(d, 3, 90).count() > 0
+    want, _ = plain_links(texts, 3, 90)
+    counts = collections.Counter(x for pair in want for x in pair)
+    assert {r.doc_id: r.n_links for r in jaccard.counted(d, 3, 90).collect()} == {i: counts[i] for i in range(len(texts))}
+
+
+def test_join_tells_texts_of_one_id_apart(spark):
+    """Unlike texts under one id: each has the component of its own text."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    d = spark.createDataFrame([(1, a + " x"), (5, a), (5, b), (7, b + " y"), (7, b + " y")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in jaccard.counted(d, 3, 80).collect()) == [(1, 1, 1), (5, 1, 1), (5, 5, 2), (7, 5, 2), (7, 5, 2)]
+    assert sorted((r.doc_id, r.text) for r in jaccard.one_of_each(d, 3, 80).collect()) == [(1, a + " x"), (5, b)]
+    odd = d.selectExpr("doc_id", "text", "1 AS tag", "2 AS row", "3 AS component_id", "4 AS `a.b`")
+    assert jaccard.one_of_each(odd, 3, 80).columns == odd.columns and jaccard.one_of_each(odd, 3, 80).count() == 2
+
+
 def test_links_two_size_classes_apart(spark):
     # a class lies between those of 209 and 315 shingles
     assert jaccard.size_class(209) == (140, 210) and jaccard.size_class(210)[1] == 315

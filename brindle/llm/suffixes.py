@@ -12,36 +12,40 @@ longest text has bytes, each over all that was built. So the collection is cut f
    symbol of each string is inserted in a round, which updates the order of the suffixes (a stable sort
    by the new symbol) and the common prefixes of neighbours (the least of those between two equal
    symbols, plus one). Runs of common prefixes of WINDOW or more are equal windows; all but a run's
-   earliest are removed. Columns lie one after the other and are read in sequence, from a file of the
-   task once a bin is larger than ``BIN`` strings.
+   earliest are removed. Columns lie one after the other and are read in sequence, from files of the
+   task once a bin is larger than ``BIN`` strings; strings are appended to them as they come.
+3. An anchor with more than ``MOST`` strings would be a bin without a bound. Its windows are compared one
+   by one instead, by hash, with the same result.
 
 Texts are shuffled once; positions return to them by id.
 
-Defined cases: a null text is the empty text; a text shorter than the window loses nothing; rows with
-the same id aren't earlier than each other and should have the same text; a row without an id takes
-no part and loses nothing; an empty table gives no rows; other columns are ignored, whatever
+Defined cases: a null text is the empty text; a text shorter than the window loses nothing; ids are whole
+numbers; rows with the same id and text aren't earlier than each other, and of unlike texts under one
+id the one with the smaller hash is earlier; a row without an id takes no part and loses nothing; an empty table gives no rows; other columns are ignored, whatever
 their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches, scratch, whole
+from brindle.llm.common import bounded_batches, scratch, settle, whole
 
 WINDOW, K = 100, 32
 #: K-mers of a window; bytes of an anchor's surroundings.
 SPREAD = WINDOW - K + 1
 AROUND = SPREAD - 1 + WINDOW
-#: Strings of a bin that is built in memory.
-BIN = 60_000
+#: Strings of a bin whose columns are in memory; strings of one anchor that a bin takes.
+BIN, MOST = 60_000, 1 << 20
+#: Tasks that the places of one window are dealt to.
+SALTS = 16
 #: Bytes of a text that are looked at together (pieces overlap by a window).
 PIECE = 1 << 22
 
@@ -107,7 +111,7 @@ def _runs(begin: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.nda
     return owner[first], begin[first], np.maximum.reduceat(end, first)
 
 
-def repeated_windows(columns: np.ndarray, left: np.ndarray, right: np.ndarray, order_of: np.ndarray) -> list[np.ndarray]:
+def repeated_windows(columns: np.ndarray | Files, left: np.ndarray, right: np.ndarray, order_of: np.ndarray) -> list[np.ndarray]:
     """For each offset 0 to SPREAD - 1, the strings whose window there has an earlier equal.
 
     ``columns`` [AROUND, strings]; string i is real from column ``left[i]`` to ``right[i]``; of equal
@@ -138,33 +142,65 @@ def repeated_windows(columns: np.ndarray, left: np.ndarray, right: np.ndarray, o
     return out
 
 
-class Bin:
-    """Strings of some anchors; columns in memory, or in a file of the task if they are many."""
+class Files:
+    """Columns that lie one after the other in files of the task, one for each symbol of the strings. Strings are
+    appended as they come; a round reads one column, from its beginning to its end."""
 
     def __init__(self):
+        self.folder = tempfile.TemporaryDirectory()
+        self.files = [open(f"{self.folder.name}/{j}", "wb", 1 << 14) for j in range(AROUND)]
+        self.shape = (AROUND, 0)
+
+    def add(self, flat: np.ndarray) -> None:
+        for column, file in zip(flat.T, self.files):
+            file.write(column.tobytes())
+        self.shape = (AROUND, self.shape[1] + len(flat))
+
+    def __getitem__(self, j: int) -> np.ndarray:
+        self.files[j].flush()
+        return np.fromfile(f"{self.folder.name}/{j}", np.uint8)
+
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
+        self.folder.cleanup()
+
+
+class Bin:
+    """Strings of some anchors; their columns are in memory up to ``limit`` strings, beyond that in files. A bin has
+    at most ``MOST`` strings of one anchor, and so its order and common prefixes are bounded."""
+
+    def __init__(self, limit: int = BIN):
+        self.limit = limit
         self.rows: list[tuple[np.ndarray, ...]] = []
+        self.flat: list[np.ndarray] = []
+        self.files: Files | None = None
         self.size = 0
 
     def add(self, *row: np.ndarray) -> None:
-        self.rows.append(row)
+        """Ids, positions, first and last columns, and the strings as rows of bytes."""
+        self.rows.append(row[:4])
         self.size += len(row[0])
+        if self.files is None and self.size > self.limit:
+            self.files = Files()
+            for flat in self.flat:
+                self.files.add(flat)
+            self.flat = []
+        if self.files is None:
+            self.flat.append(row[4])
+        else:
+            self.files.add(row[4])
 
     def resolve(self) -> pa.RecordBatch:
         ids, at, left, right = (np.concatenate([r[i] for r in self.rows]) for i in range(4))
-        n = len(ids)
-        with tempfile.TemporaryFile() as file:
-            columns = np.empty((AROUND, n), np.uint8) if n <= BIN else np.memmap(file, np.uint8, "w+", shape=(AROUND, n))
-            k = 0
-            for r in self.rows:
-                columns[:, k : k + len(r[0])] = r[4].T
-                k += len(r[0])
-            self.rows = []
-            by = np.lexsort((at, ids))
-            place = np.empty(n, np.int64)
-            fresh = np.concatenate([[0], np.cumsum((np.diff(ids[by]) != 0) | (np.diff(at[by]) != 0))])
-            place[by] = fresh  # the same place of the same id is one place
-            found = repeated_windows(columns, left, right, place)
-            del columns
+        by = np.lexsort((at, ids))
+        place = np.empty(len(ids), np.int64)
+        place[by] = np.concatenate([[0], np.cumsum((np.diff(ids[by]) != 0) | (np.diff(at[by]) != 0))])  # the same place of the same id is one place
+        columns = self.files or np.ascontiguousarray(np.concatenate(self.flat).T)
+        self.flat = []
+        found = repeated_windows(columns, left, right, place)
+        if self.files:
+            self.files.close()
         who = np.concatenate(found)
         offset = np.repeat(np.arange(SPREAD), [len(x) for x in found])
         begin = at[who] - (SPREAD - 1) + offset
@@ -270,8 +306,10 @@ def _surroundings(texts: DataFrame) -> DataFrame:
 def _resolved(strings: DataFrame) -> DataFrame:
     """Intervals of repeated windows among strings in order of their names."""
 
+    limit = BIN
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bin_, last = Bin(), None
+        bin_, last = Bin(limit), None
         for batch in batches:
             name = batch.column(0).to_numpy()
             rows = [batch.column(i).to_numpy() for i in range(1, 5)]
@@ -280,12 +318,12 @@ def _resolved(strings: DataFrame) -> DataFrame:
             # a bin may end where a name begins
             k = 0
             for c in cut:
-                if bin_.size + c - k >= BIN:
+                if bin_.size + c - k > limit:
                     if c > k:
                         bin_.add(*[r[k:c] for r in rows], flat[k:c])
                     if bin_.size:
                         yield bin_.resolve()
-                    bin_, k = Bin(), c
+                    bin_, k = Bin(limit), c
             if k < len(name):
                 bin_.add(*[r[k:] for r in rows], flat[k:])
             last = name[-1]
@@ -315,24 +353,62 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay) of every row."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text"))
-    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+def _by_windows(strings: DataFrame) -> DataFrame:
+    """The same intervals for anchors too common for a bin: each window of their strings by two 64-bit hashes, of
+    which the earliest place is found with partial sums, so that no task holds an anchor or a window."""
+    last = F.least(F.col("last") - WINDOW, F.lit(SPREAD - 1))
+    rows = strings.where(F.col("first") <= last).select("id", "at", "bytes", F.explode(F.sequence("first", last)).alias("offset"))
+    window = F.col("bytes").substr(F.col("offset") + 1, F.lit(WINDOW))
+    begin = F.col("at") - (SPREAD - 1) + F.col("offset")
+    placed = rows.select("id", begin.alias("begin"), F.xxhash64(F.lit(1), window).alias("h"), F.xxhash64(F.lit(2), window).alias("g"))
+    first = placed.groupBy("h", "g").agg(F.min(F.struct("id", "begin")).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    salted = first.select("h", "g", "earliest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    again = placed.withColumn("salt", F.pmod(F.xxhash64("id", "begin"), F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"])
+    return again.where(F.struct("id", "begin") != F.col("earliest")).select("id", "begin", (F.col("begin") + WINDOW).alias("end"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, id, text`` of the rows with an id. ``id`` is the document's own, unless some id names unlike texts:
+    then texts are numbered in order of id and hash, so that spans of one never reach another."""
+    named = docs.where("doc_id is not null")
+    tagged = named.select("doc_id", F.xxhash64("text").alias("tag"))
+    if not tagged.groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").limit(1).count():
+        return named.select("doc_id", F.col("doc_id").alias("id"), "text")
+    numbers = settle(tagged.distinct().orderBy("doc_id", "tag").withColumn("id", F.monotonically_increasing_id()))  # grows with the order
+    return named.withColumn("tag", F.xxhash64("text")).join(numbers, ["doc_id", "tag"]).select("doc_id", "id", "text")
+
+
+def repeats(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``named`` (doc_id, id, text) dealt by id, and the repeated intervals: ``id, begin, end, way`` (0: equal
+    surroundings, 1: the column-wise construction, 2: windows of anchors too common for it)."""
+    spark = named.sparkSession
     order = ["name", "around", "id", "place"]
     path = scratch(spark, "anchors")
-    _split(anchored(named).repartition("name").sortWithinPartitions(*order)).write.parquet(path)
+    _split(anchored(named.select("id", "text")).repartition("name").sortWithinPartitions(*order)).write.parquet(path)
     split = spark.read.parquet(path)
     texts = named.repartition("id")  # the same exchange for both joins
     unlike = split.where("name is not null").groupBy("id").agg(F.collect_list(F.struct("name", "begin")).alias("anchors"))
     strings = _surroundings(texts.join(unlike, "id").select("id", "text", "anchors"))
-    found = _resolved(strings.repartition("name").sortWithinPartitions("name"))
-    spans = split.where("name is null").select("id", "begin", "end").unionByName(found)
-    by_text = spans.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    common = split.where("name is not null").groupBy("name").count().where(F.col("count") > MOST).select("name")
+    parts = [split.where("name is null").select("id", "begin", "end", F.lit(0).alias("way"))]
+    if common.limit(1).count():
+        whole_path = scratch(spark, "surroundings")
+        strings.write.parquet(whole_path)
+        strings = spark.read.parquet(whole_path)
+        parts.append(_by_windows(strings.join(common, "name", "left_semi")).withColumn("way", F.lit(2)))
+        strings = strings.join(common, "name", "left_anti").select("name", "id", "at", "first", "last", "bytes")
+    parts.append(_resolved(strings.repartition("name").sortWithinPartitions("name")).withColumn("way", F.lit(1)))
+    return texts, reduce(DataFrame.unionByName, parts)
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay) of every row."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole("text").alias("text"))
+    texts, found = repeats(_keyed(docs))
+    by_text = found.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     rest = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>"))
-    return _kept(texts.join(by_text, "id", "left").select(F.col("id").alias("doc_id"), "text", "spans").unionByName(rest))
+    return _kept(texts.join(by_text, "id", "left").select("doc_id", "text", "spans").unionByName(rest))
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -362,7 +362,11 @@ def plain_dedup(texts):
     return out
 
 
-def test_suffix_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("bin_, most", [(60_000, 1 << 20), (3, 1 << 20), (3, 6)])
+def test_suffix_dedup(spark, monkeypatch, bin_, most):
+    """Bins in memory, in files, and anchors too common for a bin."""
+    monkeypatch.setattr(suffixes, "BIN", bin_)
+    monkeypatch.setattr(suffixes, "MOST", most)
     rng = random.Random(5)
     passages = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([20, 40, 60, 80, 99, 100, 101, 150, 400]))) for _ in range(12)]
     texts = ["".join(rng.choice(passages) if rng.random() < 0.7 else "".join(rng.choice("abc") for _ in range(rng.randint(1, 50))) for _ in range(rng.randint(0, 6))) for _ in range(200)]
@@ -371,12 +375,23 @@ def test_suffix_dedup(spark, monkeypatch):
     d = docs(spark, texts).repartition(5)
     want = plain_dedup(texts)
     assert {r.doc_id: tuple(r[1:]) for r in suffixes.digest(suffixes.dedup(d)).collect()} == want
+    if bin_ == 3:
+        ways = {r.way for r in suffixes.repeats(suffixes._keyed(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))[1].collect()}
+        assert ways == ({0, 1} if most > 6 else {0, 1, 2})
     assert suffixes.dedup(d.where("false")).count() == 0
     odd = spark.createDataFrame([(1, "q" * 150), (1, "q" * 150), (None, "q" * 150)], "doc_id bigint, text string")
     assert {(r.doc_id, r.n_removed) for r in suffixes.dedup(odd).collect()} == {(1, 149), (None, 0)}
 
 
-def test_columns_in_a_file(monkeypatch):
+def test_suffix_dedup_of_one_id_with_unlike_texts(spark):
+    rng = random.Random(6)
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(150)) for _ in range(2))
+    d = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b + "!"), (3, b + "!")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, bytes(r.kept).decode()) for r in suffixes.dedup(d).collect())
+    assert got == sorted([(1, a), (2, ""), (2, b), (3, "!"), (3, "!")])
+
+
+def test_columns_in_a_file():
     rng = np.random.default_rng(1)
     n = 300
     flat = rng.integers(97, 99, (n, suffixes.AROUND)).astype(np.uint8)
@@ -391,9 +406,11 @@ def test_columns_in_a_file(monkeypatch):
             want += [i] if w in seen else []
             seen.add(w)
         assert sorted(f.tolist()) == want
-    monkeypatch.setattr(suffixes, "BIN", 10)
-    bin_ = suffixes.Bin()
-    bin_.add(np.arange(n), zero + 500, zero.astype(np.int32), (zero + suffixes.AROUND).astype(np.int32), flat)
+    bin_ = suffixes.Bin(10)
+    for k in range(0, n, 50):
+        part = slice(k, k + 50)
+        bin_.add(np.arange(n)[part], zero[part] + 500, zero[part].astype(np.int32), (zero + suffixes.AROUND)[part].astype(np.int32), flat[part])
+    assert bin_.files and not bin_.flat
     assert bin_.resolve().num_rows == n // 2
 
 

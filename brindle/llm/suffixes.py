@@ -368,27 +368,27 @@ def _by_windows(strings: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, id, text`` of the rows with an id. ``id`` is the document's own, unless some id names unlike texts:
-    then texts are numbered in order of id and hash, so that spans of one never reach another."""
+    """``id, text`` of the rows with an id. ``id`` is the document's own, unless some id names unlike texts: then
+    texts are numbered in order of id and hash, so that spans of one never reach another, and there is ``doc_id`` too."""
     named = docs.where("doc_id is not null")
     tagged = named.select("doc_id", F.xxhash64("text").alias("tag"))
     if not tagged.groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").limit(1).count():
-        return named.select("doc_id", F.col("doc_id").alias("id"), "text")
+        return named.select(F.col("doc_id").alias("id"), "text")
     numbers = settle(tagged.distinct().orderBy("doc_id", "tag").withColumn("id", F.monotonically_increasing_id()))  # grows with the order
     return named.withColumn("tag", F.xxhash64("text")).join(numbers, ["doc_id", "tag"]).select("doc_id", "id", "text")
 
 
 def repeats(named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``named`` (doc_id, id, text) dealt by id, and the repeated intervals: ``id, begin, end, way`` (0: equal
+    """``named`` (id, text and maybe doc_id) dealt by id, and the repeated intervals: ``id, begin, end, way`` (0: equal
     surroundings, 1: the column-wise construction, 2: windows of anchors too common for it)."""
     spark = named.sparkSession
     order = ["name", "around", "id", "place"]
     path = scratch(spark, "anchors")
     _split(anchored(named.select("id", "text")).repartition("name").sortWithinPartitions(*order)).write.parquet(path)
     split = spark.read.parquet(path)
-    texts = named.repartition("id")  # the same exchange for both joins
+    texts = named.repartition("id")  # the same exchange for both joins, so both take all of its columns
     unlike = split.where("name is not null").groupBy("id").agg(F.collect_list(F.struct("name", "begin")).alias("anchors"))
-    strings = _surroundings(texts.join(unlike, "id").select("id", "text", "anchors"))
+    strings = _surroundings(texts.join(unlike, "id"))
     common = split.where("name is not null").groupBy("name").count().where(F.col("count") > MOST).select("name")
     parts = [split.where("name is null").select("id", "begin", "end", F.lit(0).alias("way"))]
     if common.limit(1).count():
@@ -408,7 +408,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts, found = repeats(_keyed(docs))
     by_text = found.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     rest = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>"))
-    return _kept(texts.join(by_text, "id", "left").select("doc_id", "text", "spans").unionByName(rest))
+    return _kept(texts.join(by_text, "id", "left").select(F.col("doc_id" if "doc_id" in texts.columns else "id").alias("doc_id"), "text", "spans").unionByName(rest))
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ over classes.
 2. With e empty parts r - e are shared and posted, so a class may drop the r - e - 1 of its posts with the
    longest lists, and linked sets still share one. Parts made of common lines or passages alone leave
    the lists so.
-3. Classes that post the same part are paired if they are ``FEW`` at most, else chained in order (lags of one
-   window). A pair stays if the two sets' sketches allow a link: a sketch has a bit for the parity of
+3. Classes that post the same part are paired if they are ``FEW`` at most, else tied to the first of them (the
+   lists of common parts are dealt to pieces, whose firsts are tied to the first of all). A pair stays if the two sets' sketches allow a link: a sketch has a bit for the parity of
    each of 64, 128, ... hash buckets, so that sketches never differ more than sets do. What stays makes
-   candidate blocks (components over pairs and chains). Whole texts are fetched for candidates only, each
+   candidate blocks (components over pairs and ties). Whole texts are fetched for candidates only, each
    to its block; a block over ``BLOCK`` shingles is cut by size and every pair of cuts whose sizes allow a
    link is compared.
 4. In a block an index over rare shingles is read in order of size: list entries whose size or
@@ -51,7 +51,7 @@ BLOCK, SETS = 1_000_000, 1_000
 #: Posts of a common part that a task holds, about; the share of texts that shows which parts are common, as
 #: one in so many; parts that are treated so, at most.
 LIST, SAMPLE, MOST_COMMON = 256, 16, 50_000
-#: Classes with the same part that are paired; more are chained.
+#: Classes with the same part that are paired; more are tied to the first.
 FEW = 6
 #: Sets of a block whose overlaps with all others are kept, to bound those of similar sets.
 LEADERS = 8
@@ -396,7 +396,7 @@ def candidates(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
     """``class, block``: classes that post a part that another posts, and may be linked.
 
     The list of a common part is dealt to a task for each ``LIST`` of its classes. Its size, which decides what
-    may be dropped, is then what the sample says, the same for all of the list; and its pieces are chained by
+    may be dropped, is then what the sample says, the same for all of the list; and its pieces are tied by
     their first classes."""
     common = F.broadcast(_common(docs, words, percent))  # MOST_COMMON rows at most
     pieces = F.coalesce(F.ceil(F.col("seen") * SAMPLE / LIST), F.lit(1))
@@ -408,15 +408,16 @@ def candidates(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
     kept = listed.withColumn("nth", longest).where("nth > drop")
     order = among.orderBy("class")
     lags = F.array(*[F.lag("class", k).over(order) for k in range(1, FEW)])
+    first = F.min("class").over(among)
     many = (F.count(F.lit(1)).over(among) > FEW) | F.col("seen").isNotNull()
-    first = F.when(F.col("seen").isNotNull() & F.lag("class", 1).over(order).isNull(), F.col("part"))
-    before = F.array_compact(F.when(many, F.slice(lags, 1, 1)).otherwise(lags))
+    before = F.array_compact(F.when(many, F.array(F.when(F.col("class") != first, first))).otherwise(lags))
+    head = F.when(F.col("seen").isNotNull() & (F.col("class") == first), F.col("part"))
     path = scratch(docs.sparkSession, "posts")
-    kept.select("class", before.alias("before"), many.alias("many"), first.alias("first")).where("size(before) > 0 or first is not null").write.parquet(path)
+    kept.select("class", before.alias("before"), many.alias("many"), head.alias("head")).where("size(before) > 0 or head is not null").write.parquet(path)
     near = docs.sparkSession.read.parquet(path)
-    heads = near.where("first is not null").select("class", F.lag("class", 1).over(Window.partitionBy("first").orderBy("class")).alias("b")).where("b is not null")  # a row for each piece of a list
-    chained = near.select(F.col("class").alias("a"), "many", F.explode("before").alias("b")).unionByName(heads.select(F.col("class").alias("a"), F.lit(True).alias("many"), "b"))
-    edges = settle(chained.distinct())
+    heads = near.where("head is not null").select(F.col("class").alias("a"), F.lit(True).alias("many"), F.min("class").over(Window.partitionBy("head")).alias("b")).where("a <> b")  # a row for each piece of a list
+    tied = near.select(F.col("class").alias("a"), "many", F.explode("before").alias("b")).unionByName(heads)
+    edges = settle(tied.distinct())
     remove(docs.sparkSession, path)
     side = classes.select("class", "n", "sketch")
     pairs = edges.where(~F.col("many")).select("a", "b").join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")

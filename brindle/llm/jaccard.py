@@ -548,3 +548,22 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     rows = named.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole("text")).alias("tag"))
     kept = rows.join(heads, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]).select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+#: What op10 returns: 3 words, 90 %. Words hold no space, so shingles joined by spaces are told apart.
+ORACLE = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ shingles AS (SELECT DISTINCT doc_id, unnest(CASE
+   WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM texts),
+ sets AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles),
+ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+   AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ reached(x, y) AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reached r JOIN pairs p ON r.y = p.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id,
+ coalesce(many, 0)::BIGINT AS n_links
+FROM texts LEFT JOIN (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id) USING (doc_id)
+ LEFT JOIN (SELECT x AS doc_id, min(y) AS least_id FROM reached GROUP BY x) USING (doc_id)
+ LEFT JOIN (SELECT x AS doc_id, count(*) AS many FROM pairs GROUP BY x) USING (doc_id)"""

@@ -49,4 +49,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_secret_scans, op4_byte_bpe, op5_language_id, op6_nearest_neighbours, op7_sharding, op8_suffix_dedup, op9_document_fingerprints, op10_ngram_jaccard_join)}
-ORACLE_SQL = {"op3_secret_scans": secrets.ORACLE}
+ORACLE_SQL = {"op3_secret_scans": secrets.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE}

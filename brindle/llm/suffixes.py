@@ -413,3 +413,22 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def digest(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: What op8 returns: every window of 100 bytes (200 digits) but the first of its kind covers what goes.
+ORACLE = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS w
+  FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS i FROM texts)),
+ numbered AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM windows),
+ again AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true)::INT AS fresh
+  FROM numbered WHERE nth > 1),
+ runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b
+  FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM again) GROUP BY doc_id, run),
+ kept AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM runs),
+ cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+   string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest
+  FROM kept JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+ coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)"""

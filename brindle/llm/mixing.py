@@ -6,9 +6,10 @@ mixture that repeats no source more than a limit, or that has a target entropy.
 gives each source whole epochs and a part of one.
 
 An epoch is a permutation of the source's blocks (about ``BLOCK_TOKENS`` tokens, dealt by hash of the
-id) and of each block's rows; the part of an epoch ends inside one block. So what is drawn is decided
-by comparing a row's keys with one boundary for each source: texts are never shuffled, and no task
-holds a source. Without a budget, the smallest one is taken that covers every row once.
+id and text) and of each block's rows; the part of an epoch ends inside one block. So what is drawn is
+decided by comparing a row's keys with one boundary for each source: texts are never shuffled, and no
+task holds a source, nor all blocks of one: they are ranked and summed in ``ZONES`` ranges of their keys.
+Without a budget, the smallest one is taken that covers every row once.
 
 Defined cases: a null source is a source of its own; a null, empty or blank text has no token and
 shares its source's fate; a source without tokens is drawn once; repeated rows are drawn alike; an
@@ -25,6 +26,8 @@ from brindle.functions.arrays import bound
 from brindle.llm.common import settle, whole
 
 BLOCK_TOKENS = 1_000_000
+#: Ranges of block keys, each summed in a task of its own (a power of two).
+ZONES = 1 << 10
 #: Sources at most: their table is broadcast, and its size is checked against this.
 MOST_SOURCES = 100_000
 STEPS, STEEPEST = 50, 16.0
@@ -35,8 +38,8 @@ def _stratum() -> Column:
 
 
 def _spread() -> Column:
-    """Rows without an id are dealt to blocks by their text."""
-    return F.when(F.col("doc_id").isNull(), F.xxhash64(whole("text"))).alias("spread")
+    """Rows of one id, or without any, are told apart by their text."""
+    return F.xxhash64(whole("text")).alias("spread")
 
 
 def tokens() -> Column:
@@ -105,7 +108,11 @@ def _block_key(seed: int, epoch: Column) -> Column:
 
 
 def _row_key(seed: int, epoch: Column) -> Column:
-    return F.xxhash64(F.lit(seed), epoch.cast("int"), "doc_id")
+    return F.xxhash64(F.lit(seed), epoch.cast("int"), "doc_id", "spread")
+
+
+def _zone(key: str) -> Column:
+    return F.shiftright(key, 64 - (ZONES - 1).bit_length())
 
 
 def boundaries(slim: DataFrame, rules: DataFrame, seed: int) -> DataFrame:
@@ -113,13 +120,15 @@ def boundaries(slim: DataFrame, rules: DataFrame, seed: int) -> DataFrame:
     small = F.broadcast(rules)  # MOST_SOURCES rows at most, checked
     last = F.col("whole") + 1
     parts = slim.join(small.where("rest > 0"), "stratum").withColumn("block", _block(seed))
-    blocks = parts.groupBy("stratum", "block", "whole", "rest").agg(F.sum("n_tokens").alias("size")).withColumn("key", _block_key(seed, last))
-    order = Window.partitionBy("stratum").orderBy("key", "block")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reached = blocks.withColumn("before", before).where("before < rest")
+    blocks = settle(parts.groupBy("stratum", "block", "rest").agg(F.sum("n_tokens").alias("size"), F.first("whole").alias("whole")).withColumn("key", _block_key(seed, last)).withColumn("zone", _zone("key")).drop("whole"))
+    earlier = Window.partitionBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+    zones = blocks.groupBy("stratum", "zone", "rest").agg(F.sum("size").alias("size")).withColumn("ahead", F.coalesce(F.sum("size").over(earlier.orderBy("zone")), F.lit(0)))
+    entered = zones.where("ahead < rest").groupBy("stratum").agg(F.max(F.struct("zone", "ahead")).alias("at")).select("stratum", "at.zone", "at.ahead")  # the zone where a part ends
+    before = F.col("ahead") + F.coalesce(F.sum("size").over(earlier.orderBy("key", "block")), F.lit(0))
+    reached = blocks.join(F.broadcast(entered), ["stratum", "zone"]).withColumn("before", before).where("before < rest")
     ends = reached.groupBy("stratum").agg(F.max(F.struct("key", "block", "before")).alias("end")).select("stratum", F.col("end.key").alias("end_key"), F.col("end.block").alias("end_block"), F.col("end.before").alias("end_before"))
     inside = parts.join(F.broadcast(ends), "stratum").where("block = end_block").withColumn("row_key", _row_key(seed, last))
-    run = Window.partitionBy("stratum").orderBy("row_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("stratum").orderBy("row_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     drawn = inside.withColumn("so_far", F.coalesce(F.sum("n_tokens").over(run), F.lit(0))).where("end_before + so_far < rest")
     stop = drawn.groupBy("stratum").agg(F.max("row_key").alias("end_row"))
     return settle(rules.join(ends.select("stratum", "end_key", "end_block"), "stratum", "left").join(stop, "stratum", "left"))
@@ -146,8 +155,12 @@ def mixture(docs: DataFrame, seed: int = 11, **target: float | None) -> DataFram
     slim, rules = _rules(docs, seed, **target)
     out = drawn(slim, rules, seed)
     out = out.withColumn("block_key", _block_key(seed, F.col("epoch"))).withColumn("row_key", _row_key(seed, F.col("epoch")))
-    slot = F.row_number().over(Window.partitionBy("stratum", "epoch", "block").orderBy("row_key", "doc_id")) - 1
-    ranks = out.select("stratum", "epoch", "block", "block_key").distinct().withColumn("block_rank", F.row_number().over(Window.partitionBy("stratum", "epoch").orderBy("block_key", "block")) - 1).drop("block_key")
+    slot = F.row_number().over(Window.partitionBy("stratum", "epoch", "block").orderBy("row_key", "doc_id", "n_tokens")) - 1
+    blocks = out.select("stratum", "epoch", "block", "block_key").distinct().withColumn("zone", _zone("block_key"))
+    ahead = F.coalesce(F.sum("blocks").over(Window.partitionBy("stratum", "epoch").orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    zones = blocks.groupBy("stratum", "epoch", "zone").agg(F.count(F.lit(1)).alias("blocks")).withColumn("ahead", ahead).drop("blocks")
+    nth = F.row_number().over(Window.partitionBy("stratum", "epoch", "zone").orderBy("block_key", "block")) - 1
+    ranks = blocks.withColumn("nth", nth).join(zones, ["stratum", "epoch", "zone"]).select("stratum", "epoch", "block", (F.col("ahead") + F.col("nth")).cast("int").alias("block_rank"))
     return out.withColumn("slot", slot).join(ranks, ["stratum", "epoch", "block"]).select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "block_rank", "slot")
 
 

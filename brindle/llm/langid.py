@@ -6,7 +6,7 @@ their mean is the word's score. A text's score is the mean over its words; ``sco
 the best language under a softmax of the summed scores.
 
 The model is fitted on a bounded sample (``PER_LANG`` documents of each language on average, chosen
-by the hash of the id) of rows that aren't held out, and is bounded with it. Every language that has a
+by the hash of id and text, so that neither a repeated id nor rows without one swell it) of rows that aren't held out, and is bounded with it. Every language that has a
 word there is learnt, at most ``MOST_LANGS``, else an error; n-grams are counted over all its words.
 
 Defined cases: ``und`` and score 0 for a null text, a text without a letter, or a model without any
@@ -124,9 +124,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
         raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return Model.fit([])
-    # a share of each language's rows, by the id's hash: no sort, and no task with a whole language
+    # a share of each language's rows, by a hash: no sort, and no task with a whole language
     share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))]), F.col("lang"))
-    sample = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
     counts = words.groupBy("lang", "word").count()
     return Model.fit([tuple(r) for r in counts.collect()])

@@ -3,7 +3,7 @@
 A document is the bag of its words, word pairs and character 3- and 4-grams (inside a word and its
 edges), each hashed to a row of an embedding table; the mean of the rows goes through a softmax. Both
 tables are learnt by stochastic gradient descent in numpy, from a bounded sample of labelled rows
-(``PER_CLASS`` of each label, chosen by the hash of the id). As the softmax's input is linear in the
+(``PER_CLASS`` of each label, chosen by the hash of the id, with one text of each). As the softmax's input is linear in the
 rows, scoring needs one number for each bucket: its row times the difference of the output vectors.
 
 Defined cases: a null or empty text has no feature and scores 0.5; a conflict of labels of an id is
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.nd
     picked = [known.where(F.col("label") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     sample = picked[0].unionByName(picked[1])
     text = docs.select("doc_id", whole("text").alias("text"))
-    rows = text.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # 2 x per_class rows at most
+    rows = text.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # 2 x per_class rows at most, however often an id is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

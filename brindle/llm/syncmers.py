@@ -10,8 +10,8 @@ and repeats of a passage count as often as both have them in order.
 The next document is found without a global sort: ids are cut into ranges, and the first row of each
 range is copied to the range before it (the very first to the last).
 
-Defined cases: a null text is the empty text, with the empty fingerprint; a text shorter than k has one
-anchor, the whole text; two empty fingerprints are alike (1); a null id comes last; equal ids are
+Defined cases: a null text is the empty text, with the empty fingerprint; a text without such a k-mer
+(it is shorter than 2 k - s - 1) has one anchor, the whole text; two empty fingerprints are alike (1); a null id comes last; equal ids are
 ordered by text, and an only row is its own next; ids are whole numbers; rows of one id (or without any)
 lie in one range; repeated rows stay; an empty table gives no rows; other columns are ignored, whatever
 their names.
@@ -66,8 +66,9 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = _up_down(len(c) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * up[:-1])])
+        alone = (_mix(total[-1:] + np.uint64(len(c))) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
         if len(c) < K:
-            return (_mix(total[-1:] + np.uint64(len(c))) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
+            return alone
         inner = _mix((total[S:] - total[:-S]) * down[: len(c) - S + 1])
         width, low, have = K - S + 1, inner, 1
         while have * 2 <= width:
@@ -75,6 +76,8 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
         n = len(c) - K + 1
         low = np.minimum(low[:n], low[width - have : width - have + n])
         at = np.flatnonzero((inner[:n] == low) | (inner[K - S : K - S + n] == low))
+        if not len(at):
+            return alone
         h = _mix((total[at + K] - total[at]) * down[at])
     return (h >> np.uint64(32)).astype(np.uint32), at
 

@@ -229,6 +229,9 @@ def test_anchors_are_closed_syncmers():
     for text in ("".join(rng.choice("abcde é") for _ in range(400)), "ab" * 60, "x" * 24):
         assert syncmers.anchors(text)[1].tolist() == plain_anchors(text)
     assert len(syncmers.anchors("short")[0]) == 1 and len(syncmers.anchors("")[0]) == 0
+    bare = [t for t in ("".join(rng.choice("abcde é") for _ in range(25)) for _ in range(60)) if not plain_anchors(t)]
+    found = [syncmers.anchors(t) for t in bare]
+    assert len(bare) > 5 and all(len(h) == 1 and at.tolist() == [0] for h, at in found) and syncmers.likeness(found[0], found[1]) == 0.0
 
 
 def plain_chain(a, b):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, jaccard, langid, mixing, permutations, quality, secrets, sharding, suffixes, syncmers
+from brindle.llm import bpe, filter_audit, impact_index, jaccard, langid, mixing, permutations, pieces, quality, secrets, sharding, suffixes, syncmers
 from brindle.llm.common import table
 
 
@@ -48,5 +48,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.counted(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_secret_scans, op4_byte_bpe, op5_language_id, op6_nearest_neighbours, op7_sharding, op8_suffix_dedup, op9_document_fingerprints, op10_ngram_jaccard_join)}
-ORACLE_SQL = {"op3_secret_scans": secrets.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_secret_scans, op4_byte_bpe, op5_language_id, op6_nearest_neighbours, op7_sharding, op8_suffix_dedup, op9_document_fingerprints, op10_ngram_jaccard_join, op11_filter_audit, op12_ranked_search, op13_sentencepiece)}
+ORACLE_SQL = {"op3_secret_scans": secrets.ORACLE, "op8_suffix_dedup": suffixes.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_ranked_search": impact_index.ORACLE}

@@ -71,6 +71,38 @@ class Pairs:
         return flat.reshape(out.shape)
 
 
+def merged(ids: np.ndarray, pairs: Pairs) -> list[bytes]:
+    """Every row of the padded matrix ``ids``, with its pairs joined: each round every row joins its leftmost pair of
+    the least number in ``pairs``, until it has none. What is left of a row, as bytes of int32."""
+    ranks = pairs.find(ids[:, :-1], ids[:, 1:])
+    out: list[bytes] = [b""] * len(ids)
+    row = np.arange(len(ids))
+    while len(row):
+        at = ranks.argmin(axis=1)
+        best = ranks[np.arange(len(row)), at]
+        done = best == NONE
+        if done.any():
+            for r, x in zip(row[done], ids[done]):
+                out[r] = x[x >= 0].tobytes()
+            keep = ~done
+            row, ids, ranks, at, best = row[keep], ids[keep], ranks[keep], at[keep], best[keep]
+            if not len(row):
+                break
+        every, width = np.arange(len(row)), ids.shape[1]
+        ids[every, at] = best
+        ids = np.where(np.arange(width - 1) <= at[:, None], ids[:, :-1], ids[:, 1:])
+        if width == 2:
+            ranks = np.full((len(row), 1), NONE, np.int32)
+            ids = np.hstack([ids, np.full((len(row), 1), -1, np.int32)])
+            continue
+        ranks = np.where(np.arange(width - 2) < at[:, None], ranks[:, :-1], ranks[:, 1:])
+        for side in (at - 1, at):
+            ok = (side >= 0) & (side < width - 2)
+            r, c = every[ok], side[ok]
+            ranks[r, c] = pairs.find(ids[r, c], ids[r, c + 1])
+    return out
+
+
 class Table:
     """Bytes of every id laid end to end, to gather many ids at once."""
 
@@ -103,33 +135,7 @@ class ByteBPE:
         n = np.array([len(p) for p in pieces])
         ids = np.full((len(pieces), width), -1, np.int32)
         ids[np.arange(width) < n[:, None]] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        ranks = self.pairs.find(ids[:, :-1], ids[:, 1:])
-        out: list[bytes] = [b""] * len(pieces)
-        row = np.arange(len(pieces))
-        while len(row):
-            at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(row)), at]
-            done = best == NONE
-            if done.any():
-                for r, x in zip(row[done], ids[done]):
-                    out[r] = x[x >= 0].tobytes()
-                keep = ~done
-                row, ids, ranks, at, best = row[keep], ids[keep], ranks[keep], at[keep], best[keep]
-                if not len(row):
-                    break
-            every, width = np.arange(len(row)), ids.shape[1]
-            ids[every, at] = best
-            ids = np.where(np.arange(width - 1) <= at[:, None], ids[:, :-1], ids[:, 1:])
-            if width == 2:
-                ranks = np.full((len(row), 1), NONE, np.int32)
-                ids = np.hstack([ids, np.full((len(row), 1), -1, np.int32)])
-                continue
-            ranks = np.where(np.arange(width - 2) < at[:, None], ranks[:, :-1], ranks[:, 1:])
-            for side in (at - 1, at):
-                ok = (side >= 0) & (side < width - 2)
-                r, c = every[ok], side[ok]
-                ranks[r, c] = self.pairs.find(ids[r, c], ids[r, c + 1])
-        return out
+        return merged(ids, self.pairs)
 
     def _heap(self, piece: bytes) -> bytes:
         ids = self.byte[np.frombuffer(piece, np.uint8)]

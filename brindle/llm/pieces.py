@@ -8,8 +8,9 @@ span of bytes of the original.
 
 Pieces are merged as the library does: the pair whose joined piece scores highest first, of equals the
 leftmost. Where no piece of the vocabulary has a space mark after another character, no merge crosses such a
-place, so a text is cut there and each distinct run is merged once in a worker. A character without a piece falls
-back to its bytes: all but the last have an empty span.
+place, nor a character that is in no piece; so a text is cut there and each distinct run is merged once in a worker, as a
+row of a padded matrix. Runs that hold a piece whose score isn't its own (runs of spaces), and long ones, are merged
+one by one. A character without a piece falls back to its bytes: all but the last have an empty span.
 
 Defined cases: a null text is the empty text, with no ids; repeated rows stay; very long runs are merged with a
 heap, in n log n; an empty table gives no rows; other columns are ignored, whatever their names. Models of
@@ -23,6 +24,7 @@ import hashlib
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from brindle.errors import ValidationError
-from brindle.llm.bpe import Table, groups
+from brindle.llm.bpe import Pairs, Table, groups, merged
 from brindle.llm.common import bounded_batches, whole
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Runs kept between batches of a worker; characters of a run up to which pairs are searched in a list.
-KEPT, SHORT = 200_000, 24
+KEPT, SHORT = 300_000, 24
+#: Upper ends of the matrices' lengths; longer runs are merged one by one.
+WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32, 64)
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -173,17 +177,34 @@ class Pieces:
         self.fallback = {int(names[i][3:5], 16): i for i in np.flatnonzero(self.kinds == BYTE)} if trainer.get(35) else {}
         self.normalise = Normaliser(CharacterMap(rule.get(2, b"")), bool(rule.get(3, 1)), bool(rule.get(5, 1)))
         normal = [int(i) for i in np.flatnonzero(self.kinds == NORMAL)]
-        order = {s: r for r, s in enumerate(sorted({scores[i] for i in normal}, reverse=True))}
-        self.ids = {names[i]: i for i in normal}
+        by_score = sorted(normal, key=lambda i: -scores[i])
+        order = {s: r for r, s in reversed(list(enumerate(scores[i] for i in by_score)))}
         self.rank = {names[i]: order[scores[i]] for i in normal}
-        crosses = any(a != SPACE and b == SPACE for n in self.ids for a, b in zip(n, n[1:]))
-        self.runs = re.compile(r"(?s).+" if crosses else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        # a symbol is a place in the order of scores, or for bytes and the unknown piece a number beyond
+        self.symbol = {names[i]: s for s, i in enumerate(by_score)}
+        self.other = {i: len(by_score) + i for i in [self.unknown, *self.fallback.values()]}
+        self.id_of = np.array(by_score + list(range(len(rows))), np.int32)
+        self.size = np.array([len(names[i].encode()) if k == NORMAL else 0 for i, k in enumerate(self.kinds)], np.int64)
+        self.bytes = np.array([int(names[i][3:5], 16) if k == BYTE else -1 for i, k in enumerate(self.kinds)])
+        known = {c for n in self.symbol for c in n}
+        crosses = any(a != SPACE and b == SPACE for n in self.symbol for a, b in zip(n, n[1:]))
+        within = "".join(map(re.escape, sorted(known - {SPACE}))) or "\\0"
+        self.runs = re.compile(f"(?s)[{SPACE}{within}]+|[^{SPACE}{within}]" if crosses else f"(?s){SPACE}*[{within}]+|{SPACE}+|[^{SPACE}{within}]")
+        joined = [i for i in normal if len(names[i]) > 1]
+        seen = Counter(scores[i] for i in joined)
+        alike = [names[i] for i in joined if seen[scores[i]] > 1]
+        self.one_by_one = re.compile("(?s)." if known - set(self.symbol) else "|".join(map(re.escape, alike)) or "(?!)")
+        self.first = np.full(0x110000, -1, np.int32)
+        for c in known & set(self.symbol):
+            self.first[ord(c)] = self.symbol[c]
+        pairs = [(self.symbol[n[:i]], self.symbol[n[i:]], s) for n, s in self.symbol.items() for i in range(1, len(n)) if n[:i] in self.symbol and n[i:] in self.symbol]
+        self.pairs = Pairs(*(np.array(x, np.int32) for x in (zip(*pairs) if pairs else ((), (), ()))))
         self.decimal = Table([b",%d" % i for i in range(len(rows))])
         said = trainer.get(44, " ⁇ ".encode())
         surface = {NORMAL: lambda n: n.replace(SPACE, " ").encode(), UNKNOWN: lambda n: said, CONTROL: lambda n: b"", BYTE: lambda n: bytes([int(n[3:5], 16)])}
         self.surface = Table([surface[k](n) for k, n in zip(self.kinds.tolist(), names)])
         self.leads = np.array([k == NORMAL and n.startswith(SPACE) for k, n in zip(self.kinds.tolist(), names)])
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.kept: dict[str, bytes] = {}
 
     def merge(self, run: str) -> list[str]:
         """The pieces of ``run``: pairs are joined, best score first, of equals the leftmost."""
@@ -220,37 +241,58 @@ class Pieces:
                     heapq.heappush(heap, (r, k, len(joined)))
         return [p for p in parts if p]
 
-    def _run(self, run: str) -> tuple[bytes, bytes]:
-        """int32 ids of a run, and how many normalised bytes each stands for, as bytes."""
-        ids, sizes = [], []
+    def _alone(self, run: str) -> bytes:
+        """The symbols of one run, as bytes of int32."""
+        out: list[int] = []
         for p in self.merge(run):
-            raw = p.encode()
-            if (i := self.ids.get(p)) is not None:
-                ids.append(i)
-                sizes.append(len(raw))
-            elif self.fallback:
-                ids += [self.fallback[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
+            if (s := self.symbol.get(p)) is not None:
+                out.append(s)
             else:
-                ids.append(self.unknown)
-                sizes.append(len(raw))
-        return np.array(ids, "<i4").tobytes(), np.array(sizes, "<i4").tobytes()
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the first and last (exclusive) source byte of each."""
-        flat, origin = self.normalise(text)
-        runs = self.runs.findall(flat.decode())
-        fresh = [r for r in dict.fromkeys(runs) if r not in self.kept]
+                out += [self.other[self.fallback[b]] for b in p.encode()] if self.fallback else [self.other[self.unknown]]
+        return np.array(out, "<i4").tobytes()
+
+    def _together(self, runs: list[str]) -> list[bytes]:
+        """The same of many runs."""
+        out, of = [b""] * len(runs), {}
+        for i, run in enumerate(runs):
+            if len(run) > WIDTHS[-1] or self.first[ord(run[0])] < 0 or self.one_by_one.search(run):
+                out[i] = self._alone(run)
+            elif len(run) == 1:
+                out[i] = self.first[ord(run)].tobytes()
+            else:
+                of.setdefault(next(w for w in WIDTHS if len(run) <= w), []).append(i)
+        for width, at in of.items():
+            for k in range(0, len(at), step := (1 << 20) // width):
+                part = [runs[i] for i in at[k : k + step]]
+                ids = np.full((len(part), width), -1, np.int32)
+                ids[np.arange(width) < np.array([len(r) for r in part])[:, None]] = self.first[np.frombuffer("".join(part).encode("utf-32-le"), "<u4")]
+                for i, symbols in zip(at[k : k + step], merged(ids, self.pairs)):
+                    out[i] = symbols
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text its ids, and the first and last (exclusive) source byte of each."""
+        flat = [self.normalise(t) for t in texts]
+        runs = [self.runs.findall(f.decode()) for f, _ in flat]
+        fresh = list({r for part in runs for r in part if r not in self.kept})
         if len(self.kept) + len(fresh) > KEPT:
             self.kept.clear()
-            fresh = list(dict.fromkeys(runs))
-        for r in fresh:
-            self.kept[r] = self._run(r)
-        found = [self.kept[r] for r in runs]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), "<i4")
-        size = np.frombuffer(b"".join([f[1] for f in found]), "<i4")
-        if not self.fallback and len(ids):  # neighbours without a piece are one unknown piece
-            first = np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))
+            fresh = list({r for part in runs for r in part})
+        self.kept.update(zip(fresh, self._together(fresh)))
+        for part, (_, origin) in zip(runs, flat):
+            ids = self.id_of[np.frombuffer(b"".join([self.kept[r] for r in part]), "<i4")]
+            yield self._spans(ids, part, origin)
+
+    def _spans(self, ids: np.ndarray, runs: list[str], origin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = self.size[ids]
+        if self.fallback:
+            of = self.bytes[ids]
+            lead = np.flatnonzero((of >= 0) & (of & 0xC0 != 0x80))  # the last byte of a character stands for all of it
+            n = np.searchsorted([0xC0, 0xE0, 0xF0], of[lead], "right") + 1
+            size[lead + n - 1] = n
+        elif (gaps := np.flatnonzero(ids == self.unknown)).size:
+            size[gaps] = [len(c.encode()) for r in runs for c in self.merge(r) if c not in self.symbol]
+            first = np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))  # neighbours are one unknown piece
             ids, size = ids[first], np.add.reduceat(size, np.flatnonzero(first))
         end = np.cumsum(size)
         return ids, origin[end - size], origin[end]
@@ -281,7 +323,7 @@ def _mapped(docs: DataFrame, path: str | None, schema: dict[str, tuple[str, pa.D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            rows = [one(model, text) for part in groups(batch.column(1).to_pylist()) for text in part]
+            rows = [one(model, *found) for part in groups(batch.column(1).to_pylist()) for found in model.encode(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(schema.values()))], ["doc_id", *schema])
 
     return slim.mapInArrow(run, ", ".join([f"doc_id {slim.schema['doc_id'].dataType.simpleString()}", *(f"{n} {t}" for n, (t, _) in schema.items())]))
@@ -290,15 +332,14 @@ def _mapped(docs: DataFrame, path: str | None, schema: dict[str, tuple[str, pa.D
 def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids, starts, ends``: every row's ids and the bytes of its text that each stands for."""
     ints = ("array<int>", pa.list_(pa.int32()))
-    return _mapped(docs, path, {"ids": ints, "starts": ints, "ends": ints}, lambda model, text: model.encode(text))
+    return _mapped(docs, path, {"ids": ints, "starts": ints, "ends": ints}, lambda model, *found: found)
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256`` of every row: the ids are decoded again; spans are
     each id's first and last (exclusive) byte of the text, as little-endian 32-bit numbers."""
 
-    def one(model: Pieces, text: str) -> tuple[int, str, str, str]:
-        ids, start, end = model.encode(text)
+    def one(model: Pieces, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, str, str, str]:
         spans = np.stack([start, end], 1).astype("<i4").tobytes()
         return len(ids), *(hashlib.sha256(x).hexdigest() for x in (model.decimal.join(ids)[1:], model.decode(ids).encode(), spans))
 

@@ -56,12 +56,15 @@ class Stored:
     @property
     def blocks(self) -> DataFrame:
         """``block, ids, lengths``, a row for each block."""
-        return self.spark.read.schema("block bigint, ids array<bigint>, lengths array<int>").parquet(f"{self.path}/kind=blocks")
+        return self._table("blocks", "block", "ids", "lengths")
 
     @property
     def postings(self) -> DataFrame:
         """``block, term, held, places, counts``, a row for each term of a block; arrays as bytes."""
-        return self.spark.read.schema("block bigint, term binary, held bigint, places binary, counts binary").parquet(f"{self.path}/kind=postings")
+        return self._table("postings", "block", "term", "held", "places", "counts")
+
+    def _table(self, kind: str, *columns: str) -> DataFrame:
+        return self.spark.read.schema(_SCHEMA).parquet(self.path).where(F.col("kind") == kind).select(*columns)
 
 
 def _block(number: int, ids: list, lengths: list[int], names: dict[bytes, int], term: list[np.ndarray], count: list[np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from brindle.llm.common import bounded_batches, scratch
 #: Documents and postings of a block; bytes of bitmaps that a task keeps of terms; most terms that are broadcast.
 BLOCK, POSTINGS, KEPT_BYTES, BROADCAST_TERMS = 16_384, 1_500_000, 96 << 20, 20_000
 #: Blocks of a tile, if there are more tiles than cores; items that a task holds at a time.
-TILE, ASKS = 16, 10_000
+TILE, ASKS = 2, 10_000
 #: Every character that ends a term becomes a space, A-Z become small; bytes from 0x80 on belong to terms.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" else b + 32 if "A" <= chr(b) <= "Z" else 0x20 for b in range(256))
 

@@ -10,9 +10,11 @@ the original vectors, which is summed from the first component on, so that equal
 wherever they lie. Every row is indexed and every query meets every block; blocks' best rows are merged.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do
-vectors of another length than the commonest; equal scores go to the smaller id; rows with the
-query's id are its own; fewer candidates than asked for give fewer rows; an empty table gives no
-rows; other columns are ignored, whatever their names.
+vectors of another length than the commonest; a row that is there more than once counts once; an id with
+several vectors is a candidate with each, and asks with the greatest of them; equal scores go to the smaller id;
+products that overflow rank as infinite, and last where they are no number; rows with the query's id are its own;
+fewer candidates than asked for give fewer rows; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -34,15 +36,16 @@ RERANK, BLOCK_ROWS = 2.5, 16_384
 
 def orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The nearest pivots of each vector, nearest first (by inner product; ties: the first pivot)."""
-    near = vectors @ pivots.T
+    near = (vectors / np.abs(vectors).max(axis=1, keepdims=True)) @ (pivots / np.abs(pivots).max()).T  # of one order, and finite
     return np.argsort(-near, axis=1, kind="stable")[:, :PREFIX].astype(np.int16)
 
 
 def products(columns: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products of ``query`` and the vectors that are the columns of ``columns``, in order of components."""
     total = np.zeros(columns.shape[1])
-    for column, x in zip(columns, query):
-        total += column * x
+    with np.errstate(over="ignore", invalid="ignore"):
+        for column, x in zip(columns, query):
+            total += column * x
     return total
 
 
@@ -68,9 +71,10 @@ class Index:
         key = shared * n + np.arange(n)[::-1]  # ties: the smaller id
         found = np.argpartition(-key, picked - 1)[:picked] if picked < n else np.arange(n)
         found = found[shared[found] >= 0]
-        rough = self.vectors[found] @ query
-        if len(found) > k:
-            # whatever rounding might bring among the best
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = self.vectors[found] @ query
+        if len(found) > k and np.isfinite(rough).all():
+            # whatever rounding might bring among the best; where products overflow, all
             found = found[rough >= -np.partition(-rough, k - 1)[k - 1] - 1e-9 * np.abs(rough).max()]
         score = products(self.vectors[found].T, query)
         best = np.lexsort((self.ids[found], -score))[:k]
@@ -78,12 +82,12 @@ class Index:
 
 
 def usable(vectors: DataFrame, vec: str) -> DataFrame:
-    """``vec_id, v`` (array of double) of the rows that take part."""
+    """``vec_id, v`` (array of double) of the rows that take part; a repeated row once."""
     v = F.col(vec).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).where("v is not null and size(v) > 0 and vec_id is not null").where(fine)
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (length[0]["n"] if length else 0))
+    return rows.where(F.size("v") == (length[0]["n"] if length else 0)).distinct()
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, vec: str = "embedding") -> DataFrame:
@@ -104,7 +108,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec: str = "embeddi
 
     posted = settle(rows.mapInArrow(post, "vec_id bigint, v array<double>, o binary"))
     base = posted.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "v", "o")
-    asks = posted.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "v", "o")
+    asks = posted.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max(F.struct("v", "o")).alias("ask")).select("vec_id", "ask.*").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "v", "o")
     schema = "query_id bigint, vec_id bigint, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +140,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, vec: str = "embeddi
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
     near = base.unionByName(asks).repartition("block").sortWithinPartitions("block", "asks").mapInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -145,8 +149,9 @@ def exact(vectors: DataFrame, every: int = 20, k: int = 20, vec: str = "embeddin
     rows = usable(vectors, vec).collect()
     ids, all_rows = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     out = []
-    for q in np.flatnonzero(ids % every == 0):
-        score = products(all_rows.T, all_rows[q])
-        order = [i for i in np.lexsort((ids, -score)) if ids[i] != ids[q]][:k]
-        out += [(int(ids[q]), r + 1, int(ids[i]), float(score[i])) for r, i in enumerate(order)]
+    for q in sorted({i for i in ids.tolist() if i % every == 0}):
+        own = ids == q
+        score = products(all_rows.T, np.array(max(all_rows[own].tolist())))
+        order = [i for i in np.lexsort((ids, -score)) if not own[i]][:k]
+        out += [(q, r + 1, int(ids[i]), float(score[i])) for r, i in enumerate(order)]
     return out

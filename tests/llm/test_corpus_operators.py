@@ -436,6 +436,34 @@ def test_neighbours(spark):
     assert permutations.search(d.where("vec_id < 3")).count() == 2 and permutations.search(d.where("false")).count() == 0
 
 
+def test_neighbours_of_repeated_rows_and_of_ids_with_two_vectors(spark):
+    """Every row twice gives what every row once gives; an id with two vectors asks with one and is found by either."""
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    schema = "vec_id bigint, embedding array<double>"
+    once, twice = spark.createDataFrame(data, schema), spark.createDataFrame(data * 2, schema).repartition(7)
+    rows = lambda d: sorted(map(tuple, permutations.search(d).collect()))
+    assert rows(once) == rows(twice) and len({(q, v) for q, _, v, _ in rows(twice)}) == 15 * 20
+    own = spark.createDataFrame(data + [(20, [9.0] + [0.0] * 7), (21, [9.0] + [0.0] * 7)], schema)
+    got, exact = rows(own), sorted(permutations.exact(own))
+    assert [r for q, r, _, _ in got if q == 20] == list(range(1, 21)) and len(got) == len(exact)
+    assert next(r for r in got if r[0] == 20) == (20, 1, 21, 81.0)  # asked with the greater vector, not found by itself
+
+
+def test_neighbours_whose_products_overflow(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(200, 6))
+    rows[::3] *= 1e200
+    rows[7, 0], rows[9] = 1e308, -rows[9]
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    got, exact = permutations.search(d).collect(), permutations.exact(d)
+    assert len(got) == len(exact) == 10 * 20 and {r.query_id for r in got} == set(range(0, 200, 20))
+    hit = {(r.query_id, r.vec_id) for r in got} & {(q, v) for q, _, v, _ in exact}
+    assert len(hit) >= 0.75 * len(exact) and any(math.isinf(r.score) for r in got)
+    score = {(q, v): str(x) for q, _, v, x in exact}
+    assert all(str(r.score) == score[r.query_id, r.vec_id] for r in got if (r.query_id, r.vec_id) in score)
+
+
 def test_neighbours_of_few_reranked_rows(spark, monkeypatch):
     """Recall where under a fifth is reranked, over more than one block; equal vectors tie in all of them."""
     monkeypatch.setattr(permutations, "BLOCK_ROWS", 2000)

@@ -8,28 +8,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Longest vector whose dot product is written out, for generated code; longer ones are folded.
-UNROLLED = 128
-
-
-def dot(a: Column, b: Column, dim: int | None = None) -> Column:
-    """Dot product, added up from the first component on. ``dim``: the length, if known."""
-    if dim is not None and dim <= UNROLLED:
-        total = F.lit(0.0)
-        for i in range(dim):
-            total = total + F.get(a, F.lit(i)) * F.get(b, F.lit(i))
-        return total
+def dot(a: Column, b: Column) -> Column:
+    """Dot product, added up from the first component on."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(a: Column, dim: int | None = None) -> Column:
-    return F.sqrt(dot(a, a, dim))
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None, dim: int | None = None) -> Column:
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
     """Cosine similarity; 0 where a norm is 0; null where the lengths differ."""
-    bottom = (norm(a, dim) if norm_a is None else norm_a) * (norm(b, dim) if norm_b is None else norm_b)
-    return F.when(F.size(a) == F.size(b), F.when(bottom == 0, 0.0).otherwise(dot(a, b, dim) / bottom))
+    bottom = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.when(F.size(a) == F.size(b), F.when(bottom == 0, 0.0).otherwise(dot(a, b) / bottom))
 
 
 def hash_embedding(text: Column, dim: int = 32) -> Column:

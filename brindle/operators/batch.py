@@ -1,18 +1,18 @@
-"""Batches of queries: what a search may broadcast."""
+"""Batches of queries: how a batch meets an index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Queries of a batch; what is broadcast grows with the batch, so its size is checked.
-MOST_QUERIES = 10_000
+#: Rows up to which a batch (or what comes of it) is broadcast. Larger ones are joined by shuffle.
+BROADCAST_ROWS = 50_000
 
 
-def bounded(queries: DataFrame) -> DataFrame:
-    """The batch itself; more than ``MOST_QUERIES`` rows raise an error when the plan runs, and no task or
-    broadcast ever holds more."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    small = F.when(F.col("__n") <= MOST_QUERIES, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {MOST_QUERIES} queries in a batch")).cast("boolean"))
-    return queries.limit(MOST_QUERIES + 1).withColumn("__n", n).where(small).drop("__n")
+def is_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether ``rows``, a batch of queries, has at most ``most`` rows; counts no further than that."""
+    return rows.limit(most + 1).count() <= most
+
+
+def sized(rows: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(rows) if small else rows

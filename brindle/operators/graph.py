@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from brindle.config import RetrievalConfig
 from brindle.functions.text import extract_terms, normalise_terms
-from brindle.operators.batch import bounded
-from brindle.operators.terms import neighbours
+from brindle.operators.access import Rows, access
+from brindle.operators.batch import is_small
+from brindle.runtime import settle
 
 _ITEM = "array<struct<query_term:string,expanded_term:string,weight:double>>"
 
@@ -19,7 +20,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     found = extract_terms(F.col("query"))
     if "terms" in queries.columns:
         found = F.coalesce(normalise_terms(F.col("terms")), found)
-    return bounded(queries).select("query_id", found.alias("directs")).select("query_id", "directs", F.posexplode("directs").alias("nth", "term"))
+    return queries.select("query_id", found.alias("directs")).select("query_id", "directs", F.posexplode("directs").alias("nth", "term"))
 
 
 def _candidates(terms: DataFrame, near: DataFrame) -> DataFrame:
@@ -77,13 +78,20 @@ def expand(terms: DataFrame, near: DataFrame, cfg: RetrievalConfig) -> DataFrame
     return (expand_greedy if cfg.expansion == "greedy" else expand_ranked)(terms, near, cfg)
 
 
-def hits(chunks: DataFrame, terms: DataFrame, expanded: DataFrame) -> DataFrame:
-    """``query_id, chunk_id, doc_id, direct, item``: one row for each direct term (item null) and each
-    expanded term of a chunk. One scan, one broadcast of the batch's terms."""
+def near(index: DataFrame | Rows, terms: DataFrame, cfg: RetrievalConfig, small: bool) -> DataFrame:
+    """``term, neighbour, weight``: as many first neighbours of each term as an expansion can need, whichever of them
+    are terms of the query themselves."""
+    most = F.max(F.size("directs")) + cfg.expand_per_term_limit + cfg.max_expanded_terms
+    return access(index).near(terms.groupBy("term").agg(most.alias("need")), small)
+
+
+def hits(index: DataFrame | Rows, terms: DataFrame, expanded: DataFrame, small: bool = False) -> DataFrame:
+    """``query_id, chunk_id, doc_id, term, direct, item``: one row for each direct term (item null) and each
+    expanded term of a chunk."""
     wanted = terms.select("query_id", "term", F.lit(True).alias("direct"), F.lit(None).cast(_ITEM[6:-1]).alias("item")).unionByName(
         expanded.select("query_id", F.col("expanded_term").alias("term"), F.lit(False).alias("direct"), F.struct("query_term", "expanded_term", "weight").alias("item"))
     )
-    return chunks.select("chunk_id", "doc_id", F.explode("terms").alias("term")).join(F.broadcast(wanted), "term")
+    return access(index).held(wanted, small)
 
 
 def scored(found: DataFrame, cfg: RetrievalConfig, explain: bool = False) -> DataFrame:
@@ -99,20 +107,29 @@ def scored(found: DataFrame, cfg: RetrievalConfig, explain: bool = False) -> Dat
     return sums.withColumn("capped_expanded_score", capped).withColumn("expansion_capped", F.coalesce(F.col("expanded_score") > cap, F.lit(False))).withColumn("score", F.col("direct_hit_count") * F.lit(cfg.direct_hit_weight) + F.col("capped_expanded_score"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, top_k: int, cfg: RetrievalConfig = RetrievalConfig(), near: DataFrame | None = None, explain: bool = False) -> DataFrame:
-    """The best chunks of each query by (-score, chunk_id). ``near``: neighbours, if they are written already."""
+def found(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A batch's terms, their expansions, and its hits. What is broadcast follows from the number of its terms:
+    each query adds at most ``max_expanded_terms`` of its own."""
     terms = query_terms(queries)
-    expanded = expand(terms, near if near is not None else neighbours(chunks, terms), cfg)
-    rows = scored(hits(chunks, terms, expanded), cfg, explain)
+    small = is_small(terms)
+    expanded = settle(expand(terms, near(index, terms, cfg, small), cfg))  # a few rows of each query
+    return terms, expanded, hits(index, terms, expanded, small)
+
+
+def best(rows: DataFrame, top_k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= max(top_k, 0)).drop("rank").withColumn("source", F.lit("graph"))
 
 
-def explained(chunks: DataFrame, queries: DataFrame, top_k: int, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def search(index: DataFrame | Rows, queries: DataFrame, top_k: int, cfg: RetrievalConfig = RetrievalConfig(), explain: bool = False) -> DataFrame:
+    """The best chunks of each query by (-score, chunk_id)."""
+    return best(scored(found(index, queries, cfg)[2], cfg, explain), top_k)
+
+
+def explained(index: DataFrame | Rows, queries: DataFrame, top_k: int, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """A row for each query: its direct terms, expanded terms, and its chunks with all that scored them."""
-    terms = query_terms(queries)
-    expanded = expand(terms, neighbours(chunks, terms), cfg)
-    rows = search(chunks, queries, top_k, cfg, explain=True).withColumn("expanded_hits", sorted_items(F.col("expanded_hits"))).withColumn("direct_score", F.col("direct_hit_count") * F.lit(cfg.direct_hit_weight)).withColumn("expansion_score_cap", F.lit(cfg.expansion_score_cap).cast("double"))
+    terms, expanded, held = found(index, queries, cfg)
+    rows = best(scored(held, cfg, True), top_k).withColumn("expanded_hits", sorted_items(F.col("expanded_hits"))).withColumn("direct_score", F.col("direct_hit_count") * F.lit(cfg.direct_hit_weight)).withColumn("expansion_score_cap", F.lit(cfg.expansion_score_cap).cast("double"))
     names = ["chunk_id", "doc_id", "direct_terms", "expanded_hits", "direct_hit_count", "expanded_hit_count", "direct_score", "expanded_score", "capped_expanded_score", "expansion_score_cap", "expansion_capped", "score"]
     order = F.struct((-F.col("score")).alias("down"), F.col("chunk_id").alias("name"), F.struct(*names).alias("chunk"))
     by_query = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["chunk"]).alias("chunks"))

@@ -29,16 +29,21 @@ def cooccurrence(chunks: DataFrame) -> DataFrame:
     return a.select("source", F.explode("terms").alias("target")).where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def neighbours(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, neighbour, weight`` for the terms of a batch of queries, which is bounded (``checked_queries``), so
-    that its terms can stand in the plan as a set. A chunk's array is copied for each of those that it holds only."""
-    names = [r["term"] for r in terms.select("term").distinct().collect()]
-    held = chunks.select("terms", F.filter("terms", lambda t: t.isin(names)).alias("held")).where(F.size("held") > 0)
-    pairs = held.select("terms", F.explode("held").alias("term")).select("term", F.explode("terms").alias("neighbour")).where("term <> neighbour")
+def neighbours(chunks: DataFrame, terms: DataFrame, small: bool = True) -> DataFrame:
+    """``term, neighbour, weight`` for ``terms``. A ``small`` batch's terms stand in the plan as a set, so that a chunk's
+    array is copied for those alone that it holds; a larger batch's are joined."""
+    wanted = terms.select("term").distinct()
+    if small:
+        names = [r["term"] for r in wanted.collect()]
+        held = chunks.select("terms", F.filter("terms", lambda t: t.isin(names)).alias("held")).where(F.size("held") > 0)
+        found = held.select("terms", F.explode("held").alias("term"))
+    else:
+        found = chunks.select("terms", F.explode("terms").alias("term")).join(wanted, "term")
+    pairs = found.select("term", F.explode("terms").alias("neighbour")).where("term <> neighbour")
     return pairs.groupBy("term", "neighbour").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def neighbours_from_edges(edges: DataFrame, terms: DataFrame) -> DataFrame:
     """The same from a written table of co-occurrence edges."""
     both = edges.select(F.col("source").alias("term"), F.col("target").alias("neighbour"), "weight").unionByName(edges.select(F.col("target").alias("term"), F.col("source").alias("neighbour"), "weight"))
-    return both.join(F.broadcast(terms.select("term").distinct()), "term")
+    return both.join(terms.select("term").distinct(), "term")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
 import time
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
@@ -14,19 +16,17 @@ from brindle.functions.text import strip
 from brindle.functions.vectors import hash_embedding
 from brindle.observe import Trace
 from brindle.operators import answer, evaluate, fusion, graph, vector
-from brindle.operators.batch import MOST_QUERIES
+from brindle.operators.access import Rows, access
+from brindle.operators.batch import is_small
 from brindle.runtime import shared_dir
 from brindle.sources.index import Embedder
 
 
 def checked_queries(queries: DataFrame) -> DataFrame:
-    """The batch with its text stripped. A blank query, or too large a batch, raises."""
+    """The batch with its text stripped. A blank query raises."""
     rows = queries.withColumn("query", strip(F.coalesce("query", F.lit(""))))
-    n, blank = rows.limit(MOST_QUERIES + 1).agg(F.count(F.lit(1)), F.count_if(F.col("query") == "")).first()
-    if blank:
+    if rows.where("query = ''").limit(1).count():
         raise ValidationError("query must not be empty")
-    if n > MOST_QUERIES:
-        raise ValidationError(f"more than {MOST_QUERIES} queries in a batch")
     return rows
 
 
@@ -41,13 +41,13 @@ def _stage(name: str, make, trace: Trace | None = None):
         raise QueryExecutionError(name, str(e), e) from e
 
 
-def _sides(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig, options: QueryOptions, embed: Embedder | None, explain: bool, trace: Trace | None) -> tuple[DataFrame | None, DataFrame | None]:
+def _sides(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig, options: QueryOptions, embed: Embedder | None, explain: bool, trace: Trace | None) -> tuple[DataFrame | None, DataFrame | None]:
     vector_k, graph_k, _ = options.ks(cfg)
     found, linked = None, None
     if options.enable_vector:
         # a side that is off needs no embedding
         asks = _stage("embedding", lambda: queries.select("query_id", (embed or (lambda t: hash_embedding(t, cfg.embedding_dim)))(F.col("query")).alias("embedding")), trace)
-        found = _stage("retrieval", lambda: vector.search(index, asks, vector_k, SearchOptions(), cfg.embedding_dim if embed is None else None), trace)
+        found = _stage("retrieval", lambda: vector.search(access(index).vectors(), asks, vector_k, SearchOptions()), trace)
     if options.enable_graph:
         linked = _stage("retrieval", lambda: graph.search(index, queries, graph_k, cfg, explain=explain), trace)
     return found, linked
@@ -58,29 +58,35 @@ def _fused(found: DataFrame | None, linked: DataFrame | None, cfg: RetrievalConf
     return _stage("retrieval", lambda: fusion.fuse(found if found is not None else none, linked if linked is not None else none, cfg), trace)
 
 
-def retrieve(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, explain: bool = False, trace: Trace | None = None) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+def retrieve(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, explain: bool = False, trace: Trace | None = None) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
     """Vector rows, graph rows (None for a side that is off) and the fused rows."""
     found, linked = _sides(index, queries, cfg, options, embed, explain, trace)
     return found, linked, _fused(found, linked, cfg, trace)
 
 
-def with_text(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Texts of the few rows left: top k of a checked batch are what is broadcast."""
-    return index.select("doc_id", "chunk_id", "text").join(F.broadcast(rows), ["doc_id", "chunk_id"])
+def with_text(rows: DataFrame, index: DataFrame | Rows, small: bool = True) -> DataFrame:
+    """Texts of the few rows left: top k of a batch, which is broadcast if it is ``small``."""
+    return access(index).with_text(rows, small)
 
 
-def hybrid(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, text: bool = True, trace: Trace | None = None) -> DataFrame:
-    """The final chunks of each query with ``rank``, all scores and (``text``) their text. This is a plan,
-    and nothing has run; ``execute`` runs a batch and tells of it."""
+def hybrid(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, text: bool = True, trace: Trace | None = None) -> DataFrame:
+    """The final chunks of each query with ``rank``, all scores and (``text``) their text. Without text
+    this is a plan, of which only the batch's expanded terms are known already; texts are looked up for the rows found.
+    ``execute`` runs a batch and tells of it."""
     fused = retrieve(index, queries, cfg, options, embed, trace=trace)[2]
     final = _stage("postprocess", lambda: fusion.postprocess(fused, options.ks(cfg)[2], options.min_score), trace)
-    return with_text(final, index) if text else final
+    return with_text(final, index, is_small(queries)) if text else final
 
 
-def execute(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, model=None, trace: Trace | None = None) -> tuple[list[Row], list[Row], dict[str, float]]:
+#: Queries that ``execute`` takes: its rows go to its caller.
+MOST_EXECUTED = 10_000
+
+
+def execute(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, model=None, trace: Trace | None = None) -> tuple[list[Row], list[Row], dict[str, float]]:
     """Runs a checked batch stage by stage: its final chunks, its answers (query_id, answer), and the seconds
-    of each stage. A failure of an action carries the stage it happened in. Each side's hits (top k of a
-    bounded batch) are kept while the batch runs. ``model``: as for ``answer.generate``; else the listing."""
+    of each stage. A failure of an action carries the stage it happened in. Each side's hits are written once and counted
+    as they are; no job only counts. More than ``MOST_EXECUTED`` queries raise, as the rows are handed to the caller:
+    ``hybrid`` takes any number. ``model``: as for ``answer.generate``; else the listing."""
     trace, took = trace or Trace(), {}
     trace.event("query_start", top_k=options.top_k, min_score=options.min_score, enable_vector=options.enable_vector, enable_graph=options.enable_graph)
 
@@ -90,28 +96,35 @@ def execute(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = Retriev
         took[name] = round(time.monotonic() - began, 3)
         return out
 
+    def written(name: str, rows: DataFrame) -> DataFrame:
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        shared_dir(rows.sparkSession)
+        kept = rows.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
+        trace.event(f"{name}_retrieved", count=seen.get["n"])
+        return kept
+
     queries = timed("check", "retrieval", lambda: checked_queries(queries))
-    sides = [x.persist() if x is not None else None for x in _sides(index, queries, cfg, options, embed, False, trace)]
-    try:
-        for name, rows in zip(("vector", "graph"), sides):
-            if rows is not None:
-                n = timed(name, "embedding" if name == "vector" and embed is not None else "retrieval", rows.count)
-                trace.event(f"{name}_retrieved", count=n)
-        trace.event("retrieval_timing", **took)
-        fused = _fused(*sides, cfg, trace)
-        final = timed("postprocess", "postprocess", lambda: with_text(fusion.postprocess(fused, options.ks(cfg)[2], options.min_score), index).orderBy("query_id", "rank").collect())
-        trace.event("retrieval_query_done", count=len(final))
-        kept = index.sparkSession.createDataFrame(final, with_text(fusion.postprocess(fused, 1), index).schema)
-        answers = timed("generation", "generation", lambda: answer.generate(kept, queries, model) if model else [tuple(r) for r in answer.listing(kept, queries).orderBy("query_id").collect()])
-    finally:
-        for rows in sides:
-            if rows is not None:
-                rows.unpersist()
+    if not is_small(queries, MOST_EXECUTED):
+        raise ValidationError(f"more than {MOST_EXECUTED} queries in a batch")
+    sides = []
+    for name, on in (("vector", options.enable_vector), ("graph", options.enable_graph)):
+        if not on:
+            sides.append(None)
+            continue
+        alone = dataclasses.replace(options, enable_vector=name == "vector", enable_graph=name == "graph")
+        made = lambda alone=alone, name=name: written(name, next(x for x in _sides(index, queries, cfg, alone, embed, False, trace) if x is not None))
+        sides.append(timed(name, "embedding" if name == "vector" and embed is not None else "retrieval", made))
+    trace.event("retrieval_timing", **took)
+    fused = _fused(*sides, cfg, trace)
+    final = timed("postprocess", "postprocess", lambda: with_text(fusion.postprocess(fused, options.ks(cfg)[2], options.min_score), index).orderBy("query_id", "rank").collect())
+    trace.event("retrieval_query_done", count=len(final))
+    kept = queries.sparkSession.createDataFrame(final, with_text(fusion.postprocess(fused, 1), index).schema)
+    answers = timed("generation", "generation", lambda: answer.generate(kept, queries, model) if model else [tuple(r) for r in answer.listing(kept, queries).orderBy("query_id").collect()])
     trace.event("query_done", count=len(answers), seconds=round(sum(took.values()), 3))
     return final, answers, took
 
 
-def retrieval_debug(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None) -> DataFrame:
+def retrieval_debug(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None) -> DataFrame:
     """A row for each query: summary, both sides' hits, how they were merged (weights, method, counts, every
     chunk's raw and effective scores), the first ten fused and final hits, preview, scoring."""
     found, linked, fused = retrieve(index, queries, cfg, options, embed, explain=True)
@@ -143,7 +156,7 @@ def retrieval_debug(index: DataFrame, queries: DataFrame, cfg: RetrievalConfig =
     return out.select("query_id", "query", summary.alias("summary"), scoring.alias("scoring_overview"), merging.alias("fusion"), *keep)
 
 
-def evaluate_dataset(index: DataFrame, samples: DataFrame, modes: list[str], k: int, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None) -> DataFrame:
+def evaluate_dataset(index: DataFrame | Rows, samples: DataFrame, modes: list[str], k: int, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None) -> DataFrame:
     """Measures of every sample (query_id, query, relevant_chunk_ids) in every mode. Each side is searched once,
     whatever the number of modes: its hits (k of a checked batch) are kept, and modes fuse them."""
     if not samples.limit(1).count():
@@ -151,8 +164,8 @@ def evaluate_dataset(index: DataFrame, samples: DataFrame, modes: list[str], k:
     flags = {mode: evaluate.mode_flags(mode) for mode in modes}
     options = QueryOptions(top_k=k, enable_vector=any(v for v, _ in flags.values()), enable_graph=any(g for _, g in flags.values()))
     queries = checked_queries(samples.select("query_id", "query"))
-    # k rows of each of at most MOST_QUERIES queries; written, so that no mode searches again
-    found, linked = (x.select("query_id", "doc_id", "chunk_id", "score").checkpoint() if x is not None and shared_dir(index.sparkSession) else None for x in _sides(index, queries, cfg, options, embed, False, None))
+    # written, so that no mode searches again
+    found, linked = (x.select("query_id", "doc_id", "chunk_id", "score").checkpoint() if x is not None and shared_dir(samples.sparkSession) else None for x in _sides(index, queries, cfg, options, embed, False, None))
     parts = []
     for mode, (v, g) in flags.items():
         final = fusion.postprocess(_fused(found if v else None, linked if g else None, cfg, None), options.ks(cfg)[2])

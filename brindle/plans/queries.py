@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
 from brindle.functions.text import extract_terms
 from brindle.functions.vectors import hash_embedding, norm
-from brindle.operators import answer, chunking, evaluate, fusion, graph, terms, vector
+from brindle.operators import answer, chunking, evaluate, fusion, graph, vector
 from brindle.plans import hybrid as plan
-from brindle.runtime import scratch
-from brindle.sources.index import IndexStore, build_index, replaced
+from brindle.runtime import remove, scratch
+from brindle.sources.index import IndexStore, Stored, build_index, replaced
 
 #: The batch of queries that the search queries ask, in order of their ids.
 ASKED = ("the heble of ndat reti", "token secret key", "eaanon erre ndha onin", "de la queoi", "zzzz unknown", "und der die")
@@ -25,19 +25,29 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
-#: Indexes that this process has written, by session and tables.
-_WRITTEN: dict[tuple[str, str], str] = {}
+#: Indexes that this process has written: by session and tables, with the files that they are of.
+_WRITTEN: dict[tuple[str, str], tuple[tuple, str]] = {}
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The written index of the documents: built once for a session and its tables (which don't change in it),
-    in the shared folder, as searches read an index and don't build one."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in store.listStatus(at)))
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Stored:
+    """The written index of the documents, in the shared folder, as searches read an index and don't build one. It is
+    written once for a session, and again when the table's files are others."""
+    key, files = (spark.sparkContext.applicationId, sf_dir), _files(spark, f"{sf_dir}/documents.parquet")
+    known, path = _WRITTEN.get(key, (None, None))
+    if known != files:
+        if path:
+            remove(spark, path)
         path = scratch(spark, "index")
-        IndexStore(spark, path).write(_built(spark, sf_dir))
-        _WRITTEN[key] = path
-    return IndexStore(spark, _WRITTEN[key]).read()
+        IndexStore(spark, path, edges=True).write(_built(spark, sf_dir))
+        _WRITTEN[key] = files, path
+    return IndexStore(spark, path).open()
 
 
 def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +61,7 @@ def _asked(spark: SparkSession) -> DataFrame:
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings table as chunks; the label stands in for the document."""
     v = F.col("embedding").cast("array<double>")
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("string").alias("doc_id"), F.col("vec_id").cast("string").alias("chunk_id"), v.alias("embedding"), norm(v, 64).alias("norm"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("string").alias("doc_id"), F.col("vec_id").cast("string").alias("chunk_id"), v.alias("embedding"), norm(v).alias("norm"))
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +75,7 @@ def extract_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.document_frequency(index_of(spark, sf_dir))
+    return index_of(spark, sf_dir).document_frequency()
 
 
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +100,11 @@ def hash_embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.similarities(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 64).withColumn("score", F.round("score", 6))
+    return vector.similarities(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def _vector_topk(spark: SparkSession, sf_dir: str, k: int, options: SearchOptions = SearchOptions()) -> DataFrame:
-    return vector.search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k, options, 64).withColumn("score", F.round("score", 6))
+    return vector.search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k, options).withColumn("score", F.round("score", 6))
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,18 +121,20 @@ def vector_topk_minscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges, told by their source: how many, their weight, the heaviest."""
-    edges = terms.cooccurrence(index_of(spark, sf_dir))
+    edges = index_of(spark, sf_dir).edges()
     return edges.groupBy("source").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
 
 
-def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig = CFG) -> tuple[Stored, DataFrame, DataFrame]:
     index = index_of(spark, sf_dir)
     asked = graph.query_terms(_asked(spark))
-    return index, asked, terms.neighbours(index, asked)
+    return index, asked, graph.near(index, asked, cfg, True)
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir)[2]
+    """All neighbours of the asked terms, from the edges' buckets."""
+    asked = graph.query_terms(_asked(spark)).select("term").distinct()
+    return index_of(spark, sf_dir).by_term.lookup("edges", asked, True).select("term", "neighbour", F.col("n").cast("double").alias("weight"))
 
 
 def direct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +269,7 @@ def replace_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     later = docs.select((F.col("doc_id").cast("bigint") - 3).cast("string").alias("doc_id"), "text").where("doc_id % 3 = 0")
     batch = docs.select("doc_id").join(later, "doc_id")
-    rows = replaced(index_of(spark, sf_dir), build_index(batch, CFG))
+    rows = replaced(index_of(spark, sf_dir).chunks, build_index(batch, CFG))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("chars"), F.sum(F.size("terms")).alias("terms"))
 
 

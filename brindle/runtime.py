@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from brindle.errors import ValidationError
 
@@ -42,8 +42,19 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its lineage cut; it survives lost executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def workers_see_package(spark: SparkSession) -> None:
     """Puts this package's folder in the workers' path, where it isn't installed but lies in the same place."""
     env = spark.sparkContext.environment
     if HOME not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (HOME, env.get("PYTHONPATH")) if x)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's guess at the bytes of ``df``."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

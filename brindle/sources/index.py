@@ -1,8 +1,8 @@
-"""The index: chunks with terms and embeddings, in buckets of documents.
+"""The index: chunks with terms and embeddings, in buckets of documents, and what is kept of them by term.
 
 A write puts new files for the buckets that it touches in a folder of its own, then commits by a small
-file that names the folder of each bucket. Readers follow the newest commit, so they see all of a write or
-nothing; a write that dies leaves a folder that nothing names; of two writers at once the second
+file that names the folder of each bucket and the tables by term. Readers follow the newest commit, so they see all
+of a write or nothing; a write that dies leaves a folder that nothing names; of two writers at once the second
 commit fails."""
 
 from __future__ import annotations
@@ -19,8 +19,12 @@ from brindle.errors import ConflictError, NotFoundError, ValidationError
 from brindle.functions.text import extract_terms, strip
 from brindle.functions.vectors import hash_embedding, norm
 from brindle.observe import Trace
+from brindle.operators.access import Rows
+from brindle.operators.batch import sized
 from brindle.operators.chunking import chunk_documents
+from brindle.runtime import planned_bytes, settle
 from brindle.schemas import INDEX
+from brindle.sources.by_term import SCHEMAS, TermTables, folder_of
 
 Embedder = Callable[[Column], Column]
 COLUMNS = [x.split()[0] for x in INDEX.split(", ")]
@@ -57,13 +61,47 @@ def replaced(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return existing.join(ids, "doc_id", "left_anti").select(*batch.columns).unionByName(batch)
 
 
+#: Bytes of a bucket, by the planner's guess at the first write; fewest and most buckets.
+BUCKET_BYTES, BUCKETS = 16 << 20, (8, 65_536)
+
+
+class Stored(Rows):
+    """A committed index. Its searches read by key: postings and neighbours by their terms' buckets, texts by the
+    documents' buckets; vectors alone are read whole, and no other column with them."""
+
+    def __init__(self, store: IndexStore, commit: dict):
+        super().__init__(store._rows(commit))
+        self.by_term = TermTables(store.spark, store._terms_path, commit["terms"])
+        self.located, self.bucket = store._rows(commit, located=True), store._bucket(commit)
+
+    def held(self, wanted: DataFrame, small: bool) -> DataFrame:
+        return self.by_term.lookup("postings", wanted, small).drop("n")
+
+    def near(self, wanted: DataFrame, small: bool) -> DataFrame:
+        return self.by_term.near(wanted, small) if self.by_term.of("near") else super().near(wanted, small)
+
+    def document_frequency(self) -> DataFrame:
+        return self.by_term.every("counts").select("term", F.col("n").alias("chunk_count"), F.col("docs").alias("doc_count"))
+
+    def edges(self) -> DataFrame:
+        """``source < target, weight``, as ``terms.cooccurrence`` gives them; for a store that keeps edges."""
+        return self.by_term.every("edges").where("term < neighbour").select(F.col("term").alias("source"), F.col("neighbour").alias("target"), F.col("n").cast("double").alias("weight"))
+
+    def with_text(self, rows: DataFrame, small: bool) -> DataFrame:
+        """``rows`` are found first; then the files of their buckets alone are read (that no id is empty is said, as it
+        lets Spark prune)."""
+        wanted = settle(rows).withColumn("bucket", self.bucket).where("chunk_id > ''")
+        return self.located.select("bucket", "doc_id", "chunk_id", "text").join(sized(wanted, small), ["bucket", "doc_id", "chunk_id"]).drop("bucket")
+
+
 class IndexStore:
-    """An index at ``path``. ``buckets`` (fixed by the first write) should follow the size of the whole, and
-    ``spread`` is in how many files a bucket may lie; ``keep`` commits stay readable."""
+    """An index at ``path``. ``buckets`` is fixed by the first write (None: by its size); ``edges``, fixed too, says whether
+    co-occurrence is kept; ``keep`` commits stay readable."""
 
-    def __init__(self, spark: SparkSession, path: str, trace: Trace | None = None, buckets: int = 64, spread: int = 4, keep: int = 2):
+    def __init__(self, spark: SparkSession, path: str, trace: Trace | None = None, buckets: int | None = None, edges: bool = False, keep: int = 2):
         self.spark, self.path, self.trace = spark, path.rstrip("/"), trace or Trace()
-        self.buckets, self.spread, self.keep = buckets, spread, keep
+        self.buckets, self.edges, self.keep = buckets, edges, keep
+        self._terms_path = f"{self.path}/terms"
         self._jvm = spark._jvm
         self._files = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -79,7 +117,7 @@ class IndexStore:
 
     def _commit_of(self, version: int | None) -> dict:
         if version is None:
-            return {"version": 0, "buckets": self.buckets, "dim": None, "parts": {}}
+            return {"version": 0, "buckets": self.buckets, "edges": self.edges, "dim": None, "parts": {}, "terms": []}
         stream = self._files.open(self._at("commits", f"v{version:08d}.json"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -89,9 +127,16 @@ class IndexStore:
     def _newest(self) -> dict:
         return self._commit_of((self.versions() or [None])[-1])
 
-    def _rows(self, commit: dict, buckets: list[str] | None = None) -> DataFrame:
+    def _rows(self, commit: dict, buckets: list[str] | None = None, located: bool = False) -> DataFrame:
+        """Rows of a commit; ``located``: with ``bucket``, by which Spark prunes files."""
         paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in commit["parts"].items() if buckets is None or b in buckets]
-        return self.spark.read.schema(INDEX).parquet(*paths) if paths else self.spark.createDataFrame([], INDEX)
+        schema = f"{INDEX}, bucket int"
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows.select(*COLUMNS, "bucket") if located else rows.select(*COLUMNS)
+
+    def open(self) -> Stored:
+        """The newest version, for searches."""
+        return Stored(self, self._newest())
 
     @staticmethod
     def _bucket(commit: dict) -> Column:
@@ -115,16 +160,19 @@ class IndexStore:
         return low if low is not None else dim
 
     def _put(self, rows: DataFrame, commit: dict, folder: str) -> list[str]:
-        """Writes ``rows`` to a new folder; the buckets that are there then. A bucket's documents are dealt
-        to a few files, so that no task holds a large bucket."""
-        b = self._bucket(commit)
-        dealt = rows.select(*COLUMNS, b.alias("bucket")).repartition(F.col("bucket"), F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(self.spread)))
+        """Writes ``rows`` to a new folder; the buckets that are there then. Spark splits large buckets into
+        files, so that no task holds one."""
+        dealt = rows.select(*COLUMNS, self._bucket(commit).alias("bucket")).hint("rebalance", "bucket")
         dealt.sortWithinPartitions("bucket", "doc_id", "position").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
         return [n.split("=")[1] for n in self._names(f"data/{folder}") if n.startswith("bucket=")]
 
-    def _commit(self, commit: dict, dim: int | None, parts: dict[str, str]) -> int:
+    @staticmethod
+    def _by_size(rows: DataFrame) -> int:
+        return max(BUCKETS[0], min(BUCKETS[1], planned_bytes(rows) // BUCKET_BYTES))
+
+    def _commit(self, commit: dict, dim: int | None, parts: dict[str, str], terms: list[dict] | None = None) -> int:
         version = commit["version"] + 1
-        text = json.dumps({"version": version, "buckets": commit["buckets"], "dim": dim, "parts": parts})
+        text = json.dumps(commit | {"version": version, "dim": dim, "parts": parts, "terms": commit["terms"] if terms is None else terms})
         draft, final = self._at("commits", f".{uuid.uuid4().hex}"), self._at("commits", f"v{version:08d}.json")
         stream = self._files.create(draft, False)
         stream.write(bytearray(text.encode()))
@@ -141,31 +189,49 @@ class IndexStore:
         return version
 
     def _forget(self, last: int) -> None:
-        """Removes the commits up to ``last``, and the folders of buckets that only they name."""
+        """Removes the commits up to ``last``, and the folders that only they name."""
         old = [self._commit_of(v) for v in self.versions() if v <= last]
-        live = {(f, b) for v in self.versions() if v > last for b, f in self._commit_of(v)["parts"].items()}
+        kept = [self._commit_of(v) for v in self.versions() if v > last]
+        live = {(f, b) for c in kept for b, f in c["parts"].items()}
+        runs = {r["name"] for c in kept for r in c["terms"]}
         for commit in old:
             for b, folder in commit["parts"].items():
                 if (folder, b) not in live:
                     self._files.delete(self._at("data", folder, f"bucket={b}"), True)
+            for run in commit["terms"]:
+                if run["name"] not in runs:
+                    self._files.delete(self._at("terms", folder_of(run)), True)
             self._files.delete(self._at("commits", f"v{commit['version']:08d}.json"), False)
 
     def write(self, rows: DataFrame) -> int:
         """A version of ``rows`` alone."""
-        commit, folder = self._newest(), uuid.uuid4().hex
+        commit, folder = self._newest(), f"write={uuid.uuid4().hex}"
+        commit |= {"buckets": commit["buckets"] or self._by_size(rows)}
         self.trace.event("ingest_start", version=commit["version"] + 1)
         parts = {b: folder for b in self._put(rows, commit, folder)}
+        put = self._rows(commit | {"parts": parts})
         try:
-            dim = self._checked(self._rows(commit | {"parts": parts}), None)
+            dim = self._checked(put, None)
         except Exception:
             self._files.delete(self._at("data", folder), True)
             raise
-        return self._commit(commit, dim, parts)
+        return self._commit(commit, dim, parts, TermTables(self.spark, self._terms_path, []).written(put, commit["edges"]))
+
+    def _changed(self, commit: dict, touched: list[str], ids: DataFrame, staged: DataFrame) -> list[dict]:
+        """The tables by term when the documents ``ids`` (doc_id) of the touched buckets give way to ``staged``."""
+        tables = TermTables(self.spark, self._terms_path, commit["terms"])
+        if not commit["terms"]:
+            return tables.written(staged, commit["edges"])
+        old = self._rows(commit, touched).join(ids, "doc_id", "left_semi")
+        return tables.changed(staged, old)
 
     def upsert(self, batch: DataFrame) -> int:
-        """The documents of ``batch`` replace theirs; only the buckets that hold one are written again."""
-        commit, folder = self._newest(), uuid.uuid4().hex
+        """The documents of ``batch`` replace theirs; only the buckets that hold one are written again, and by term
+        only what changes is added."""
+        commit, folder = self._newest(), f"write={uuid.uuid4().hex}"
+        commit |= {"buckets": commit["buckets"] or self._by_size(batch)}
         self.trace.event("ingest_start", version=commit["version"] + 1)
+        terms = commit["terms"]
         try:
             batch.select(*COLUMNS).write.parquet(f"{self.path}/data/{folder}-in")
             staged = self.spark.read.schema(INDEX).parquet(f"{self.path}/data/{folder}-in")
@@ -173,23 +239,31 @@ class IndexStore:
             touched = [str(r[0]) for r in staged.select(self._bucket(commit)).distinct().collect()]  # a number for each bucket
             kept = {b: f for b, f in commit["parts"].items() if b not in touched}
             put = self._put(replaced(self._rows(commit, touched), staged), commit, folder) if touched else []
+            if touched:
+                terms = self._changed(commit, touched, staged.select("doc_id").distinct(), staged)
         finally:
             self._files.delete(self._at("data", f"{folder}-in"), True)
-        return self._commit(commit, dim, kept | {b: folder for b in put})
+        return self._commit(commit, dim, kept | {b: folder for b in put}, terms)
 
     def delete(self, doc_id: str) -> int:
-        commit, folder = self._newest(), uuid.uuid4().hex
+        commit, folder = self._newest(), f"write={uuid.uuid4().hex}"
         if not self.read(doc_id).limit(1).count():
             raise NotFoundError(doc_id)
-        bucket = str(self.read(doc_id).select(self._bucket(commit)).first()[0])
-        put = self._put(self._rows(commit, [bucket]).where(F.col("doc_id") != doc_id), commit, folder)
-        return self._commit(commit, commit["dim"], {b: f for b, f in commit["parts"].items() if b != bucket} | {b: folder for b in put})
+        ids = self.spark.range(1).select(F.lit(doc_id).alias("doc_id"))
+        bucket = str(ids.select(self._bucket(commit)).first()[0])
+        rows = self._rows(commit, [bucket])
+        put = self._put(rows.where(F.col("doc_id") != doc_id), commit, folder)
+        terms = self._changed(commit, [bucket], ids, rows.limit(0))
+        return self._commit(commit, commit["dim"], {b: f for b, f in commit["parts"].items() if b != bucket} | {b: folder for b in put}, terms)
 
     def vacuum(self) -> None:
         """Removes folders that no commit names: of writes that died. Not to be run while another writes."""
-        live = {f for v in self.versions() for f in self._commit_of(v)["parts"].values()}
-        for folder in set(self._names("data")) - live:
-            self._files.delete(self._at("data", folder), True)
+        commits = [self._commit_of(v) for v in self.versions()]
+        live = {f"data/{f}" for c in commits for f in c["parts"].values()} | {f"terms/{folder_of(r)}" for c in commits for r in c["terms"]}
+        for below in ("data", *(f"terms/{kind}" for kind in SCHEMAS)):
+            for folder in self._names(below):
+                if f"{below}/{folder}" not in live:
+                    self._files.delete(self._at(below, folder), True)
 
     def wipe(self) -> None:
         self._files.delete(self._at(), True)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
 from brindle.errors import QueryExecutionError, ValidationError
 from brindle.functions.vectors import norm
 from brindle.observe import RecordedTrace, Trace, set_up_logging
-from brindle.operators import answer, evaluate, fusion, graph, terms, vector
+from brindle.operators import answer, batch, evaluate, fusion, graph, terms, vector
 from brindle.plans import hybrid
 
 GREEDY, RANKED = RetrievalConfig(expansion="greedy"), RetrievalConfig(expansion="ranked")
@@ -241,13 +245,66 @@ def test_bad_queries(spark):
     assert e.value.stage == "embedding"
 
 
-def test_batches_are_bounded(spark, monkeypatch):
-    from brindle.operators import batch
-
-    monkeypatch.setattr(batch, "MOST_QUERIES", 3)
-    assert batch.bounded(asked(spark, "a", "b", "c")).count() == 3
-    with pytest.raises(Exception, match="more than 3 queries"):
-        batch.bounded(asked(spark, "a", "b", "c", "d")).collect()
+def test_batches_of_any_size(spark, monkeypatch):
+    """What is too large to be broadcast is joined, with the same result; only ``execute`` has a bound."""
+    c, q = chunk_rows(spark, CASES[4][0]), asked(spark, "aa bb", "xx", "zz ww", "aa", "none")
+    rows = lambda: sorted(map(tuple, graph.search(c, q, 5, GREEDY).collect()))
+    few = rows()
+    monkeypatch.setattr(batch, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(batch.is_small, "__defaults__", (2,))
+    assert rows() == few and "SortMergeJoin" in graph.search(c, q, 5, GREEDY)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(hybrid, "MOST_EXECUTED", 4)
+    with pytest.raises(ValidationError, match="more than 4 queries"):
+        hybrid.execute(c, q, GREEDY, QueryOptions(enable_vector=False))
+
+
+def loop_of_vectors(chunks, queries, k, least=None):
+    """Every pair by itself, the products added up from the first component on."""
+    out = []
+    for name, q in queries:
+        found = []
+        for doc, chunk, v in chunks:
+            if q is None or v is None or len(q) != len(v) or any(x is None or not math.isfinite(x) for x in [*q, *v]):
+                continue
+            dot = lambda a, b: functools.reduce(lambda s, xy: s + xy[0] * xy[1], zip(a, b), 0.0)
+            bottom = math.sqrt(dot(v, v)) * math.sqrt(dot(q, q))
+            score = dot(q, v) / bottom if bottom else 0.0
+            if least is None or score >= least:
+                found.append((-score, doc, chunk))
+        out += [(name, d, c, -s) for s, d, c in sorted(found)[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("numbers, queries_, chunks_", [(4_000_000, 2_048, 65_536), (0, 3, 7), (0, 100, 5)])
+def test_vector_search_in_tiles(spark, monkeypatch, numbers, queries_, chunks_):
+    for name, value in (("SENT_NUMBERS", numbers), ("QUERY_TILE", queries_), ("CHUNK_TILE", chunks_), ("PRODUCT_ROWS", 5)):
+        monkeypatch.setattr(vector, name, value)
+    rng = random.Random(6)
+    v = lambda: [float(rng.randint(-2, 2)) for _ in range(4)]  # noqa: E731  (many ties)
+    chunks = [(f"d{i % 9}", f"c{i}", v()) for i in range(60)] + [("d1", "n", None), ("d1", "m", [1.0, None, 0.0, 0.0]), ("d1", "nan", [float("nan")] * 4), ("d1", "inf", [float("inf")] + [1.0] * 3), ("d1", "short", [1.0]), ("d0", "zero", [0.0] * 4), ("d0", "empty", [])]
+    queries = [(f"q{i}", v()) for i in range(11)] + [("zero", [0.0] * 4), ("none", None), ("one", [2.0])]
+    c = spark.createDataFrame(chunks, "doc_id string, chunk_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id string, embedding array<double>")
+    for k, least in ((5, None), (100, 0.25), (1, None), (0, None)):
+        got = vector.search(c, q, k, SearchOptions(min_score=least))
+        assert got.columns == ["query_id", "doc_id", "chunk_id", "score", "source"]
+        assert sorted(tuple(r)[:4] for r in got.collect()) == loop_of_vectors(chunks, queries, k, least)
+    assert sorted(map(tuple, vector.similarities(c, q).collect())) == loop_of_vectors(chunks, queries, 1000)
+    assert vector.search(c, q.where("false"), 5).count() == 0 == vector.search(c.where("false"), q, 5).count()
+
+
+def test_twenty_thousand_queries(spark):
+    rng = np.random.default_rng(7)
+    rows, asks = rng.normal(size=(700, 8)), rng.normal(size=(20_000, 8))
+    c = spark.createDataFrame([("d", f"{i:04}", v.tolist()) for i, v in enumerate(rows)], "doc_id string, chunk_id string, embedding array<double>")
+    q = spark.createDataFrame(pd.DataFrame({"query_id": np.arange(20_000), "embedding": asks.tolist()}), "query_id bigint, embedding array<double>")
+    for numbers in (vector.SENT_NUMBERS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(vector, "SENT_NUMBERS", numbers)
+            got = vector.search(c, q, 3).toPandas().sort_values(["query_id", "score"], ascending=[True, False])
+        assert len(got) == 60_000
+        score = (asks @ rows.T) / np.linalg.norm(asks, axis=1)[:, None] / np.linalg.norm(rows, axis=1)
+        assert (got["chunk_id"].astype(int).to_numpy().reshape(-1, 3) == np.argsort(-score, axis=1)[:, :3]).all()
 
 
 def test_modes_need_only_their_side(spark):

@@ -63,11 +63,11 @@ def recursive_chunks(text: Column, size: int = 400, overlap: int = 50) -> Column
     return emitted(pieces, F.lit(""), "array<string>", pack, lambda now: F.when(now != "", F.array(now)).otherwise(none))
 
 
-def chunk_documents(docs: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """``chunk_id, text, position, parent_id, length, section`` of every document's chunks."""
+def chunk_documents(docs: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """``chunk_id, text, position, parent_id, length, section`` of every document's chunks, and its columns ``carry``."""
     cut = fixed_chunks if cfg.chunking == "fixed" else recursive_chunks
-    rows = docs.select(F.col("doc_id").cast("string").alias("parent_id"), F.posexplode(cut(F.col("text"), cfg.chunk_size, cfg.chunk_overlap)).alias("position", "text"))
-    return rows.select(F.concat("parent_id", F.lit("#"), F.col("position").cast("string")).alias("chunk_id"), "text", "position", "parent_id", F.length("text").alias("length"), F.lit(None).cast("string").alias("section"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("parent_id"), *carry, F.posexplode(cut(F.col("text"), cfg.chunk_size, cfg.chunk_overlap)).alias("position", "text"))
+    return rows.select(F.concat("parent_id", F.lit("#"), F.col("position").cast("string")).alias("chunk_id"), "text", "position", "parent_id", F.length("text").alias("length"), F.lit(None).cast("string").alias("section"), *carry)
 
 
 def chunk_quality(chunks: DataFrame, preview: int = 10) -> DataFrame:

@@ -18,7 +18,7 @@ from brindle.observe import Trace
 from brindle.operators import answer, evaluate, fusion, graph, vector
 from brindle.operators.access import Rows, access
 from brindle.operators.batch import is_small
-from brindle.runtime import shared_dir
+from brindle.runtime import settle
 from brindle.sources.index import Embedder
 
 
@@ -64,6 +64,27 @@ def retrieve(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig =
     return found, linked, _fused(found, linked, cfg, trace)
 
 
+def written_sides(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig, options: QueryOptions, embed: Embedder | None = None, explain: bool = False, trace: Trace | None = None) -> tuple[DataFrame | None, DataFrame | None, dict[str, float]]:
+    """Both sides' rows (None for a side that is off), each searched once and written to the shared folder, and the seconds
+    that took. Rows are counted as they are written, without a job that counts."""
+    trace, took, sides = trace or Trace(), {}, []
+    for name, on in (("vector", options.enable_vector), ("graph", options.enable_graph)):
+        if not on:
+            sides.append(None)
+            continue
+        alone = dataclasses.replace(options, enable_vector=name == "vector", enable_graph=name == "graph")
+        seen, began = Observation(f"{name}-{uuid.uuid4().hex}"), time.monotonic()
+
+        def made(alone=alone, seen=seen) -> DataFrame:
+            rows = next(x for x in _sides(index, queries, cfg, alone, embed, explain, trace) if x is not None)
+            return settle(rows.observe(seen, F.count(F.lit(1)).alias("n")))
+
+        sides.append(_stage("embedding" if name == "vector" and embed is not None else "retrieval", made, trace))
+        took[name] = round(time.monotonic() - began, 3)
+        trace.event(f"{name}_retrieved", count=seen.get["n"])
+    return *sides, took
+
+
 def with_text(rows: DataFrame, index: DataFrame | Rows, small: bool = True) -> DataFrame:
     """Texts of the few rows left: top k of a batch, which is broadcast if it is ``small``."""
     return access(index).with_text(rows, small)
@@ -96,24 +117,11 @@ def execute(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig =
         took[name] = round(time.monotonic() - began, 3)
         return out
 
-    def written(name: str, rows: DataFrame) -> DataFrame:
-        seen = Observation(f"{name}-{uuid.uuid4().hex}")
-        shared_dir(rows.sparkSession)
-        kept = rows.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
-        trace.event(f"{name}_retrieved", count=seen.get["n"])
-        return kept
-
     queries = timed("check", "retrieval", lambda: checked_queries(queries))
     if not is_small(queries, MOST_EXECUTED):
         raise ValidationError(f"more than {MOST_EXECUTED} queries in a batch")
-    sides = []
-    for name, on in (("vector", options.enable_vector), ("graph", options.enable_graph)):
-        if not on:
-            sides.append(None)
-            continue
-        alone = dataclasses.replace(options, enable_vector=name == "vector", enable_graph=name == "graph")
-        made = lambda alone=alone, name=name: written(name, next(x for x in _sides(index, queries, cfg, alone, embed, False, trace) if x is not None))
-        sides.append(timed(name, "embedding" if name == "vector" and embed is not None else "retrieval", made))
+    *sides, searched = written_sides(index, queries, cfg, options, embed, trace=trace)
+    took |= searched
     trace.event("retrieval_timing", **took)
     fused = _fused(*sides, cfg, trace)
     final = timed("postprocess", "postprocess", lambda: with_text(fusion.postprocess(fused, options.ks(cfg)[2], options.min_score), index).orderBy("query_id", "rank").collect())
@@ -124,36 +132,42 @@ def execute(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig =
     return final, answers, took
 
 
-def retrieval_debug(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None) -> DataFrame:
-    """A row for each query: summary, both sides' hits, how they were merged (weights, method, counts, every
-    chunk's raw and effective scores), the first ten fused and final hits, preview, scoring."""
-    found, linked, fused = retrieve(index, queries, cfg, options, embed, explain=True)
-    final = fusion.postprocess(fused, options.ks(cfg)[2], options.min_score)
-
-    def hits(rows: DataFrame | None, name: str, most: int | None, *more: str) -> DataFrame | None:
-        if rows is None:
-            return None
-        order = F.struct((-F.col("score")).alias("down"), "chunk_id", "doc_id", F.struct("doc_id", "chunk_id", "score", *more).alias("hit"))
-        every = F.transform(F.array_sort(F.collect_list(order)), lambda x: x["hit"])
-        return rows.groupBy("query_id").agg(F.count(F.lit(1)).alias(f"{name}_count"), (F.slice(every, 1, most) if most else every).alias(f"{name}_hits"))
-
-    preview = fusion.ranking_preview(final).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_id", "source", "matched_by", "vector_hit", "graph_hit", "raw_vector_score", "raw_graph_score", "effective_vector_score", "effective_graph_score", "final_score"))).alias("ranking_preview"))
-    out = queries.select("query_id", "query")
+def retrieval_debug(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), options: QueryOptions = QueryOptions(), embed: Embedder | None = None, trace: Trace | None = None) -> DataFrame:
+    """A row for each query: summary, both sides' top k and hits, how they were merged (weights, method, counts, every
+    chunk's raw and effective scores), the first ten fused and final hits, preview, scoring, stats, and the seconds of
+    the batch. Both sides are searched once, and all lists are made by one aggregation."""
+    found, linked, took = written_sides(index, queries, cfg, options, embed, True, trace)
+    began = time.monotonic()
+    fused = settle(_fused(found, linked, cfg, trace))
+    final = settle(fusion.postprocess(fused, options.ks(cfg)[2], options.min_score))
+    took["postprocess"] = round(time.monotonic() - began, 3)
+    vector_k, graph_k, _ = options.ks(cfg)
+    ordered = lambda *hit: F.struct((-F.col("score")).alias("down"), "chunk_id", "doc_id", F.struct("doc_id", "chunk_id", "score", *hit).alias("hit"))
     details = F.struct("doc_id", "chunk_id", "source", "vector_hit", "graph_hit", "raw_vector_score", "raw_graph_score", "vector_score", "graph_score", "score")
-    by_chunk = fused.groupBy("query_id").agg(F.array_sort(F.collect_list(details)).alias("fusion_chunks"), F.count_if("vector_hit").alias("fusion_vector"), F.count_if("graph_hit").alias("fusion_graph"), F.count_if(F.col("vector_hit") & F.col("graph_hit")).alias("fusion_both"))
-    parts = [by_chunk, hits(found, "vector", None), hits(linked, "graph", None, "expansion_capped"), hits(fused, "fused", 10, "source"), hits(final, "final", 10, "source"), preview]
-    for part in parts:
-        if part is not None:
-            out = out.join(part, "query_id", "left")
-    count = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in out.columns else F.lit(0)
+    shown = F.struct("rank", "doc_id", "chunk_id", "source", "matched_by", "vector_hit", "graph_hit", "raw_vector_score", "raw_graph_score", "effective_vector_score", "effective_graph_score", "final_score")
+    tagged = [fused.select("query_id", details.alias("chunk"), ordered("source").alias("fused")), final.select("query_id", ordered("source").alias("final")), fusion.ranking_preview(final).select("query_id", shown.alias("preview"))]
+    tagged += [found.select("query_id", ordered().alias("vector"))] if found is not None else []
+    tagged += [linked.select("query_id", ordered("expansion_capped").alias("graph"))] if linked is not None else []
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged)
+    lists = every.groupBy("query_id").agg(*(F.array_sort(F.collect_list(c)).alias(c) for c in every.columns if c != "query_id"))
+    out = queries.select("query_id", "query").join(lists, "query_id", "left")
+    some = lambda c: F.coalesce(F.col(c), F.array()) if c in out.columns else F.array()
+    size = lambda c: F.size(some(c)).cast("bigint")
+    hits = lambda c, most=None: F.transform(F.slice(some(c), 1, most) if most else some(c), lambda x: x["hit"])
+    both = lambda test: F.size(F.filter(some("chunk"), test)).cast("bigint")
     mode = "hybrid" if options.enable_vector and options.enable_graph else "vector" if options.enable_vector else "graph"
     method = "minmax" if cfg.normalise else "none"
-    summary = F.struct(F.lit(mode).alias("mode"), count("vector_count").alias("vector_count"), count("graph_count").alias("graph_count"), count("fused_count").alias("fused_count"), count("final_count").alias("final_count"), F.greatest(count("fused_count") - count("final_count"), F.lit(0)).alias("postprocess_removed_count"), F.lit(cfg.normalise).alias("normalization_enabled"), F.lit(method).alias("normalization_method"))
-    capped = F.coalesce(F.exists("graph_hits", lambda x: x["expansion_capped"]), F.lit(False)) if linked is not None else F.lit(False)
+    summary = F.struct(F.lit(mode).alias("mode"), F.lit(options.enable_vector).alias("vector_enabled"), F.lit(options.enable_graph).alias("graph_enabled"), size("vector").alias("vector_count"), size("graph").alias("graph_count"), size("fused").alias("fused_count"), size("final").alias("final_count"), F.greatest(size("fused") - size("final"), F.lit(0).cast("bigint")).alias("postprocess_removed_count"), F.lit(cfg.normalise).alias("normalization_enabled"), F.lit(method).alias("normalization_method"))
+    capped = F.exists(some("graph"), lambda x: x["hit"]["expansion_capped"]) if linked is not None else F.lit(False)
     scoring = F.struct(F.lit(cfg.alpha).alias("alpha"), F.lit(cfg.beta).alias("beta"), F.lit(cfg.direct_hit_weight).alias("direct_hit_weight"), F.lit(cfg.expanded_hit_weight).alias("expanded_hit_weight"), F.lit(cfg.expansion_score_cap).cast("double").alias("expansion_score_cap"), capped.alias("has_expansion_capped_result"))
-    merging = F.struct(F.lit(cfg.alpha).alias("alpha"), F.lit(cfg.beta).alias("beta"), F.lit(method).alias("method"), count("fusion_vector").alias("vector_count"), count("fusion_graph").alias("graph_count"), count("fusion_both").alias("overlap_count"), F.coalesce("fusion_chunks", F.array()).alias("chunks"))
-    keep = [c for c in ("vector_hits", "graph_hits", "fused_hits", "final_hits", "ranking_preview") if c in out.columns]
-    return out.select("query_id", "query", summary.alias("summary"), scoring.alias("scoring_overview"), merging.alias("fusion"), *keep)
+    merging = F.struct(F.lit(cfg.alpha).alias("alpha"), F.lit(cfg.beta).alias("beta"), F.lit(method).alias("method"), both(lambda x: x["vector_hit"]).alias("vector_count"), both(lambda x: x["graph_hit"]).alias("graph_count"), both(lambda x: x["vector_hit"] & x["graph_hit"]).alias("overlap_count"), some("chunk").alias("chunks"))
+    stats = F.struct(size("vector").alias("vector_count"), size("graph").alias("graph_count"), size("fused").alias("fusion_count"), size("final").alias("citation_count"))
+    timings = F.struct(*(F.lit(took.get(name, 0.0)).alias(key) for name, key in (("vector", "vector_retrieval_time"), ("graph", "graph_retrieval_time"), ("postprocess", "postprocess_time"))))
+    sides = [(c, k) for c, k in (("vector", vector_k), ("graph", graph_k)) if c in out.columns]
+    return out.select(
+        "query_id", "query", summary.alias("summary"), scoring.alias("scoring_overview"), merging.alias("fusion"), *(F.lit(k).alias(f"{c}_top_k") for c, k in sides), *(hits(c).alias(f"{c}_hits") for c, _ in sides),
+        hits("fused", 10).alias("fused_hits"), hits("final", 10).alias("final_hits"), some("preview").alias("ranking_preview"), timings.alias("timings"), stats.alias("stats"),
+    )
 
 
 def evaluate_dataset(index: DataFrame | Rows, samples: DataFrame, modes: list[str], k: int, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None) -> DataFrame:
@@ -164,8 +178,7 @@ def evaluate_dataset(index: DataFrame | Rows, samples: DataFrame, modes: list[st
     flags = {mode: evaluate.mode_flags(mode) for mode in modes}
     options = QueryOptions(top_k=k, enable_vector=any(v for v, _ in flags.values()), enable_graph=any(g for _, g in flags.values()))
     queries = checked_queries(samples.select("query_id", "query"))
-    # written, so that no mode searches again
-    found, linked = (x.select("query_id", "doc_id", "chunk_id", "score").checkpoint() if x is not None and shared_dir(samples.sparkSession) else None for x in _sides(index, queries, cfg, options, embed, False, None))
+    found, linked, _ = written_sides(index, queries, cfg, options, embed)
     parts = []
     for mode, (v, g) in flags.items():
         final = fusion.postprocess(_fused(found if v else None, linked if g else None, cfg, None), options.ks(cfg)[2])

@@ -32,6 +32,9 @@ def _index(source: str = "chunks", name: str = "posted") -> str:
     return f"{name} AS MATERIALIZED (SELECT DISTINCT chunk_id, doc_id, term FROM (SELECT chunk_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS term FROM {source}) WHERE length(term) >= 2 AND NOT list_contains({_STOP}, term))"
 
 
+#: The chunks when every third document comes again with the text of the document three ids on.
+_REPLACED = f"""{_DOCS}, put AS (SELECT d.doc_id, CASE WHEN d.doc_id::BIGINT % 3 = 0 THEN coalesce(o.t, d.t) ELSE d.t END AS t FROM docs d LEFT JOIN docs o ON o.doc_id::BIGINT = d.doc_id::BIGINT + 3),
+ chunks AS (SELECT doc_id || '#' || (s // 350) AS chunk_id, doc_id, substr(t, s + 1, 400) AS text FROM put, unnest(range(0, length(t), 350)) AS u(s))"""
 _ASKED = "asked(query_id, query) AS (VALUES " + ", ".join(f"('q{i}', {_q(q)})" for i, q in enumerate(ASKED, 1)) + ")"
 _QTERMS = f"""{_ASKED},
  qwords AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-zA-Z0-9_]+')) AS term, generate_subscripts(regexp_extract_all(lower(query), '[a-zA-Z0-9_]+'), 1) AS nth FROM asked),
@@ -79,6 +82,10 @@ def _graph(base: str, cap: str, k: int = 10) -> str:
     return f"WITH {_scored(base, cap)} SELECT query_id, doc_id, chunk_id, direct_hit_count, expanded_hit_count, expanded_score, expansion_capped, score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {k}"
 
 
+def _edges(chunks: str) -> str:
+    return f"WITH {chunks}, {_index()}, e AS (SELECT a.term AS source, b.term AS target, count(*)::DOUBLE AS weight FROM posted a JOIN posted b ON a.chunk_id = b.chunk_id AND a.term < b.term GROUP BY ALL) SELECT source, count(*) AS edges, sum(weight) AS weight, max(weight) AS heaviest FROM e GROUP BY source"
+
+
 def _hash(x: str) -> str:
     return f"list_transform(range(0, 32), lambda i: ('0x' || substr(sha256({x}), i * 2 + 1, 2))::INT / 255.0::DOUBLE)"
 
@@ -161,7 +168,8 @@ ORACLE_SQL = {
     "vector_topk": _vector_top(10),
     "vector_topk_filtered": _vector_top(10, "doc_id = '3'"),
     "vector_topk_minscore": _vector_top(50, "s.score >= 0.2"),
-    "cooccurrence_edges": f"WITH {_CHUNKS}, {_index()}, e AS (SELECT a.term AS source, b.term AS target, count(*)::DOUBLE AS weight FROM posted a JOIN posted b ON a.chunk_id = b.chunk_id AND a.term < b.term GROUP BY ALL) SELECT source, count(*) AS edges, sum(weight) AS weight, max(weight) AS heaviest FROM e GROUP BY source",
+    "cooccurrence_edges": _edges(_CHUNKS),
+    "edges_after_upserts": _edges(_REPLACED),
     "neighbours": f"WITH {_NEAR} SELECT term, neighbour, weight FROM near",
     "direct_hits": f"WITH {_BASE} SELECT query_id, chunk_id, count(*) AS hits, string_agg(term, ' ' ORDER BY term) AS terms FROM qterms JOIN posted USING (term) GROUP BY ALL",
     "expand_ranked": f"WITH {_RANKED} SELECT * FROM expanded",
@@ -171,6 +179,7 @@ ORACLE_SQL = {
     "graph_topk_capped": _graph(_RANKED, "0.5"),
     "graph_topk_nocap": _graph(_RANKED, "NULL::DOUBLE"),
     "graph_topk_greedy": _graph(_GREEDY, "2.0"),
+    "graph_topk_by_key": _graph(_GREEDY, "2.0"),
     "graph_explain": f"""WITH {_scored(_RANKED, "2.0")},
  top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10),
  d AS (SELECT query_id, string_agg(term, ' ' ORDER BY term) AS direct_terms FROM qterms GROUP BY query_id),
@@ -198,8 +207,7 @@ SELECT query_id, {_q(PROMPT[0])} || query || {_q(PROMPT[1])} || coalesce(b, '')
     "eval_case": f"WITH {_EVAL} SELECT mode, query, round(recall, 6) AS recall_at_k, round(mrr, 6) AS mrr, array_to_string(list_filter(relevant, lambda x: NOT list_contains(got, x)), ' ') AS false_negatives, array_to_string(list_filter(got, lambda x: NOT list_contains(relevant, x)), ' ') AS false_positives, array_to_string(list_sort(list_transform(list_distinct(relevant), lambda x: x || ':' || coalesce(nullif(list_position(got, x), 0)::VARCHAR, '-'))), ' ') AS relevant_ranks FROM measured",
     "eval_recall_mrr": f"WITH {_EVAL} SELECT mode, 5 AS k, count(*)::INT AS sample_count, round(avg(recall), 6) AS avg_recall_at_k, round(avg(mrr), 6) AS avg_mrr FROM measured GROUP BY mode",
     "fusion_weight_sweep": f"WITH {_NORMAL}, w(alpha, beta) AS (VALUES (1.0::DOUBLE, 0.0::DOUBLE), (0.7, 0.3), (0.5, 0.5), (0.0, 1.0)), x AS (SELECT alpha, beta, query_id, chunk_id, doc_id, alpha * vector_score + beta * graph_score AS s FROM fused, w), r AS (SELECT *, row_number() OVER (PARTITION BY alpha, beta, query_id ORDER BY s DESC, chunk_id, doc_id)::INT AS rank FROM x) SELECT alpha, beta, query_id, rank, chunk_id, round(s, 6) AS score FROM r WHERE rank <= 3",
-    "replace_docs": f"""WITH {_DOCS}, put AS (SELECT d.doc_id, CASE WHEN d.doc_id::BIGINT % 3 = 0 THEN coalesce(o.t, d.t) ELSE d.t END AS t FROM docs d LEFT JOIN docs o ON o.doc_id::BIGINT = d.doc_id::BIGINT + 3),
- chunks AS (SELECT doc_id || '#' || (s // 350) AS chunk_id, doc_id, substr(t, s + 1, 400) AS text FROM put, unnest(range(0, length(t), 350)) AS u(s)), {_index()},
+    "replace_docs": f"""WITH {_REPLACED}, {_index()},
  n AS (SELECT doc_id, count(*) AS terms FROM posted GROUP BY doc_id)
 SELECT c.doc_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, coalesce(any_value(terms), 0) AS terms FROM chunks c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id""",
     "index_build": f"""WITH {_CHUNKS}, {_index()}, n AS (SELECT chunk_id, count(*)::INT AS terms FROM posted GROUP BY chunk_id),

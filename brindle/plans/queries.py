@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from brindle.config import QueryOptions, RetrievalConfig, SearchOptions
 from brindle.functions.text import extract_terms
 from brindle.functions.vectors import hash_embedding, norm
-from brindle.operators import answer, chunking, evaluate, fusion, graph, vector
+from brindle.operators import answer, chunking, evaluate, fusion, graph, terms, vector
 from brindle.plans import hybrid as plan
-from brindle.runtime import remove, scratch
+from brindle.runtime import remove, scratch, settle
 from brindle.sources.index import IndexStore, Stored, build_index, replaced
 
 #: The batch of queries that the search queries ask, in order of their ids.
@@ -26,7 +26,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Indexes that this process has written: by session and tables, with the files that they are of.
-_WRITTEN: dict[tuple[str, str], tuple[tuple, str]] = {}
+_WRITTEN: dict[tuple[str, str, bool], tuple[tuple, str]] = {}
 
 
 def _files(spark: SparkSession, path: str) -> tuple:
@@ -36,16 +36,16 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in store.listStatus(at)))
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> Stored:
+def index_of(spark: SparkSession, sf_dir: str, edges: bool = False) -> Stored:
     """The written index of the documents, in the shared folder, as searches read an index and don't build one. It is
-    written once for a session, and again when the table's files are others."""
-    key, files = (spark.sparkContext.applicationId, sf_dir), _files(spark, f"{sf_dir}/documents.parquet")
+    written once for a session (once more with ``edges``), and again when the table's files are others."""
+    key, files = (spark.sparkContext.applicationId, sf_dir, edges), _files(spark, f"{sf_dir}/documents.parquet")
     known, path = _WRITTEN.get(key, (None, None))
     if known != files:
         if path:
             remove(spark, path)
         path = scratch(spark, "index")
-        IndexStore(spark, path, edges=True).write(_built(spark, sf_dir))
+        IndexStore(spark, path, edges=edges).write(_built(spark, sf_dir))
         _WRITTEN[key] = files, path
     return IndexStore(spark, path).open()
 
@@ -121,7 +121,10 @@ def vector_topk_minscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges, told by their source: how many, their weight, the heaviest."""
-    edges = index_of(spark, sf_dir).edges()
+    return _by_source(terms.cooccurrence(index_of(spark, sf_dir).chunks))
+
+
+def _by_source(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"), F.max("weight").alias("heaviest"))
 
 
@@ -132,9 +135,7 @@ def _near(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig = CFG) -> tuple
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All neighbours of the asked terms, from the edges' buckets."""
-    asked = graph.query_terms(_asked(spark)).select("term").distinct()
-    return index_of(spark, sf_dir).by_term.lookup("edges", asked, True).select("term", "neighbour", F.col("n").cast("double").alias("weight"))
+    return _near(spark, sf_dir)[2]
 
 
 def direct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +160,8 @@ def expanded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", "item.query_term", "item.expanded_term", "item.weight", (F.col("item.weight") * CFG.expanded_hit_weight).alias("contribution"))
 
 
-def _graph_topk(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig, k: int = 10) -> DataFrame:
-    rows = graph.search(index_of(spark, sf_dir), _asked(spark), k, cfg)
+def _graph_topk(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig, k: int = 10, edges: bool = False) -> DataFrame:
+    rows = graph.search(index_of(spark, sf_dir, edges), _asked(spark), k, cfg)
     return rows.select("query_id", "doc_id", "chunk_id", "direct_hit_count", "expanded_hit_count", "expanded_score", "expansion_capped", "score")
 
 
@@ -180,6 +181,11 @@ def graph_topk_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph_topk(spark, sf_dir, RetrievalConfig(chunking="fixed", expansion="greedy"))
 
 
+def graph_topk_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``graph_topk_greedy``, from an index that keeps edges: neighbours and postings are read by their buckets."""
+    return _graph_topk(spark, sf_dir, RetrievalConfig(chunking="fixed", expansion="greedy"), edges=True)
+
+
 def graph_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = graph.explained(index_of(spark, sf_dir), _asked(spark), 10, CFG).select("query_id", F.array_join("direct_terms", " ").alias("direct_terms"), F.size("expanded_terms").alias("expanded_terms"), F.explode_outer("chunks").alias("c"))
     return rows.select("query_id", "direct_terms", "expanded_terms", "c.chunk_id", F.array_join("c.direct_terms", " ").alias("chunk_terms"), F.array_join(F.transform("c.expanded_hits", lambda x: x["expanded_term"]), " ").alias("chunk_expanded"), "c.direct_score", "c.capped_expanded_score", "c.score")
@@ -264,15 +270,32 @@ def fusion_weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fusion.weight_sweep(_fused(spark, sf_dir, CFG), weights, 3).select("alpha", "beta", "query_id", "rank", "chunk_id", "score"))
 
 
-def replace_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index, when every third document comes again with the whole text of the document three ids on."""
+def _later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document again, with the whole text of the document three ids on."""
     docs = _docs(spark, sf_dir)
     later = docs.select((F.col("doc_id").cast("bigint") - 3).cast("string").alias("doc_id"), "text").where("doc_id % 3 = 0")
-    batch = docs.select("doc_id").join(later, "doc_id")
-    rows = replaced(index_of(spark, sf_dir).chunks, build_index(batch, CFG))
+    return docs.select("doc_id").join(later, "doc_id")
+
+
+def replace_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index, when every third document comes again with another text."""
+    rows = replaced(index_of(spark, sf_dir).chunks, build_index(_later(spark, sf_dir), CFG))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("chars"), F.sum(F.size("terms")).alias("terms"))
 
 
+def edges_after_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that a store keeps, when the documents have come in two halves and every third once more with another
+    text: told by their source, as ``cooccurrence_edges``."""
+    docs, path = _docs(spark, sf_dir), scratch(spark, "edges")
+    store = IndexStore(spark, path, edges=True)
+    store.write(build_index(docs.where("doc_id % 2 = 0"), CFG))
+    store.upsert(build_index(docs.where("doc_id % 2 = 1 or doc_id is null"), CFG))
+    store.upsert(build_index(_later(spark, sf_dir), CFG))
+    out = settle(_by_source(store.open().edges()))
+    remove(spark, path)
+    return out
+
+
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is written as an index: every chunk with its terms and vector, each told in a few numbers."""
     rows = _built(spark, sf_dir)
@@ -285,6 +308,6 @@ QUERIES = {
         extract_terms_query, term_doc_freq, chunk_fixed, chunk_recursive, chunk_quality, ingest_result, hash_embedding_query, cosine_scores, vector_topk,
         vector_topk_filtered, vector_topk_minscore, cooccurrence_edges, neighbours, direct_hits, expand_ranked, expand_greedy, expanded_hits, graph_topk,
         graph_topk_capped, graph_topk_nocap, graph_topk_greedy, graph_explain, fuse_raw, fuse_minmax, postprocess_topk, hybrid_search, citations,
-        ranking_preview, retrieval_debug, simple_answer, rag_prompt, eval_case, eval_recall_mrr, fusion_weight_sweep, replace_docs, index_build, fusion_debug,
+        ranking_preview, retrieval_debug, simple_answer, rag_prompt, eval_case, eval_recall_mrr, fusion_weight_sweep, replace_docs, index_build, fusion_debug, graph_topk_by_key, edges_after_upserts,
     )
 }

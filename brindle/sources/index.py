@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, IntegralType, TimestampNTZType, TimestampType
 
 from brindle.config import RetrievalConfig
 from brindle.errors import ConflictError, NotFoundError, ValidationError
@@ -37,22 +38,29 @@ def reject_report(docs: DataFrame) -> DataFrame:
 
 
 def last_of_each(docs: DataFrame, order: str) -> DataFrame:
-    """One row (doc_id, text) of each document: the last by ``order``, of equals the greater text."""
-    return docs.groupBy("doc_id").agg(F.max(F.struct(F.col(order), F.col("text"))).alias("last")).select("doc_id", "last.text")
+    """One row (doc_id, text, version) of each document: the last by ``order``, of equals the greater text."""
+    return docs.groupBy("doc_id").agg(F.max(F.struct(F.col(order).alias("by"), F.col("text"))).alias("last")).select("doc_id", "last.text", _version(F.col("last.by"), docs.schema[order].dataType).alias("version"))
+
+
+def _version(order: Column, kind: DataType) -> Column:
+    """A number that grows with ``order``: a whole number, a date or a time (in microseconds)."""
+    if isinstance(kind, TimestampType | TimestampNTZType | DateType):
+        return F.unix_micros(order.cast("timestamp"))
+    return order.cast("bigint") if isinstance(kind, IntegralType) else F.lit(None).cast("bigint")
 
 
 def build_index(docs: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), embed: Embedder | None = None, strict: bool = False, order: str | None = None) -> DataFrame:
     """Index rows of ``docs`` (doc_id, text). One narrow pass: no shuffle. Documents that can't be
     ingested are left out (``reject_report`` has them), or raise if ``strict``. If documents may be there more
-    than once, ``order`` names the column by which the last one counts; without it a store refuses them."""
+    than once, ``order`` names the column by which the last one counts; without it a store refuses them. An order of whole
+    numbers, dates or times is also the documents' version: a store doesn't replace a document by an older one."""
     if strict and (bad := reject_report(docs).first()):
         raise ValidationError(f"{bad['reason']}: {bad['doc_id']}")
-    if order is not None:
-        docs = last_of_each(docs, order)
-    chunks = chunk_documents(docs.where(strip(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) != ""), cfg)
+    docs = last_of_each(docs, order) if order is not None else docs.select("doc_id", "text", F.lit(None).cast("bigint").alias("version"))
+    chunks = chunk_documents(docs.where(strip(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) != ""), cfg, ("version",))
     vector = (embed or (lambda t: hash_embedding(t, cfg.embedding_dim)))(F.col("text"))
-    rows = chunks.select("chunk_id", F.col("parent_id").alias("doc_id"), "position", "text", "length", extract_terms(F.col("text")).alias("terms"), vector.alias("embedding"))
-    return rows.withColumn("norm", norm(F.col("embedding")))
+    rows = chunks.select("chunk_id", F.col("parent_id").alias("doc_id"), "position", "text", "length", extract_terms(F.col("text")).alias("terms"), vector.alias("embedding"), "version")
+    return rows.withColumn("norm", norm(F.col("embedding"))).select(*COLUMNS)
 
 
 def replaced(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -217,6 +225,15 @@ class IndexStore:
             raise
         return self._commit(commit, dim, parts, TermTables(self.spark, self._terms_path, []).written(put, commit["edges"]))
 
+    def _not_late(self, commit: dict, staged: DataFrame) -> DataFrame:
+        """``staged`` without the documents that the index has in a greater version."""
+        if staged.agg(F.max("version")).first()[0] is None:
+            return staged
+        buckets = [str(r[0]) for r in staged.select(self._bucket(commit)).distinct().collect()]
+        live = self._rows(commit, buckets).groupBy("doc_id").agg(F.max("version").alias("live"))
+        late = staged.select("doc_id", "version").distinct().join(live, "doc_id").where("version < live").select("doc_id")
+        return staged.join(late, "doc_id", "left_anti").select(*COLUMNS)
+
     def _changed(self, commit: dict, touched: list[str], ids: DataFrame, staged: DataFrame) -> list[dict]:
         """The tables by term when the documents ``ids`` (doc_id) of the touched buckets give way to ``staged``."""
         tables = TermTables(self.spark, self._terms_path, commit["terms"])
@@ -236,6 +253,7 @@ class IndexStore:
             batch.select(*COLUMNS).write.parquet(f"{self.path}/data/{folder}-in")
             staged = self.spark.read.schema(INDEX).parquet(f"{self.path}/data/{folder}-in")
             dim = self._checked(staged, commit["dim"])
+            staged = self._not_late(commit, staged)
             touched = [str(r[0]) for r in staged.select(self._bucket(commit)).distinct().collect()]  # a number for each bucket
             kept = {b: f for b, f in commit["parts"].items() if b not in touched}
             put = self._put(replaced(self._rows(commit, touched), staged), commit, folder) if touched else []

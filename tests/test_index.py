@@ -55,6 +55,24 @@ def test_debug(spark):
     assert rows[0].summary.mode == "hybrid" and rows[0].summary.vector_count == 5 and rows[0].summary.final_count == 5
     assert rows[0].summary.postprocess_removed_count == rows[0].summary.fused_count - 5 and len(rows[0].ranking_preview) == 5
     assert rows[1].summary.graph_count == 0 and rows[1].summary.vector_count == 5
+    assert rows[0].vector_top_k == 5 == rows[0].graph_top_k and rows[0].summary.vector_enabled and rows[0].summary.graph_enabled
+    stats = rows[0].stats.asDict()
+    assert stats == {"vector_count": len(rows[0].vector_hits), "graph_count": len(rows[0].graph_hits), "fusion_count": len(rows[0].fusion.chunks), "citation_count": 5}
+    assert set(rows[0].timings.asDict()) == {"vector_retrieval_time", "graph_retrieval_time", "postprocess_time"} and all(t > 0 for t in rows[0].timings)
+    only = hybrid.retrieval_debug(index, q, options=QueryOptions(enable_graph=False)).where("query_id = 'q'").first()
+    assert only.summary.mode == "vector" and only.timings.graph_retrieval_time == 0 and only.fusion.overlap_count == 0 and "graph_hits" not in only.asDict()
+
+
+def test_debug_searches_once_and_counts_as_it_writes(spark, tmp_path):
+    """Four scans of the index at most, and no job that only counts: rows are observed as they are written."""
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.write(build_index(docs(spark, doc1=CITY), RetrievalConfig(chunk_size=100, chunk_overlap=0)))
+    q, trace = spark.createDataFrame([("q", "Meteor City")], "query_id string, query string"), RecordedTrace()
+    out = hybrid.retrieval_debug(store.open(), q, trace=trace)
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    row = out.first()
+    events = {name: fields for name, fields in trace.events}
+    assert events["vector_retrieved"]["count"] == row.stats.vector_count and events["graph_retrieved"]["count"] == row.stats.graph_count
 
 
 def test_same_result_for_any_partitions(spark):
@@ -168,6 +186,24 @@ def write_docx(path, *paragraphs):
         z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
 
 
+def test_late_documents_of_a_stream_lose(spark, tmp_path):
+    """Micro-batches in any order end in the same index; columns with odd names are no matter."""
+    rows = [(f"d{i % 5}", f"text {i} of {i % 5}", i, "x", "y") for i in range(20)]
+    want = {f"d{i}": f"text {15 + i} of {i}" for i in range(5)}
+    for n, order in enumerate((range(20), reversed(range(20)), (3, 19, 0, 17, 16, 4, 18, 9, 15, 2, 14, 8, 13, 1, 12, 5, 11, 6, 10, 7))):
+        order, source = list(order), tmp_path / f"in{n}"
+        schema = "doc_id string, text string, at bigint, `by` string, `__order` string"
+        for part in range(0, 20, 7):
+            spark.createDataFrame([rows[i] for i in order[part : part + 7]], schema).coalesce(1).write.mode("append").json(str(source))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+        store = IndexStore(spark, str(tmp_path / f"index{n}"))
+        ingest_stream(stream, store, str(tmp_path / f"checkpoint{n}"), RetrievalConfig(), order="at").awaitTermination()
+        assert {r.doc_id: r.text for r in store.read().collect()} == want and len(store.versions()) == 2
+        assert store.open().document_frequency().where("term = 'text'").first().doc_count == 5
+    store.upsert(build_index(docs(spark, d1="without a version"), RetrievalConfig()))  # which is never late
+    assert [r.text for r in store.read("d1").collect()] == ["without a version"]
+
+
 def test_loaders(spark, tmp_path):
     (tmp_path / "a.TXT").write_text("﻿héllo\n")
     write_docx(tmp_path / "b.docx", " one ", "", "two")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.errors import DependencyError, ValidationError
 from brindle.functions.text import strip
-from brindle.runtime import workers_see_package
+from brindle.runtime import settle, workers_see_package
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 KINDS = (".txt", ".docx", ".pdf")
@@ -36,25 +36,46 @@ def pdf_text(content: bytes) -> str:
         return "\n".join(page.get_text() for page in doc).strip()
 
 
-def load_documents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """``path, suffix, text`` of each file. Files of another kind raise an error; so does a text that
-    isn't UTF-8 or, for docx and pdf, that is empty. A byte order mark stays in the text."""
+def parsed(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``path, suffix, text, reason`` of each file: its text, or why it has none (another kind, not UTF-8, for docx and pdf
+    no text or not readable). A byte order mark stays in the text. A file is read once, by the task that parses it."""
     workers_see_package(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"))
-    checked = files.withColumn("suffix", F.when(F.col("suffix").isin(*KINDS), F.col("suffix")).otherwise(F.raise_error(F.concat(F.lit("unsupported file: "), "path"))))
-    plain = checked.where("suffix = '.txt'").select("path", "suffix", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path"))).alias("text"))
+    plain = files.where("suffix not in ('.docx', '.pdf')")
+    text, utf8 = F.col("content").cast("string"), F.is_valid_utf8(F.col("content").cast("string"))
+    reason = F.when(F.col("suffix") != ".txt", "unsupported file").when(~utf8, "not UTF-8")
+    plain = plain.select("path", "suffix", F.when(reason.isNull(), text).alias("text"), reason.alias("reason"))
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts = [(docx_text if s == ".docx" else pdf_text)(bytes(c)) for s, c in zip(part["suffix"], part["content"])]
-            if any(not t for t in texts):
-                raise ValidationError(f"no text in {part['path'][[not t for t in texts].index(True)]}")
-            yield pd.DataFrame({"path": part["path"], "suffix": part["suffix"], "text": texts})
+            rows = [_parsed(s, bytes(c)) for s, c in zip(part["suffix"], part["content"])]
+            yield pd.DataFrame({"path": part["path"], "suffix": part["suffix"], "text": [t for t, _ in rows], "reason": [r for _, r in rows]})
 
-    rich = checked.where("suffix in ('.docx', '.pdf')").mapInPandas(parse, "path string, suffix string, text string")
+    rich = files.where("suffix in ('.docx', '.pdf')").select("path", "suffix", "content").mapInPandas(parse, "path string, suffix string, text string, reason string")
     return plain.unionByName(rich)
 
 
+def _parsed(suffix: str, content: bytes) -> tuple[str | None, str | None]:
+    try:
+        text = (docx_text if suffix == ".docx" else pdf_text)(content)
+    except Exception as e:  # whatever a broken file makes its reader raise
+        return None, f"not readable: {e}"
+    return (text, None) if text else (None, "no text")
+
+
+def load_documents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``path, suffix, text`` of each file. A file without a text raises when it is read (``load_or_reject`` goes on)."""
+    failed = F.raise_error(F.concat("reason", F.lit(": "), "path"))
+    return parsed(spark, paths).select("path", "suffix", F.when(F.col("reason").isNull(), F.col("text")).otherwise(failed).alias("text"))
+
+
+def load_or_reject(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame, DataFrame]:
+    """``path, suffix, text`` of the files that have one, and ``path, reason`` of the others: one pass over the files,
+    which is written to the shared folder, so that either can be read without the other."""
+    rows = settle(parsed(spark, paths))
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("path", "reason")
+
+
 def ingest_files(spark: SparkSession, ids: dict[str, str]) -> DataFrame:
     """Documents (doc_id, text, metadata) from files: ``ids`` has the id of each path, which may be relative or
     without a scheme. Empty ids, paths or texts raise; so does a path that is a folder or a pattern."""

@@ -14,7 +14,7 @@ from brindle.observe import RecordedTrace
 from brindle.operators import terms
 from brindle.plans import hybrid
 from brindle.sources.index import IndexStore, build_index, ingest, reject_report, replaced
-from brindle.sources.loaders import docx_text, ingest_files, load_documents, pdf_text
+from brindle.sources.loaders import docx_text, ingest_files, load_documents, load_or_reject, pdf_text
 from brindle.streaming.ingest import ingest_stream
 
 #: The published small benchmark, its passage and its samples.
@@ -225,6 +225,30 @@ def test_loaders(spark, tmp_path):
         ingest_files(spark, {str(tmp_path / "e.txt"): "x"}).collect()
 
 
+def test_one_bad_file_of_each_kind(spark, tmp_path):
+    """The others load; what failed is told with its reason, by one pass over the files."""
+    good = {"a.txt": "one", "deep/b.TXT": "two"}
+    (tmp_path / "deep").mkdir()
+    for name, text in good.items():
+        (tmp_path / name).write_text(text)
+    write_docx(tmp_path / "c.docx", "three")
+    (tmp_path / "d.txt").write_bytes(b"\xff\xfe\xff")
+    (tmp_path / "e.docx").write_bytes(b"no archive")
+    write_docx(tmp_path / "f.docx")
+    (tmp_path / "g.md").write_text("x")
+    (tmp_path / "h.pdf").write_bytes(b"%PDF broken")
+    (tmp_path / "none").write_text("no suffix")
+    docs_, failed = load_or_reject(spark, [str(tmp_path), str(tmp_path / "deep")])
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    assert {name(r): r.text for r in docs_.collect()} == {"a.txt": "one", "b.TXT": "two", "c.docx": "three"}
+    reasons = {name(r): r.reason for r in failed.collect()}
+    assert reasons.pop("e.docx").startswith("not readable") and reasons.pop("h.pdf").startswith("not readable")
+    assert reasons == {"d.txt": "not UTF-8", "f.docx": "no text", "g.md": "unsupported file", "none": "unsupported file"}
+    assert load_or_reject(spark, str(tmp_path / "a.txt"))[1].count() == 0
+    with pytest.raises(Exception, match="not UTF-8"):
+        load_documents(spark, str(tmp_path / "d.txt")).collect()
+
+
 def test_pdf_needs_a_library():
     try:
         import fitz  # noqa: F401

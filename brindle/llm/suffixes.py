@@ -44,6 +44,8 @@ SPREAD = WINDOW - K + 1
 AROUND = SPREAD - 1 + WINDOW
 #: Strings of a bin whose columns are in memory; strings of one anchor that a bin takes.
 BIN, MOST = 60_000, 1 << 20
+#: Of the texts one in so many is sampled for common anchors; a name with a HOT-th of the sample's, and over FEW, is hot.
+SAMPLED, HOT, FEW = 64, 512, 16
 #: Tasks that the places of one window are dealt to.
 SALTS = 16
 #: Bytes of a text that are looked at together (pieces overlap by a window).
@@ -248,16 +250,29 @@ def anchored(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "name bigint, around bigint, id bigint, place bigint")
 
 
+def _dealt(named: DataFrame) -> DataFrame:
+    """``name, around, id, place, hot`` of all anchors, each name in one task and in order (name, around, id, place). A name
+    that is common in a sample of the texts is ``hot``: it is dealt by its surroundings, so that equal ones still
+    meet, and no task holds all of it. Which names are hot changes no result."""
+    found = anchored(named)
+    some = anchored(named.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)).where("around <> 0").groupBy("name").count()
+    n = some.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    often = some.where(F.col("count") > max(FEW, n // HOT)).select("name").limit(HOT).collect()  # HOT names at most have that share
+    hot = F.col("name").isin([r["name"] for r in often]) if often else F.lit(False)
+    rows = found.withColumn("hot", hot & (F.col("around") != 0)).withColumn("salt", F.when(F.col("hot"), F.col("around")).otherwise(0))
+    return rows.repartition("name", "salt").sortWithinPartitions("name", "around", "id", "place").select("name", "around", "id", "place", "hot")
+
+
 def _split(rows: DataFrame) -> DataFrame:
     """From rows in order (name, around, id, place): intervals (name null, begin, end), and anchors that
-    occur with unlike surroundings (name, begin: their position, end: bytes to the right)."""
+    occur with unlike surroundings, or are hot (name, begin: their position, end: bytes to the right)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the last first-of-its-surroundings: name, around, id, place, already told
+        last = None  # the last first-of-its-surroundings: name, around, id, place, hot, already told
         for batch in batches:
-            name, around, who, place = (c.to_numpy() for c in batch.columns)
+            name, around, who, place, hot = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if last is not None:
-                name, around, who, place = (np.concatenate([[x], y]) for x, y in zip(last[:4], (name, around, who, place)))
+                name, around, who, place, hot = (np.concatenate([[x], y]) for x, y in zip(last[:5], (name, around, who, place, hot)))
             done = around == 0
             same = np.concatenate([[False], (name[1:] == name[:-1]) & (around[1:] == around[:-1])]) & ~done
             first = np.maximum.accumulate(np.where(same, 0, np.arange(len(name))))
@@ -271,11 +286,11 @@ def _split(rows: DataFrame) -> DataFrame:
             if len(heads):
                 hn = name[heads]
                 like = hn[1:] == hn[:-1]
-                unlike = np.concatenate([[False], like]) | np.concatenate([like, [False]])
-                told = last is not None and last[4] and heads[0] == 0
+                unlike = np.concatenate([[False], like]) | np.concatenate([like, [False]]) | hot[heads]
+                told = last is not None and last[5] and heads[0] == 0
                 tell = heads[unlike & ~(told & (np.arange(len(heads)) == 0))]
                 h = heads[-1]
-                last = (name[h], around[h], who[h], place[h], bool(unlike[-1]) or (told and len(heads) == 1))
+                last = (name[h], around[h], who[h], place[h], bool(hot[h]), bool(unlike[-1]) or (told and len(heads) == 1))
             yield pa.RecordBatch.from_arrays([
                 pa.array([None] * len(o) + name[tell].tolist(), pa.int64()), pa.array(np.concatenate([o, who[tell]]).astype(np.int64)),
                 pa.array(np.concatenate([b, at[tell]]).astype(np.int64)), pa.array(np.concatenate([e, right[tell]]).astype(np.int64)),
@@ -382,9 +397,8 @@ def repeats(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``named`` (id, text and maybe doc_id) dealt by id, and the repeated intervals: ``id, begin, end, way`` (0: equal
     surroundings, 1: the column-wise construction, 2: windows of anchors too common for it)."""
     spark = named.sparkSession
-    order = ["name", "around", "id", "place"]
     path = scratch(spark, "anchors")
-    _split(anchored(named.select("id", "text")).repartition("name").sortWithinPartitions(*order)).write.parquet(path)
+    _split(_dealt(named.select("id", "text"))).write.parquet(path)
     split = spark.read.parquet(path)
     texts = named.repartition("id")  # the same exchange for both joins, so both take all of its columns
     unlike = split.where("name is not null").groupBy("id").agg(F.collect_list(F.struct("name", "begin")).alias("anchors"))

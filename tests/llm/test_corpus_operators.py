@@ -362,9 +362,12 @@ def plain_dedup(texts):
     return out
 
 
-@pytest.mark.parametrize("bin_, most", [(60_000, 1 << 20), (3, 1 << 20), (3, 6)])
-def test_suffix_dedup(spark, monkeypatch, bin_, most):
-    """Bins in memory, in files, and anchors too common for a bin."""
+@pytest.mark.parametrize("bin_, most, hot", [(60_000, 1 << 20, False), (3, 1 << 20, False), (3, 6, False), (3, 6, True), (60_000, 1 << 20, True)])
+def test_suffix_dedup(spark, monkeypatch, bin_, most, hot):
+    """Bins in memory, in files, anchors too common for a bin, and anchors dealt by their surroundings."""
+    if hot:
+        for name, value in (("SAMPLED", 1), ("HOT", 100_000), ("FEW", 1)):
+            monkeypatch.setattr(suffixes, name, value)
     monkeypatch.setattr(suffixes, "BIN", bin_)
     monkeypatch.setattr(suffixes, "MOST", most)
     rng = random.Random(5)
@@ -383,6 +386,23 @@ def test_suffix_dedup(spark, monkeypatch, bin_, most):
     assert {(r.doc_id, r.n_removed) for r in suffixes.dedup(odd).collect()} == {(1, 149), (None, 0)}
 
 
+def test_a_hot_k_mer_is_dealt_to_many_tasks(spark, monkeypatch):
+    """One passage amid unlike surroundings in every text: its anchors lie in many tasks, and what is removed stays right."""
+    monkeypatch.setattr(suffixes, "SAMPLED", 4)
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = own(70)
+    texts = [own(120) + passage + own(120) for _ in range(400)] + [passage * 3, passage * 3]
+    texts += texts[:50]
+    d = docs(spark, texts).repartition(4)
+    rows = suffixes._dealt(suffixes._keyed(d)).withColumn("task", F.spark_partition_id()).where("around <> 0")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tasks of a few rows would be joined
+    common = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("task").alias("tasks"), F.min("hot").alias("hot")).where("n > 300").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert common and all(r.hot and r.tasks == int(spark.conf.get("spark.sql.shuffle.partitions")) for r in common)
+    assert {r.doc_id: tuple(r[1:]) for r in suffixes.digest(suffixes.dedup(d)).collect()} == plain_dedup(texts)
+
+
 def test_suffix_dedup_of_one_id_with_unlike_texts(spark):
     rng = random.Random(6)
     a, b = ("".join(rng.choice("abcdefgh") for _ in range(150)) for _ in range(2))

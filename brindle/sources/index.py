@@ -69,7 +69,7 @@ def replaced(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return existing.join(ids, "doc_id", "left_anti").select(*batch.columns).unionByName(batch)
 
 
-#: Bytes of a bucket, by the planner's guess at the first write; fewest and most buckets.
+#: Bytes of a bucket (at the first write by the planner's guess); fewest and most buckets.
 BUCKET_BYTES, BUCKETS = 16 << 20, (8, 65_536)
 
 
@@ -103,11 +103,13 @@ class Stored(Rows):
 
 
 class IndexStore:
-    """An index at ``path``. ``buckets`` is fixed by the first write (None: by its size); ``edges``, fixed too, says whether
-    co-occurrence is kept; ``keep`` commits stay readable."""
+    """An index at ``path``. ``buckets`` is what the first write begins with (None: by its size); when they
+    hold over ``bucket_bytes`` on average, an upsert adds some, and only those buckets that part with documents for it
+    are written again besides the ones it touches. ``edges``, fixed by the first write, says whether co-occurrence is
+    kept; ``keep`` commits stay readable."""
 
-    def __init__(self, spark: SparkSession, path: str, trace: Trace | None = None, buckets: int | None = None, edges: bool = False, keep: int = 2):
-        self.spark, self.path, self.trace = spark, path.rstrip("/"), trace or Trace()
+    def __init__(self, spark: SparkSession, path: str, trace: Trace | None = None, buckets: int | None = None, edges: bool = False, keep: int = 2, bucket_bytes: int = BUCKET_BYTES):
+        self.spark, self.path, self.trace, self.bucket_bytes = spark, path.rstrip("/"), trace or Trace(), bucket_bytes
         self.buckets, self.edges, self.keep = buckets, edges, keep
         self._terms_path = f"{self.path}/terms"
         self._jvm = spark._jvm
@@ -148,7 +150,24 @@ class IndexStore:
 
     @staticmethod
     def _bucket(commit: dict) -> Column:
-        return F.pmod(F.xxhash64("doc_id"), F.lit(commit["buckets"])).cast("int")
+        """The bucket of a document, of n: with one more, a single bucket parts with some of its documents."""
+        half = 1 << (commit["buckets"].bit_length() - 1)
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(2 * half))
+        return F.when(place < commit["buckets"], place).otherwise(place - half).cast("int")
+
+    def _grown(self, commit: dict, touched: list[str], more: int) -> tuple[int, list[str]]:
+        """How many buckets there should be when so many bytes come, by the size of the ``touched`` ones; and those of the present
+        buckets that part with documents then."""
+        now, there = commit["buckets"], [b for b in touched if b in commit["parts"]]
+        size = sum(self._files.getContentSummary(self._at("data", commit["parts"][b], f"bucket={b}")).getLength() for b in there)
+        half = 1 << (now.bit_length() - 1)
+        share = sum(1 if int(b) >= half or int(b) < now - half else 2 for b in there) / (2 * half)  # of all documents, by their hash
+        total = size / share + more if there else more
+        n = max(now, min(BUCKETS[1], int(total // self.bucket_bytes)))
+        halved = {k - (1 << (k.bit_length() - 1)) for k in range(now, n)}
+        while later := {b for b in halved if b >= now}:
+            halved = halved - later | {b - (1 << (b.bit_length() - 1)) for b in later}
+        return n, [str(b) for b in halved]
 
     def read(self, doc_id: str | None = None) -> DataFrame:
         """The newest version, or an empty index; of one document, from the files of its bucket alone."""
@@ -174,9 +193,8 @@ class IndexStore:
         dealt.sortWithinPartitions("bucket", "doc_id", "position").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
         return [n.split("=")[1] for n in self._names(f"data/{folder}") if n.startswith("bucket=")]
 
-    @staticmethod
-    def _by_size(rows: DataFrame) -> int:
-        return max(BUCKETS[0], min(BUCKETS[1], planned_bytes(rows) // BUCKET_BYTES))
+    def _by_size(self, rows: DataFrame) -> int:
+        return max(BUCKETS[0], min(BUCKETS[1], planned_bytes(rows) // self.bucket_bytes))
 
     def _commit(self, commit: dict, dim: int | None, parts: dict[str, str], terms: list[dict] | None = None) -> int:
         version = commit["version"] + 1
@@ -255,10 +273,13 @@ class IndexStore:
             dim = self._checked(staged, commit["dim"])
             staged = self._not_late(commit, staged)
             touched = [str(r[0]) for r in staged.select(self._bucket(commit)).distinct().collect()]  # a number for each bucket
-            kept = {b: f for b, f in commit["parts"].items() if b not in touched}
-            put = self._put(replaced(self._rows(commit, touched), staged), commit, folder) if touched else []
+            n, parting = self._grown(commit, touched, self._files.getContentSummary(self._at("data", f"{folder}-in")).getLength())
+            again = sorted({*touched, *parting})
+            kept = {b: f for b, f in commit["parts"].items() if b not in again}
+            put = self._put(replaced(self._rows(commit, again), staged), commit | {"buckets": n}, folder) if touched else []
             if touched:
                 terms = self._changed(commit, touched, staged.select("doc_id").distinct(), staged)
+            commit = commit | {"buckets": n}
         finally:
             self._files.delete(self._at("data", f"{folder}-in"), True)
         return self._commit(commit, dim, kept | {b: folder for b in put}, terms)

@@ -132,6 +132,31 @@ def test_store_rewrites_touched_buckets_and_forgets(spark, tmp_path):
     assert store.versions() == [4, 5] and store.read().count() == 40 and [r.text for r in store.read("d3").collect()] == ["again 3"]
 
 
+def test_buckets_grow_with_the_index(spark, tmp_path):
+    """Fifty times the documents in upserts: buckets stay of like size, and those that nothing concerns stay as they are."""
+    cfg = RetrievalConfig(chunk_size=200, chunk_overlap=0)
+    some = lambda lo, hi: build_index(spark.range(lo, hi).selectExpr("concat('d', id) AS doc_id", "repeat(concat(sha2(cast(id AS string), 512), ' '), 4) AS text"), cfg)
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=2, bucket_bytes=60_000)
+    store.write(some(0, 60))
+    for lo, hi in ((60, 600), (600, 1500), (1500, 3000)):
+        store.upsert(some(lo, hi))
+    commit = store._newest()
+    sizes = [sum(f.getLen() for f in store._files.listStatus(store._at("data", folder, f"bucket={b}"))) for b, folder in commit["parts"].items()]
+    assert 12 < commit["buckets"] == len(sizes) and max(sizes) < 2.5 * 60_000
+    assert store.read().select("doc_id").distinct().count() == 3000 == store.read().select(F.xxhash64("doc_id")).distinct().count()
+    assert all(store.read(f"d{i}").select("doc_id").distinct().count() == 1 for i in (0, 77, 2999))
+    store.bucket_bytes = sum(sizes) // (len(sizes) + 1)  # room for one bucket more
+    before, n = commit["parts"], commit["buckets"]
+    touched = store.read("d5").select(store._bucket(commit)).first()[0]
+    store.upsert(some(5, 6))
+    after = store._newest()
+    changed = {int(b) for b, f in after["parts"].items() if before.get(b) != f}
+    grown = range(n, after["buckets"])
+    assert changed <= {touched, *grown, *(k - (1 << (k.bit_length() - 1)) for k in grown)} and len(changed) < len(before) / 2
+    assert store.read().select("doc_id").distinct().count() == 3000
+    assert sorted(map(tuple, store.open().document_frequency().collect())) == sorted(map(tuple, terms.document_frequency(store.read()).collect()))
+
+
 def test_store_refuses_repeated_chunks_and_other_lengths(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"))
     twice = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", "x", 1)], "doc_id string, text string, at int")

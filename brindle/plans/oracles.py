@@ -174,7 +174,7 @@ ORACLE_SQL = {
     "direct_hits": f"WITH {_BASE} SELECT query_id, chunk_id, count(*) AS hits, string_agg(term, ' ' ORDER BY term) AS terms FROM qterms JOIN posted USING (term) GROUP BY ALL",
     "expand_ranked": f"WITH {_RANKED} SELECT * FROM expanded",
     "expand_greedy": f"WITH {_GREEDY} SELECT * FROM expanded",
-    "expanded_hits": f"WITH {_RANKED} SELECT query_id, chunk_id, query_term, expanded_term, weight, weight * 0.5 AS contribution FROM expanded JOIN posted ON term = expanded_term",
+    "expanded_hits": f"WITH {_RANKED} SELECT query_id, chunk_id, count(*) AS hits, string_agg(expanded_term, ' ' ORDER BY expanded_term) AS terms, sum(weight * 0.5) AS contribution FROM expanded JOIN posted ON term = expanded_term GROUP BY ALL",
     "graph_topk": _graph(_RANKED, "2.0"),
     "graph_topk_capped": _graph(_RANKED, "0.5"),
     "graph_topk_nocap": _graph(_RANKED, "NULL::DOUBLE"),

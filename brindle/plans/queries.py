@@ -155,9 +155,11 @@ def expand_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expanded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query's chunks the expanded terms that they hold: how many, which, and what they add."""
     index, asked, near = _near(spark, sf_dir)
-    found = graph.hits(index, asked, graph.expand_ranked(asked, near, CFG)).where(~F.col("direct"))
-    return found.select("query_id", "chunk_id", "item.query_term", "item.expanded_term", "item.weight", (F.col("item.weight") * CFG.expanded_hit_weight).alias("contribution"))
+    found = graph.hits(index, asked, graph.expand_ranked(asked, near, CFG), True).where(~F.col("direct"))
+    terms = F.array_join(F.array_sort(F.collect_list("term")), " ")
+    return found.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hits"), terms.alias("terms"), F.sum(F.col("item.weight") * CFG.expanded_hit_weight).alias("contribution"))
 
 
 def _graph_topk(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig, k: int = 10, edges: bool = False) -> DataFrame:

@@ -27,8 +27,8 @@ Links are exact: 100 * intersection >= percent * union, on 64-bit shingle hashes
 Defined cases: null, empty and blank texts have no shingle, size 0, no link, and are their own
 component; a text with fewer words than a shingle has its whole sequence as the only one; ids are whole
 numbers; rows that share an id are told apart by their texts, so each has the component of its own
-text, and a component's id is its smallest id; an empty table gives no rows; other columns are
-ignored, whatever their names.
+text, and a component's id is its smallest id; a very long text is one set, compared whole; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

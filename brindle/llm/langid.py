@@ -11,8 +11,8 @@ by the hash of id and text, so that neither a repeated id nor rows without one s
 word there is learnt, at most ``MOST_LANGS``, else an error; n-grams are counted over all its words.
 
 Defined cases: ``und`` and score 0 for a null text, a text without a letter, or a model without any
-language; ties go to the first language in order; repeated rows stay; an empty table gives no
-rows; other columns are ignored, whatever their names.
+language; ties go to the first language in order; repeated rows stay; a very long text
+is scored over all its words, some at a time; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

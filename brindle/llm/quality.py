@@ -7,8 +7,8 @@ tables are learnt by stochastic gradient descent in numpy, from a bounded sample
 rows, scoring needs one number for each bucket: its row times the difference of the output vectors.
 
 Defined cases: a null or empty text has no feature and scores 0.5; a conflict of labels of an id is
-the larger label; without labelled rows every text scores 0.5; repeated rows stay; an empty table
-gives no rows; other columns are ignored, whatever their names.
+the larger label; without labelled rows every text scores 0.5; repeated rows stay; a very long text is
+scored whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ only pairs that it has not seen; copies of a text are scanned once. Beside it li
 with every blob that they ever held, so that findings are joined back to all paths of all runs
 (``history``) or to the rows at hand (``scan``, ``redact``). All of it is DataFrame expressions.
 
-Defined cases: a null text is the empty text; an empty text has no span; repeated rows stay; a null id
-has no path in the history; an empty table gives no rows; other columns of the input are ignored,
+Defined cases: a null text is the empty text; an empty text has no span; repeated rows stay; a very long text is
+scanned whole, in time linear in it; a null id has no path in the history; an empty table gives no rows; other columns of the input are ignored,
 whatever their names.
 """
 

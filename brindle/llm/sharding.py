@@ -11,7 +11,7 @@ ranges on the shards. Rows get their rank in three steps (arc, cell, part of a c
 holds an arc: a cell with many equal texts is split by the hash of the id.
 
 Defined cases: a null text counts 0 bytes and lies where the empty text lies; repeated rows are
-rows of their own; an empty table gives no rows; other columns are ignored, whatever their names.
+rows of their own; of a very long text only size and hash go on; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

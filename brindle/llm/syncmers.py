@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import bounded_batches, whole
 
 K, S = 24, 8
-#: Text of a range of ids.
-RANGE_BYTES = 64 << 20
+#: Text of a range of ids, and most ranges, as their bounds are part of the plan: beyond 1.3 TB a range holds more.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000
 #: Pairs of equal anchors, for each anchor, that are chained one by one; texts with more repeats take rows of bits.
 FEW = 8
 LAST = (1 << 63) - 1
@@ -148,11 +148,12 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, range, own`` in ranges of ids, each range in order, followed by its next row. There are as
-    many ranges as hold ``RANGE_BYTES`` of text each, and a task for each."""
+    many ranges as hold ``RANGE_BYTES`` of text each, ``MOST_RANGES`` at most, and a task for each, which reads its range in
+    batches."""
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ranges = min(MOST_RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     keys = docs.select(key)
     cuts = keys.agg(F.percentile_approx("key", [(i + 1) / ranges for i in range(ranges - 1)] or [0.5], max(10_000, 20 * ranges))).first()[0]
     bounds = sorted(set(cuts or []))[: ranges - 1]

@@ -6,7 +6,7 @@ it. All but the last return the columns of ``documents``.
 
 Defined cases of all stages: an empty table gives an empty one; further columns, also of names that stages use
 themselves, are carried to the last stage; very long texts are worked on whole; ids are whole numbers. Ties: of
-near duplicates the smallest id stays, of rows that share an id and are near duplicates any one, as they count as one.
+near duplicates the smallest id stays, of rows that share it the one whose text has the least hash.
 """
 
 from __future__ import annotations

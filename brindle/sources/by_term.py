@@ -41,15 +41,17 @@ def folder_of(run: Run) -> str:
     return f"{run['kind']}/run={run['name']}"
 
 
-def _pairs(chunks: DataFrame) -> DataFrame:
-    """``term, neighbour`` of every pair of a chunk's terms, both ways."""
-    return chunks.select("terms", F.explode("terms").alias("term")).select("term", F.explode("terms").alias("neighbour")).where("term <> neighbour")
+def _edges(chunks: DataFrame) -> DataFrame:
+    """``term, neighbour, n`` of every pair of terms that a chunk holds: counted one way, and put out both ways."""
+    pairs = chunks.select("terms", F.explode("terms").alias("a")).select("a", F.explode("terms").alias("b")).where("a < b")
+    ends = F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("term"), F.col("a").alias("neighbour")))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select(F.inline(ends), "n")
 
 
 def rows_of(kind: str, chunks: DataFrame) -> DataFrame:
     """The rows of ``kind`` that ``chunks`` (chunk_id, doc_id, terms) alone give."""
     if kind == "edges":
-        return _pairs(chunks).groupBy("term", "neighbour").agg(F.count(F.lit(1)).alias("n"))
+        return _edges(chunks)
     held = chunks.select("chunk_id", "doc_id", F.explode("terms").alias("term"))
     if kind == "postings":
         return held.select("term", "chunk_id", "doc_id", F.lit(1).cast("bigint").alias("n"))

@@ -54,7 +54,7 @@ def test_random_writes_equal_a_rebuild(spark, tmp_path, monkeypatch, prefix, sha
     texts = {f"d{i}": some_text(rng, words) for i in range(14)}
     store = IndexStore(spark, str(tmp_path / "index"), edges=True)
     store.write(build_index(docs(spark, texts), CFG))
-    for step in range(4):
+    for step in range(3):
         changed = {f"d{i}": some_text(rng, words + [f"new{step}"]) for i in rng.sample(range(18), 4)}
         texts |= changed
         store.upsert(build_index(docs(spark, changed), CFG))

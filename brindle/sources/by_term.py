@@ -160,16 +160,22 @@ class TermTables:
     def changed(self, new: DataFrame, old: DataFrame) -> list[Run]:
         """The runs after a write that puts the chunks ``new`` in the place of ``old``. ``self.runs`` stay."""
         about = sum(x.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0] for x in (new, old))
+        part = about / max(1, self.of("postings")[0]["rows"])  # of what there is, about
         runs, out = list(self.runs), []
         for kind in KEYS:
             mine = [r for r in runs if r["kind"] == kind]
             if not mine:
                 continue
-            added = self.put(kind, changes(kind, new, old), about)
-            mine += [added] if added["rows"] else []
-            if sum(r["rows"] for r in mine[1:]) > SHARE * mine[0]["rows"]:
-                whole = TermTables(self.spark, self.path, mine)
-                first = self.put(kind, whole.every(kind), sum(r["rows"] for r in mine))
+            now, rows, first = sum(r["rows"] for r in mine), changes(kind, new, old), None
+            if part > SHARE:  # so much that it isn't written apart
+                whole = self.scan(mine).drop("run", "bucket").unionByName(rows)
+                first = self.put(kind, summed(kind, whole), int(now * (1 + part)))
+            else:
+                added = self.put(kind, rows, about)
+                mine += [added] if added["rows"] else []
+                if sum(r["rows"] for r in mine[1:]) > SHARE * mine[0]["rows"]:
+                    first = self.put(kind, TermTables(self.spark, self.path, mine).every(kind), now + added["rows"])
+            if first:
                 mine = self._with_near(first, first["rows"] // 8) if kind == "edges" else [first]
             elif kind == "edges":
                 mine += [r for r in runs if r["kind"] == "near"]

@@ -285,3 +285,19 @@ def test_pdf_needs_a_library():
 def test_docx_text(tmp_path):
     write_docx(tmp_path / "x.docx", "a", "b")
     assert docx_text((tmp_path / "x.docx").read_bytes()) == "a\nb"
+
+
+def test_a_built_index_is_the_written_one_and_moves_no_chunk(spark, tmp_path, monkeypatch):
+    """``build`` deals documents, not chunks; without postings a store answers from its chunks."""
+    docs = spark.createDataFrame([(str(i), f"word{i % 3} common text {i} " * (1 + i)) for i in range(4)] + [(None, "lost")], "doc_id string, text string")
+    cfg = RetrievalConfig(chunking="fixed", chunk_size=40, chunk_overlap=5)
+    built, want = IndexStore(spark, str(tmp_path / "built"), buckets=2, postings=False), build_index(docs, cfg)
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "hint", None)  # by which chunks would be dealt
+        built.build(docs, cfg)
+    key = lambda df: sorted(map(str, df.collect()))
+    found = built.open()
+    assert key(built.read()) == key(want) and not found.by_term.runs
+    assert key(found.document_frequency()) == key(terms.document_frequency(want))
+    wanted = spark.createDataFrame([("word1",), ("none",)], "term string")
+    assert key(found.held(wanted, True).select("term", "chunk_id")) == key(terms.postings(want).where("term = 'word1'").select("term", "chunk_id"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import functools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,3 +372,32 @@ def test_trace(tmp_path, monkeypatch):
     trace = Trace("t1", lambda: "now").bind(doc_id="d")
     trace.event("ingest_start", n=1)
     assert '{"event": "ingest_start", "trace_id": "t1", "doc_id": "d", "n": 1}' in (tmp_path / "log").read_text() and trace.started_at == "now"
+
+
+def test_a_product_takes_as_much_memory_whatever_the_number_of_queries():
+    """Queries meet a part of the chunks some at a time: 4,000 queries and 4,000 chunks at once took 128 MB for each matrix."""
+    rng = np.random.default_rng(5)
+    asked, vectors = rng.normal(size=(4_000, 8)), rng.normal(size=(4_000, 8))
+    part = lambda names, v: (names, v, np.sqrt((v * v).sum(axis=1)))
+    ids = pa.array([str(i) for i in range(4_000)])
+    tracemalloc.start()
+    found = {q: [] for q in ids.to_pylist()}
+    for batch in vector._nearest([part([ids], asked)], part([ids, ids], vectors), 2, None):
+        for q, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            found[q].append(c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and all(len(x) >= 2 for x in found.values())
+
+
+def test_all_pairs_are_cut_into_tasks_by_their_number(spark, monkeypatch):
+    """More pairs make more tasks, on both ways by which queries reach chunks."""
+    rows = spark.createDataFrame([(str(i), str(i), [float(i), 1.0]) for i in range(40)], "doc_id string, chunk_id string, embedding array<double>")
+    asks = rows.selectExpr("chunk_id as query_id", "embedding")
+    want = sorted(map(tuple, vector.similarities(rows, asks).collect()))
+    monkeypatch.setattr(vector, "TASK_PAIRS", 100)
+    monkeypatch.setattr(vector, "QUERY_TILE", 10)
+    for numbers in (vector.SENT_NUMBERS, 0):
+        monkeypatch.setattr(vector, "SENT_NUMBERS", numbers)
+        got = vector.similarities(rows, asks)
+        assert got.rdd.getNumPartitions() == 16 and sorted(map(tuple, got.collect())) == want

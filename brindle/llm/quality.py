@@ -151,9 +151,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> np.nd
             found = bags(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["doc_id", "label", "ids", "share"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[:3])
+        weights = train([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
+
     kind = text.schema["doc_id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(run, f"doc_id {kind}, label int, ids binary, share binary").collect(), key=lambda r: (r[0], r[1], r[2]))
-    return train([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.int64))
+    bagged = rows.mapInArrow(run, f"doc_id {kind}, label int, ids binary, share binary")
+    # 2 x per_class rows at most; a task learns from them, as the driver's memory holds the plans of all stages
+    found = bagged.repartition(1).mapInArrow(learn, "weights binary").first()
+    return np.frombuffer(found[0], np.float32) if found else train([], np.zeros(0, np.int64))
 
 
 def _free(docs: DataFrame, name: str) -> str:

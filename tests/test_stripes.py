@@ -42,3 +42,39 @@ def test_what_is_shuffled_is_small(spark):
     chunks = made(spark, [[f"t{i}" for i in range(40)]] * 500).coalesce(1)
     plan = stripes.counted(chunks, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" not in plan and terms.cooccurrence(chunks).count() == 780
+
+
+@pytest.mark.parametrize("common, entries", [(1 << 16, 4_000_000), (5, 40)])
+def test_edges_from_the_rarer_term_and_first_neighbours(spark, monkeypatch, common, entries):
+    """Each pair once, a term without a number or the rarer one first; of these each term's first three, from both ends."""
+    for name, value in (("COMMON", common), ("ENTRIES", entries)):
+        monkeypatch.setattr(stripes, name, value)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["é", "Z", ""]
+    chunks = [[w for i, w in enumerate(words) if rng.random() < 3 / (i + 3)] for _ in range(300)]
+    count = Counter(w for c in chunks for w in c)
+    numbered = sorted(count, key=lambda w: (-count[w], w.encode()))[:common]
+    order = {w: (-numbered.index(w) if w in numbered else -common, w) for w in count}
+    want, df = by_hand(chunks), made(spark, chunks)
+    names = stripes.commonest(spark.createDataFrame(list(count.items()), "term string, count bigint"))
+    assert names.to_pylist() == numbered
+    edges = stripes.counted(df, 4, rare_first=True, common=names).select("source", "target", "n")
+    got = edges.collect()
+    assert {tuple(sorted(r[:2])): r.n for r in got} == want and len(got) == len(want) and all(order[r.source] < order[r.target] for r in got)
+    first = {(r.source, r.place): (r.target, r.n) for r in stripes.firsts(edges, 4, 3, names).collect()}
+    beside = {w: sorted((-n, next(x for x in p if x != w)) for p, n in want.items() if w in p)[:3] for w in count}
+    assert first == {(w, i): (x, -n) for w, found in beside.items() for i, (n, x) in enumerate(found, 1)}
+
+
+def test_a_store_writes_each_edge_once(spark, tmp_path):
+    """Edges aren't sorted or shuffled as rows, and the files hold them one way."""
+    from brindle.config import RetrievalConfig
+    from brindle.sources.index import IndexStore, build_index
+
+    store = IndexStore(spark, str(tmp_path / "index"), edges=True)
+    texts = spark.createDataFrame([(f"d{i}", "alpha beta gamma delta") for i in range(8)], "doc_id string, text string")
+    store.write(build_index(texts, RetrievalConfig()))
+    found = store.open()
+    run = found.by_term.of("edges")[0]
+    assert found.by_term.scan([run]).count() == 6 and run["rows"] == 12
+    assert {(r.source, r.target): r.weight for r in found.edges().collect()} == {p: 8.0 for p in itertools.combinations(["alpha", "beta", "delta", "gamma"], 2)}

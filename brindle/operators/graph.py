@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,8 +15,10 @@ from brindle.config import RetrievalConfig
 from brindle.functions.text import extract_terms, normalise_terms
 from brindle.operators.access import Rows, access
 from brindle.operators.batch import is_small
-from brindle.runtime import settle
+from brindle.runtime import settle, workers_see_package
 
+#: Hits that are added up at once.
+HITS = 2_000_000
 _ITEM = "array<struct<query_term:string,expanded_term:string,weight:double>>"
 
 
@@ -88,10 +95,60 @@ def near(index: DataFrame | Rows, terms: DataFrame, cfg: RetrievalConfig, small:
 def hits(index: DataFrame | Rows, terms: DataFrame, expanded: DataFrame, small: bool = False) -> DataFrame:
     """``query_id, chunk_id, doc_id, term, direct, item``: one row for each direct term (item null) and each
     expanded term of a chunk."""
-    wanted = terms.select("query_id", "term", F.lit(True).alias("direct"), F.lit(None).cast(_ITEM[6:-1]).alias("item")).unionByName(
+    return access(index).held(_wanted(terms, expanded), small)
+
+
+def _wanted(terms: DataFrame, expanded: DataFrame) -> DataFrame:
+    return terms.select("query_id", "term", F.lit(True).alias("direct"), F.lit(None).cast(_ITEM[6:-1]).alias("item")).unionByName(
         expanded.select("query_id", F.col("expanded_term").alias("term"), F.lit(False).alias("direct"), F.struct("query_term", "expanded_term", "weight").alias("item"))
     )
-    return access(index).held(wanted, small)
+
+
+def _first_hits(batches: Iterator[pa.RecordBatch], wanted: pa.Table, cfg: RetrievalConfig, k: int, most: int) -> Iterator[pa.RecordBatch]:
+    names, asks = (wanted.column(c).combine_chunks().dictionary_encode() for c in ("term", "query_id"))
+    order = np.argsort(names.indices.to_numpy(), kind="stable")
+    begin = np.searchsorted(names.indices.to_numpy()[order], np.arange(len(names.dictionary) + 1))
+    of_query, direct, gain = asks.indices.to_numpy().astype(np.int64)[order], wanted.column("direct").to_numpy().astype(float)[order], wanted.column("gain").to_numpy()[order]
+    per = np.diff(begin)
+    for batch in batches:
+        lists, ids = batch.column(2), batch.column(0)
+        rank = np.empty(len(batch), np.int64)
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(batch))  # by bytes, as Spark orders strings
+        term = pc.fill_null(pc.index_in(lists.flatten(), value_set=names.dictionary), -1).to_numpy()
+        row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))[term >= 0]
+        term = term[term >= 0]
+        at = np.concatenate([[0], np.cumsum(np.bincount(row, per[term], len(batch)))])
+        lo = 0
+        while lo < len(batch):  # whole chunks, of so many hits
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+            part = slice(*np.searchsorted(row, [lo, hi]))
+            n, lo = per[term[part]], hi
+            which = np.repeat(begin[term[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pair, hit = np.unique(of_query[which] * len(batch) + np.repeat(row[part], n), return_inverse=True)
+            if not len(pair):
+                continue
+            directs, added = np.bincount(hit, direct[which]), np.bincount(hit, gain[which])
+            score = directs * cfg.direct_hit_weight + (added if cfg.expansion_score_cap is None else np.minimum(added, cfg.expansion_score_cap))
+            query, chunk = pair // len(batch), pair % len(batch)
+            order = np.lexsort((rank[chunk], -score, query))
+            first = np.flatnonzero(np.diff(query[order], prepend=-1))
+            best = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
+            expanded = np.bincount(hit)[best] - directs[best].astype(np.int64)
+            found = [asks.dictionary.take(pa.array(query[best])), ids.take(pa.array(chunk[best])), batch.column(1).take(pa.array(chunk[best])), pa.array(directs[best].astype(np.int64)), pa.array(expanded), pa.array(added[best])]
+            yield pa.RecordBatch.from_arrays(found, ["query_id", "chunk_id", "doc_id", "direct_hit_count", "expanded_hit_count", "expanded_score"])
+
+
+def first_hits(chunks: DataFrame, terms: DataFrame, expanded: DataFrame, cfg: RetrievalConfig, k: int) -> DataFrame:
+    """What ``scored`` adds up, for a small batch, where each chunk is one row with its terms: a chunk's hits are added up where
+    it lies, and of some thousands of chunks each query's best ``k`` go on, so that hits aren't shuffled."""
+    spark = chunks.sparkSession
+    workers_see_package(spark)
+    gain = F.coalesce(F.col("item.weight") * cfg.expanded_hit_weight, F.lit(0.0))
+    wanted = _wanted(terms, expanded).where("term is not null").select("query_id", "term", "direct", gain.alias("gain"))
+    sent, most = spark.sparkContext.broadcast(wanted.toArrow()), HITS
+    schema = f"query_id {terms.schema['query_id'].dataType.simpleString()}, chunk_id string, doc_id string, direct_hit_count bigint, expanded_hit_count bigint, expanded_score double"
+    rows = chunks.where("terms is not null").select("chunk_id", "doc_id", "terms")
+    return rows.mapInArrow(lambda batches: _first_hits(batches, sent.value, cfg, k, most), schema)
 
 
 def scored(found: DataFrame, cfg: RetrievalConfig, explain: bool = False) -> DataFrame:
@@ -102,6 +159,10 @@ def scored(found: DataFrame, cfg: RetrievalConfig, explain: bool = False) -> Dat
         item = F.struct("item.query_term", "item.expanded_term", "item.weight", contribution.alias("contribution"))
         extra = [F.array_sort(F.collect_list(F.when(F.col("direct"), F.col("term")))).alias("direct_terms"), F.collect_list(F.when(~F.col("direct"), item)).alias("expanded_hits")]
     sums = found.groupBy("query_id", "chunk_id", "doc_id").agg(F.count_if("direct").alias("direct_hit_count"), F.count_if(~F.col("direct")).alias("expanded_hit_count"), F.coalesce(F.sum(contribution), F.lit(0.0)).alias("expanded_score"), *extra)
+    return _weighed(sums, cfg)
+
+
+def _weighed(sums: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     cap = F.lit(cfg.expansion_score_cap).cast("double")
     capped = F.least("expanded_score", cap)  # a null cap is skipped
     return sums.withColumn("capped_expanded_score", capped).withColumn("expansion_capped", F.coalesce(F.col("expanded_score") > cap, F.lit(False))).withColumn("score", F.col("direct_hit_count") * F.lit(cfg.direct_hit_weight) + F.col("capped_expanded_score"))
@@ -110,10 +171,14 @@ def scored(found: DataFrame, cfg: RetrievalConfig, explain: bool = False) -> Dat
 def found(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A batch's terms, their expansions, and its hits. What is broadcast follows from the number of its terms:
     each query adds at most ``max_expanded_terms`` of its own."""
+    terms, expanded, small = _expanded(index, queries, cfg)
+    return terms, expanded, hits(index, terms, expanded, small)
+
+
+def _expanded(index: DataFrame | Rows, queries: DataFrame, cfg: RetrievalConfig) -> tuple[DataFrame, DataFrame, bool]:
     terms = query_terms(queries)
     small = is_small(terms)
-    expanded = settle(expand(terms, near(index, terms, cfg, small), cfg))  # a few rows of each query
-    return terms, expanded, hits(index, terms, expanded, small)
+    return terms, settle(expand(terms, near(index, terms, cfg, small), cfg)), small  # a few rows of each query
 
 
 def best(rows: DataFrame, top_k: int) -> DataFrame:
@@ -123,7 +188,14 @@ def best(rows: DataFrame, top_k: int) -> DataFrame:
 
 def search(index: DataFrame | Rows, queries: DataFrame, top_k: int, cfg: RetrievalConfig = RetrievalConfig(), explain: bool = False) -> DataFrame:
     """The best chunks of each query by (-score, chunk_id)."""
-    return best(scored(found(index, queries, cfg)[2], cfg, explain), top_k)
+    terms, expanded, small = _expanded(index, queries, cfg)
+    if small and top_k > 0 and access(index).one_row_each:
+        rows = best(_weighed(first_hits(access(index).chunks, terms, expanded, cfg, top_k), cfg), top_k)
+        if not explain:
+            return rows
+        few = F.broadcast(settle(rows.select("query_id", "chunk_id", "doc_id")))  # top k of a small batch
+        return best(scored(hits(index, terms, expanded, small).join(few, ["query_id", "chunk_id", "doc_id"], "left_semi"), cfg, True), top_k)
+    return best(scored(hits(index, terms, expanded, small), cfg, explain), top_k)
 
 
 def explained(index: DataFrame | Rows, queries: DataFrame, top_k: int, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -78,3 +79,25 @@ def test_a_store_writes_each_edge_once(spark, tmp_path):
     run = found.by_term.of("edges")[0]
     assert found.by_term.scan([run]).count() == 6 and run["rows"] == 12
     assert {(r.source, r.target): r.weight for r in found.edges().collect()} == {p: 8.0 for p in itertools.combinations(["alpha", "beta", "delta", "gamma"], 2)}
+
+
+def test_rounds_count_each_pair_once_and_leave_no_shuffle(spark, monkeypatch):
+    """Beyond so many pairs, a round counts its own sources alone; what it shuffled is gone when it ends."""
+    monkeypatch.setattr(stripes, "ROUND_PAIRS", 3_000)
+    monkeypatch.setattr(stripes, "PAIRS", 500)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)] + ["é", "Z", ""]
+    chunks = [rng.sample(words, min(len(words), int(rng.expovariate(0.1)))) for _ in range(200)] + [[], ["only"]]
+    want, df = by_hand(chunks), made(spark, chunks)
+    rounds = stripes.rounds_for(stripes.total(df))
+    assert len(rounds) > 3
+    each = [{(r.source, r.target): r.n for r in stripes.counted(df, 4, both=True, which=r).collect()} for r in rounds]
+    assert sum(map(len, each)) == 2 * len(want) and {k: n for x in each for k, n in x.items()} == {p: n for (a, b), n in want.items() for p in ((a, b), (b, a))}
+    left = []
+    shuffles = lambda: set(re.findall(r"shuffle_(\d+)", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before, whole = shuffles(), stripes.settle_freed
+    monkeypatch.setattr(stripes, "settle_freed", lambda rows: (out := whole(rows), left.append(shuffles() - before))[0])
+    got = {r.source: (r.edges, r.weight, r.heaviest) for r in terms.cooccurrence_by_source(df).collect()}
+    of = {a: [n for p, n in want.items() if p[0] == a] for a, _ in want}
+    assert got == {a: (len(n), float(sum(n)), float(max(n))) for a, n in of.items()}
+    assert len(left) == len(rounds) and left[-1] <= left[0]  # of the count of terms alone

@@ -145,3 +145,30 @@ def test_stores_without_edges_and_old_folders(spark, tmp_path):
     store.delete("d1")
     store.delete("d2")
     assert store.open().document_frequency().count() == 0 and graph.search(store.open(), asked(spark, "alpha"), 5, CFG).count() == 0
+
+
+def test_a_load_counts_once(spark, tmp_path, monkeypatch):
+    """Writes that defer keep nothing by term, and all is right meanwhile; ``reindex``, or a write that doesn't defer, counts from the live chunks."""
+    counted = []
+    monkeypatch.setattr(by_term.TermTables, "written", lambda self, *a, f=by_term.TermTables.written: counted.append(1) or f(self, *a))
+    for last in ("reindex", "upsert", "delete"):
+        path = str(tmp_path / last / "index")
+        store = IndexStore(spark, path, edges=True, defer=True)
+        store.write(build_index(docs(spark, {f"d{i}": f"common word{i} word{i + 1}" for i in range(9)}), CFG))
+        store.upsert(build_index(docs(spark, {f"d{i}": f"common other word{i}" for i in range(5, 12)}), CFG))
+        store.delete("d1")
+        found = store.open()
+        assert not found.by_term.runs and not counted
+        assert rows(found.edges()) == rows(terms.cooccurrence(store.read()))
+        assert rows(graph.search(found, asked(spark, "common"), 5, CFG)) == rows(graph.search(store.read(), asked(spark, "common"), 5, CFG))
+        if last == "reindex":
+            store.reindex()
+        elif last == "upsert":
+            IndexStore(spark, path, edges=True).upsert(build_index(docs(spark, {"d7": "common last"}), CFG))
+        else:
+            IndexStore(spark, path, edges=True).delete("d2")
+        assert counted == [1]
+        chunks, found = check(store)
+        assert {r["kind"] for r in found.by_term.runs} == {"postings", "counts", "edges", "near"}
+        assert rows(found.edges_by_source()) == rows(terms.cooccurrence_by_source(chunks))
+        counted.clear()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from brindle.config import QueryOptions, RetrievalConfig
-from brindle.operators import graph, terms
+from brindle.operators import graph, stripes, terms
 from brindle.plans import hybrid
 from brindle.sources import by_term
 from brindle.sources.index import IndexStore, build_index
@@ -172,3 +172,19 @@ def test_a_load_counts_once(spark, tmp_path, monkeypatch):
         assert {r["kind"] for r in found.by_term.runs} == {"postings", "counts", "edges", "near"}
         assert rows(found.edges_by_source()) == rows(terms.cooccurrence_by_source(chunks))
         counted.clear()
+
+
+def test_first_neighbours_alone(spark, tmp_path, monkeypatch):
+    """A store without all edges, written in rounds: edges, neighbours and a later write are as of its chunks."""
+    for owner, name, value in ((by_term, "PREFIX", 3), (by_term, "SHARE", 100.0), (by_term, "ROUND_ROWS", 60), (stripes, "ROUND_PAIRS", 400), (by_term, "BUCKET_ROWS", dict.fromkeys(by_term.BUCKET_ROWS, 40))):
+        monkeypatch.setattr(owner, name, value)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    store = IndexStore(spark, str(tmp_path / "index"), edges="near")
+    store.write(build_index(docs(spark, {f"d{i}": some_text(rng, words) for i in range(10)}), CFG))
+    assert [r["kind"] for r in store.open().by_term.runs] == ["postings", "counts", "near"] and len(stripes.rounds_for(2 * stripes.total(store.read()))) > 1
+    store.upsert(build_index(docs(spark, {"d3": some_text(rng, words), "d20": "w1 new w2"}), CFG))
+    found, chunks = store.open(), spark.createDataFrame(store.read().collect(), store.read().schema)
+    assert rows(found.edges()) == rows(terms.cooccurrence(chunks))
+    asks, cfg = graph.query_terms(asked(spark, "w1 w2 w3", "w4", "w5 w1 new")), RetrievalConfig(chunk_size=60, chunk_overlap=0, expansion="greedy", max_expanded_terms=3)
+    assert rows(graph.expand(asks, graph.near(found, asks, cfg, True), cfg)) == rows(graph.expand(asks, graph.near(chunks, asks, cfg, True), cfg))
